@@ -15,44 +15,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(values: Column, *, zero: Column, plus: Callable[[Column, Column], Column], levels: int = 2) -> Column:
-    """Sum of all earlier elements for every element of ``values``.
+def running_sum(values: Column, zero: Column, levels: int = 2) -> Column:
+    """For every element of ``values`` the sum of all earlier elements.
 
-    Arrays are immutable, so appending one total at a time copies the array each
-    time.  The sums are therefore built in blocks of 64, the block totals are
-    summed the same way, and the two are added: a text with a million pieces
-    costs some 32 copied elements per piece instead of half a million.
+    Arrays are immutable, so adding one total at a time copies the array each time.
+    Long arrays are therefore summed in blocks of 64, the block totals the same way,
+    and the two added: a text with a million pieces costs some 32 copied elements
+    per piece instead of half a million.
     """
 
-    def within(block: Column) -> Column:
-        start = F.array(zero)
-        return F.aggregate(block, start, lambda sums, value: F.array_append(sums, plus(F.element_at(sums, -1), value)))
-
-    if levels == 0:
-        return let(values, lambda items: F.slice(within(items), F.lit(1), F.size(items)))
-
-    def combine(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda block: F.element_at(block, -1))
-        bases = running_sum(totals, zero=zero, plus=plus, levels=levels - 1)
-        return F.flatten(
-            F.zip_with(
-                blocks,
-                bases,
-                lambda block, base: F.transform(
-                    F.slice(block, F.lit(1), F.size(block) - 1), lambda value: plus(base, value)
-                ),
-            )
+    def sums(items: Column) -> Column:
+        """0, a, a + b, ... with the grand total last."""
+        newest_first = F.aggregate(
+            items, F.array(zero), lambda done, value: F.array_prepend(done, F.element_at(done, 1) + value)
         )
-
-    def split(items: Column) -> Column:
-        last = F.greatest(F.size(items) - 1, F.lit(0))
-        blocks = F.transform(
-            F.sequence(F.lit(0), last, F.lit(_BLOCK)), lambda at: within(F.slice(items, at + 1, F.lit(_BLOCK)))
+        return F.reverse(newest_first)
+
+    def without_total(items: Column) -> Column:
+        return F.slice(sums(items), F.lit(1), F.size(items))
+
+    def blocked(items: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda at: sums(F.slice(items, at, F.lit(_BLOCK))))
+        return let(
+            blocks,
+            lambda done: F.flatten(
+                F.zip_with(
+                    done,
+                    running_sum(F.transform(done, lambda block: F.element_at(block, -1)), zero, levels - 1),
+                    lambda block, base: F.transform(
+                        F.slice(block, F.lit(1), F.size(block) - 1), lambda value: value + base
+                    ),
+                )
+            ),
         )
-        return let(blocks, combine)
-
-    return let(values, split)
 
+    def choose(items: Column) -> Column:
+        if levels == 0:
+            return without_total(items)
+        return F.when(F.size(items) <= _BLOCK, without_total(items)).otherwise(blocked(items))
 
-def running_int_sum(values: Column) -> Column:
-    return running_sum(values, zero=F.lit(0), plus=lambda total, value: total + value)
+    return let(values, choose)

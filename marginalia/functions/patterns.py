@@ -7,7 +7,7 @@ long comments, strings or runs of comments cannot exhaust the stack.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from marginalia.rules import LINE_END, CommentRules
 
@@ -15,8 +15,8 @@ from marginalia.rules import LINE_END, CommentRules
 STRING_QUOTE = '"'
 RAW_STRING_QUOTE = '"""'
 
-_REST = r"[\s\S]*+"
-_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
+_REST = r"(?s:.)*+"
+_STRING = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\\?\z)'
 _BETWEEN_OCCURRENCES = "\t\r\n "
 
 
@@ -29,14 +29,22 @@ def _class(chars: Iterable[str], *, negated: bool = False) -> str:
     return "[" + ("^" if negated else "") + "".join(re.escape(c) for c in sorted(set(chars))) + "]"
 
 
-def through(ends: Sequence[str]) -> str:
-    """Everything up to and including the nearest of ``ends``; no match if there is none."""
+def until(ends: Sequence[str]) -> str:
+    """Everything before the nearest of ``ends``, or the rest of the text if there is none."""
     if "" in ends:
         return ""
     heads = [end[0] for end in ends]
     plain = _class(heads, negated=True)
-    stop = any_of(ends)
-    return f"{plain}*+(?:(?!{stop}){_class(heads)}{plain}*+)*+(?:{stop})"
+    return f"{plain}*+(?:(?!{_in_order(ends)}){_class(heads)}{plain}*+)*+"
+
+
+def through(ends: Sequence[str]) -> str:
+    """Everything up to and including the nearest of ``ends``; no match if there is none."""
+    return "" if "" in ends else f"{until(ends)}(?:{_in_order(ends)})"
+
+
+def _in_order(texts: Sequence[str]) -> str:
+    return "|".join(map(re.escape, texts))
 
 
 def _no_longer(start: str, starts: Iterable[str]) -> str:
@@ -90,8 +98,8 @@ def occurrence_tiles(rules: CommentRules) -> str:
     return f"{plain}++|{comment}(?:(?:{space})*+{comment})*+"
 
 
-def span_tiles(pairs: dict[str, Sequence[str]], *, ignore_case: bool, closed_only: bool) -> str:
-    """Matches that tile a text into plain pieces and tagged spans.
+def span_tiles(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool, closed_only: bool) -> str:
+    """Matches of a plain piece (group 1) and the tagged span behind it (group 2), until the end of the text.
 
     A span runs from a start tag through the nearest of its end tags.  One that never
     closes takes the rest of the text: as a span, or as plain text if ``closed_only``.
@@ -103,8 +111,17 @@ def span_tiles(pairs: dict[str, Sequence[str]], *, ignore_case: bool, closed_onl
         open_ends.append(f"{opening}(?!{through(ends)}){_REST}")
     plain = plain_run(pairs) + (open_ends if closed_only else [])
     spans = spans if closed_only else spans + open_ends
-    flags = "(?iu)" if ignore_case else ""
-    return f"{flags}(?:{'|'.join(plain)})++|(?:{'|'.join(spans)})"
+    return rf"{_flags(ignore_case)}((?:{'|'.join(plain)})*+)({'|'.join(spans)}|\z)"
+
+
+def open_spans(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool) -> str:
+    """Matches of tagged spans up to, but not including, their end tag."""
+    spans = [f"(?={longest_wins(start, pairs)}){until(ends)}" for start, ends in pairs.items()]
+    return _flags(ignore_case) + "|".join(spans)
+
+
+def _flags(ignore_case: bool) -> str:
+    return "(?iu)" if ignore_case else ""
 
 
 def unused_char(starts: Iterable[str]) -> str:

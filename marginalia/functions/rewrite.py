@@ -57,14 +57,15 @@ def _without_break(text: Column) -> Column:
 def _right_side(text: Column, effects: Column) -> Column:
     """The text after a comment once the comment is gone."""
     return let(
-        tail(text, effects["cut_after"]),
+        F.when(effects["cut_after"] > 0, tail(text, effects["cut_after"])).otherwise(text),
         lambda rest: F.when(effects["cut_break"], _without_break(rest)).otherwise(rest),
     )
 
 
 def _left_side(text: Column, effects: Column) -> Column:
     """The text before a comment once the comment is gone."""
-    return _rtrim(F.substring(text, F.lit(1), F.length(text) - effects["cut_before"]))
+    cut = effects["cut_before"]
+    return _rtrim(F.when(cut > 0, F.substring(text, F.lit(1), F.length(text) - cut)).otherwise(text))
 
 
 def remove_comment(text: Column, item: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let, running_sum
-from marginalia.functions.patterns import occurrence_tiles, unused_char
+from marginalia.functions.patterns import STRING_QUOTE, occurrence_tiles, unused_char
 from marginalia.functions.text import count_newlines
 from marginalia.rules import CommentRules
 
@@ -38,11 +38,15 @@ def tiles(text: Column, pattern: str, pad: str) -> Column:
     return F.transform(pieces, lambda piece, i: F.when(i == 0, F.substring(piece, 2, 2**31 - 1)).otherwise(piece))
 
 
-def segments(text: Column, rules: CommentRules) -> Column:
+def cut(text: Column, rules: CommentRules) -> Column:
     """Plain pieces (even places) and occurrences (odd places) of a text."""
     starts = [start for start, _ in (*rules.remove, *rules.keep)]
-    cut = tiles(text, occurrence_tiles(rules), unused_char([*starts, '"']))
-    return F.when(has_start_tag(text, rules), cut).when(text.isNotNull(), F.array(text))
+    return tiles(text, occurrence_tiles(rules), unused_char([*starts, STRING_QUOTE]))
+
+
+def segments(text: Column, rules: CommentRules) -> Column:
+    """Like ``cut``, but a text without start tags is not searched at all."""
+    return F.when(has_start_tag(text, rules), cut(text, rules)).when(text.isNotNull(), F.array(text))
 
 
 def _odd(pieces: Column) -> Column:
@@ -61,26 +65,33 @@ def occurrences(pieces: Column) -> Column:
     """Occurrences with inclusive 0-based offsets, 1-based line range and text."""
 
     def located(segs: Column) -> Column:
-        sizes = F.transform(
-            segs, lambda seg: F.struct(F.length(seg).alias("chars"), count_newlines(seg).alias("newlines"))
-        )
-        starts = running_sum(
-            sizes,
-            zero=F.struct(F.lit(0).alias("chars"), F.lit(0).alias("newlines")),
-            plus=lambda a, b: F.struct(
-                (a["chars"] + b["chars"]).alias("chars"), (a["newlines"] + b["newlines"]).alias("newlines")
+        starts = running_sum(F.transform(segs, _extent), F.lit(0).cast("bigint"))
+        placed = F.zip_with(segs, starts, lambda seg, at: F.struct(seg.alias("text"), at.alias("at")))
+        return F.transform(
+            _odd(placed),
+            lambda item: _occurrence(
+                item["text"],
+                F.shiftright(item["at"], 32).cast("int"),
+                item["at"].bitwiseAND(F.lit(2**32 - 1)).cast("int"),
             ),
         )
-        placed = F.zip_with(segs, starts, lambda seg, at: F.struct(seg.alias("text"), at.alias("at")))
-        return F.transform(_odd(placed), lambda item: _occurrence(item["text"], item["at"]))
 
-    return F.when(F.size(pieces) > 1, let(pieces, located)).otherwise(F.array().cast(OCCURRENCES_TYPE))
+    nothing = F.array().cast(OCCURRENCES_TYPE)
+    return let(pieces, lambda segs: F.when(F.size(segs) > 1, located(segs)).otherwise(nothing))
+
+
+def _extent(seg: Column) -> Column:
+    """Characters (upper half) and line feeds (lower half) of a piece, so that one sum serves both."""
+    return F.shiftleft(F.length(seg).cast("bigint"), 32) + count_newlines(seg)
 
 
-def _occurrence(text: Column, at: Column) -> Column:
-    first, line = at["chars"], at["newlines"] + 1
+def _occurrence(text: Column, chars_before: Column, newlines_before: Column) -> Column:
+    line = newlines_before + 1
     return F.struct(
-        F.struct(first.alias("first"), (first + F.length(text) - 1).alias("last")).alias("pos"),
+        F.struct(
+            chars_before.alias("first"),
+            (chars_before + F.length(text) - 1).alias("last"),
+        ).alias("pos"),
         F.struct(line.alias("first"), (line + inner_newlines(text)).alias("last")).alias("lines"),
         text.alias("comment_text"),
     )

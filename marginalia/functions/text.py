@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, running_int_sum
+from marginalia.functions.arrays import let, running_sum
 
 # The characters that count as white space when a line is called blank.
 _NON_BLANK = (
@@ -16,7 +16,7 @@ _NON_BLANK = (
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.rlike(text, F.lit(_NON_BLANK))
+    return (text == "") | ~F.rlike(text, F.lit(_NON_BLANK))
 
 
 def count_newlines(text: Column) -> Column:
@@ -56,7 +56,7 @@ def line_contexts(text: Column, items: Column) -> Column:
     """
 
     def with_lines(lines: Column) -> Column:
-        starts = running_int_sum(F.transform(lines, lambda line: F.length(line) + 1))
+        starts = running_sum(F.transform(lines, lambda line: F.length(line) + 1), F.lit(0))
         table = F.struct(lines.alias("lines"), starts.alias("starts"))
         return let(
             table,
@@ -87,13 +87,13 @@ def positions(text: Column, needle: str) -> Column:
     if not needle:
         raise ValueError("needle may not be empty")
     head, rest = re.escape(needle[0]), re.escape(needle[1:])
-    step = rf"[\s\S]*?{head}(?={rest})" if rest else rf"[^{head}]*+{head}"
+    step = rf"(?s:.)*?{head}(?={rest})" if rest else rf"[^{head}]*+{head}"
     # The needle appended at the end is always found, so no search ever runs into the end of the text.
     steps = F.regexp_extract_all(F.concat(text, F.lit(needle)), F.lit(step), F.lit(0))
     sizes = F.transform(steps, F.length)
 
     def starts(counts: Column) -> Column:
-        found = F.zip_with(counts, running_int_sum(counts), lambda count, before: before + count - 1)
+        found = F.zip_with(counts, running_sum(counts, F.lit(0)), lambda count, before: before + count - 1)
         return F.filter(found, lambda at: at + len(needle) <= F.length(text))
 
     return F.when(F.contains(text, F.lit(needle)), let(sizes, starts)).otherwise(F.array().cast("array<int>"))

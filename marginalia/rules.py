@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -13,6 +14,8 @@ CONTAINS = "CONTAINS"
 LINE_END = "\n"
 BLOCK_SEPARATOR = "..."
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
+
 
 class RuleError(ValueError):
     """A rule that cannot be used."""
@@ -59,6 +62,11 @@ def parse_block(rule: str) -> tuple[str, str]:
     return parts[0], parts[1]
 
 
+def root_path(root: str) -> str:
+    """``hdfs://host:1/a/b/`` -> ``/a/b``, the form in which paths are compared."""
+    return re.sub(SCHEME, "", root).rstrip("/")
+
+
 def _slashes(text: str) -> str:
     return text.replace("\\", "/")
 
@@ -117,6 +125,11 @@ class JobConfig:
     paths: PathRules = field(default_factory=PathRules)
     endings: tuple[str, ...] = ()
 
+    @property
+    def base(self) -> str:
+        """What the paths of all source files begin with."""
+        return root_path(self.source_root)
+
     @staticmethod
     def parse(
         source_root: str,
