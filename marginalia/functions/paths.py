@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterable
 from functools import reduce
 
@@ -12,14 +11,30 @@ from pyspark.sql import functions as F
 from marginalia.rules import CONTAINS, ENDS_WITH, EXACT, SCHEME, STARTS_WITH, PathRule, PathRules
 
 
-def matches_rule(text: Column, rule: PathRule) -> Column:
-    test = {EXACT: operator.eq, STARTS_WITH: F.startswith, ENDS_WITH: F.endswith, CONTAINS: F.contains}
-    return test[rule.match_type](text, F.lit(rule.filter_text))
+_TESTS = {STARTS_WITH: F.startswith, ENDS_WITH: F.endswith, CONTAINS: F.contains}
+_FEW = 8
+
+
+def any_true(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _one_of(text: Column, match_type: str, wanted: list[str]) -> Column:
+    """One match type, any of some texts; a long list is one array rather than one deep expression."""
+    if match_type == EXACT:
+        return text.isin(wanted)
+    test = _TESTS[match_type]
+    if len(wanted) <= _FEW:
+        return any_true(test(text, F.lit(w)) for w in wanted)
+    return F.exists(F.array(*map(F.lit, wanted)), lambda w: test(text, w))
 
 
 def matches_any(text: Column, rules: Iterable[PathRule]) -> Column:
     """True if a rule matches; an empty list matches nothing."""
-    return reduce(lambda a, b: a | b, (matches_rule(text, rule) for rule in rules), F.lit(False))
+    by_type: dict[str, list[str]] = {}
+    for rule in rules:
+        by_type.setdefault(rule.match_type, []).append(rule.filter_text)
+    return any_true(_one_of(text, match_type, wanted) for match_type, wanted in by_type.items())
 
 
 def matches_includes(text: Column, rules: Iterable[PathRule]) -> Column:
@@ -47,7 +62,7 @@ def passes(path: Column, base: str, rules: PathRules) -> Column:
 def ends_with_any(text: Column, endings: Iterable[str], ignore_case: bool = False) -> Column:
     """True if the text has one of the endings; an empty list matches nothing."""
     fold = F.lower if ignore_case else (lambda c: c)
-    return reduce(lambda a, b: a | b, (F.endswith(fold(text), fold(F.lit(e))) for e in endings), F.lit(False))
+    return any_true(F.endswith(fold(text), fold(F.lit(ending))) for ending in endings)
 
 
 def relative(path: Column, base: str) -> Column:

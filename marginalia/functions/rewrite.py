@@ -5,84 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let
-from marginalia.functions.scan import inner_newlines, occurrences
-from marginalia.functions.text import first_line, is_blank, last_line, line_after, line_before, tail
-
-
-def _rtrim(text: Column) -> Column:
-    return F.rtrim(text, F.lit(" \t"))
-
-
-def _effects(before: Column, after: Column, multi: Column, line_comment: Column) -> Column:
+from marginalia.functions.arrays import let, let_sql
+from marginalia.functions.scan import inner_newlines_sql, occurrences_sql
+from marginalia.functions.text import (
+    blank_sql,
+    first_line_sql,
+    last_line_sql,
+    line_after_sql,
+    line_before_sql,
+    tail_sql,
+)
+
+
+def _effects(before: str, after: str, multi: str, line_comment: str) -> str:
     """What removing a comment does to the text on both sides of it."""
-
-    def flags(context: Column) -> Column:
-        blank_before, blank_after = context["blank_before"], context["blank_after"]
-        multi_, line_ = context["multi"], context["line"]
-        own_line = blank_before & blank_after
-        separator = (
-            F.when(blank_before, "")
-            .when(line_, "\n")
-            .when(blank_after, "")
-            .when(multi_, "\n")
-            .otherwise(F.when(F.startswith(after, F.lit(" ")), "").otherwise(" "))
-        )
-        return F.struct(
-            F.when(blank_before & (multi_ | blank_after), F.length(before)).otherwise(0).alias("cut_before"),
-            F.when(blank_after & (multi_ | blank_before) & ~line_, F.length(after)).otherwise(0).alias("cut_after"),
-            (multi_ & own_line).alias("cut_break"),
-            separator.alias("separator"),
-        )
-
-    return let(
-        F.struct(
-            is_blank(before).alias("blank_before"),
-            (line_comment | is_blank(after)).alias("blank_after"),
-            multi.alias("multi"),
-            line_comment.alias("line"),
-        ),
-        flags,
-    )
+    blank = f"named_struct('before', {blank_sql('line.before')}, 'after', line.ended or {blank_sql('line.after')})"
+    effects = """named_struct(
+        'cut_before', if(blank.before and (line.multi or blank.after), length(line.before), 0),
+        'cut_after', if(blank.after and (line.multi or blank.before) and not line.ended, length(line.after), 0),
+        'cut_break', line.multi and blank.before and blank.after,
+        'separator', case
+            when blank.before then ''
+            when line.ended then chr(10)
+            when blank.after then ''
+            when line.multi then chr(10)
+            when startswith(line.after, ' ') then ''
+            else ' ' end)"""
+    line = f"named_struct('before', {before}, 'after', {after}, 'multi', {multi}, 'ended', {line_comment})"
+    return let_sql("line", line, let_sql("blank", blank, effects))
+
+
+def _right_side(text: str, effects: str) -> str:
+    """The text after a comment once the comment is gone."""
+    # A line break is one CR, if there is one, and then one LF.
+    no_cr = "if(startswith(kept, chr(13)), substring(kept, 2), kept)"
+    no_break = let_sql("rest", no_cr, "if(startswith(rest, chr(10)), substring(rest, 2), rest)")
+    kept = f"if({effects}.cut_after > 0, {tail_sql(text, f'{effects}.cut_after')}, {text})"
+    return let_sql("kept", kept, f"if({effects}.cut_break, {no_break}, kept)")
 
 
-def _without_break(text: Column) -> Column:
-    """``text`` without one leading CR and then one leading LF."""
-    return let(
-        F.when(F.startswith(text, F.lit("\r")), tail(text, F.lit(1))).otherwise(text),
-        lambda rest: F.when(F.startswith(rest, F.lit("\n")), tail(rest, F.lit(1))).otherwise(rest),
-    )
+def _left_side(text: str, effects: str) -> str:
+    """The text before a comment once the comment is gone."""
+    kept = f"if({effects}.cut_before > 0, substring({text}, 1, length({text}) - {effects}.cut_before), {text})"
+    return f"rtrim(concat(' ', chr(9)), {kept})"
 
 
-def _right_side(text: Column, effects: Column) -> Column:
-    """The text after a comment once the comment is gone."""
-    return let(
-        F.when(effects["cut_after"] > 0, tail(text, effects["cut_after"])).otherwise(text),
-        lambda rest: F.when(effects["cut_break"], _without_break(rest)).otherwise(rest),
+def _without(text: str, item: str) -> str:
+    """``text`` without one comment."""
+    first, last = f"{item}.pos.first", f"{item}.pos.last"
+    effects = _effects(
+        line_before_sql(text, first),
+        line_after_sql(text, last),
+        f"{item}.lines.first < {item}.lines.last",
+        f"endswith({item}.comment_text, chr(10))",
     )
+    left = let_sql("head", f"substring({text}, 1, {first})", _left_side("head", "effects"))
+    right = let_sql("rest", tail_sql(text, f"{last} + 1"), _right_side("rest", "effects"))
+    return let_sql("effects", effects, f"concat({left}, effects.separator, {right})")
 
 
-def _left_side(text: Column, effects: Column) -> Column:
-    """The text before a comment once the comment is gone."""
-    cut = effects["cut_before"]
-    return _rtrim(F.when(cut > 0, F.substring(text, F.lit(1), F.length(text) - cut)).otherwise(text))
+def _one_by_one(text: str, items: str) -> str:
+    return f"aggregate(reverse(array_sort({items})), {text}, (done, item) -> {_without('done', 'item')})"
 
 
 def remove_comment(text: Column, item: Column) -> Column:
     """``text`` without one comment given by its ``pos``, ``lines`` and ``comment_text``."""
-    first, last = item["pos"]["first"], item["pos"]["last"]
-    effects = _effects(
-        line_before(text, first),
-        line_after(text, last),
-        item["lines"]["first"] < item["lines"]["last"],
-        F.endswith(item["comment_text"], F.lit("\n")),
-    )
-    return let(
-        effects,
-        lambda e: F.concat(
-            _left_side(F.substring(text, F.lit(1), first), e), e["separator"], _right_side(tail(text, last + 1), e)
-        ),
-    )
+    return let(F.struct(text.alias("text"), item.alias("item")), f"file -> {_without('file.text', 'file.item')}")
 
 
 def remove_comments(text: Column, items: Column) -> Column:
@@ -91,8 +79,7 @@ def remove_comments(text: Column, items: Column) -> Column:
     Works for any ranges, but copies the text once per comment; ``cleaned`` gives the
     same result for scanned texts in one go.
     """
-    ordered = F.reverse(F.array_sort(items))
-    return F.aggregate(ordered, text, lambda rest, item: remove_comment(rest, item))
+    return let(F.struct(text.alias("text"), items.alias("items")), f"file -> {_one_by_one('file.text', 'file.items')}")
 
 
 def cleaned(pieces: Column) -> Column:
@@ -103,48 +90,35 @@ def cleaned(pieces: Column) -> Column:
     can be cut at once.  Only if such a piece is blank in the wider Unicode sense
     (say, a lone no-break space) can removals meet; those texts are done one by one.
     """
-    return let(pieces, _cleaned)
-
-
-def _cleaned(segs: Column) -> Column:
-    size = F.size(segs)
-    inner = F.filter(segs, lambda _, i: (i % 2 == 0) & (i > 0))
-    inner = F.slice(inner, F.lit(1), F.floor(size / 2).cast("int") - 1)
-    removals_meet = F.exists(inner, is_blank)
-    one_by_one = remove_comments(F.array_join(segs, ""), occurrences(segs))
-    return F.when(size < 2, F.array_join(segs, "")).when(removals_meet, one_by_one).otherwise(_spliced(segs))
-
-
-def _spliced(segs: Column) -> Column:
-    def effects_at(place: Column) -> Column:
-        comment = F.element_at(segs, place)
-        return _effects(
-            last_line(F.element_at(segs, place - 1)),
-            first_line(F.coalesce(F.try_element_at(segs, place + 1), F.lit(""))),
-            inner_newlines(comment) > 0,
-            F.endswith(comment, F.lit("\n")),
-        )
-
-    def join(effects: Column) -> Column:
-        count = F.size(effects)
-        plain = F.filter(segs, lambda _, i: i % 2 == 0)
-        sides = F.transform(
-            plain,
-            lambda piece, i: F.struct(
-                piece.alias("text"),
-                F.when(i > 0, F.try_element_at(effects, i)).alias("left"),
-                F.when(i < count, F.try_element_at(effects, i + 1)).alias("right"),
-            ),
-        )
-        kept = F.transform(
-            sides,
-            lambda side: let(
-                F.when(side["left"].isNotNull(), _right_side(side["text"], side["left"])).otherwise(side["text"]),
-                lambda text: F.when(
-                    side["right"].isNotNull(), F.concat(_left_side(text, side["right"]), side["right"]["separator"])
-                ).otherwise(text),
-            ),
-        )
-        return F.array_join(kept, "")
-
-    return let(F.transform(F.sequence(F.lit(2), F.size(segs), F.lit(2)), effects_at), join)
+    whole = "array_join(segs, '')"
+    # Plain pieces between occurrences: not the first one, and not the one behind the last occurrence.
+    inner = "slice(filter(segs, (seg, i) -> i % 2 = 0 and i > 0), 1, size(segs) div 2 - 1)"
+    return let(
+        pieces,
+        f"""segs -> case
+            when size(segs) < 2 then {whole}
+            when exists({inner}, seg -> {blank_sql('seg')}) then {_one_by_one(whole, occurrences_sql('segs'))}
+            else {_spliced('segs')} end""",
+    )
+
+
+def _spliced(segs: str) -> str:
+    effects = _effects(
+        last_line_sql(f"{segs}[at - 1]"),
+        first_line_sql(f"coalesce(get({segs}, at + 1), '')"),
+        f"{inner_newlines_sql(f'{segs}[at]')} > 0",
+        f"endswith({segs}[at], chr(10))",
+    )
+    after_left = f"if(side.left is null, side.text, {_right_side('side.text', 'side.left')})"
+    piece = let_sql(
+        "text",
+        after_left,
+        f"if(side.right is null, text, concat({_left_side('text', 'side.right')}, side.right.separator))",
+    )
+    sides = f"""transform(filter({segs}, (seg, i) -> i % 2 = 0),
+        (text, i) -> named_struct('text', text, 'left', get(removals, i - 1), 'right', get(removals, i)))"""
+    return let_sql(
+        "removals",
+        f"transform(sequence(1, size({segs}) - 1, 2), at -> {effects})",
+        f"array_join(transform({sides}, side -> {piece}), '')",
+    )

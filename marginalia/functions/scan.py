@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, running_sum
+from marginalia.functions.arrays import let, running_sum_sql
 from marginalia.functions.patterns import STRING_QUOTE, occurrence_tiles, unused_char
-from marginalia.functions.text import count_newlines
+from marginalia.functions.text import newlines_sql
 from marginalia.rules import CommentRules
 
 OCCURRENCES_TYPE = (
@@ -63,40 +63,24 @@ def occurrence_count(pieces: Column) -> Column:
 
 def occurrences(pieces: Column) -> Column:
     """Occurrences with inclusive 0-based offsets, 1-based line range and text."""
+    return let(pieces, f"segs -> {occurrences_sql('segs')}")
 
-    def located(segs: Column) -> Column:
-        starts = running_sum(F.transform(segs, _extent), F.lit(0).cast("bigint"))
-        placed = F.zip_with(segs, starts, lambda seg, at: F.struct(seg.alias("text"), at.alias("at")))
-        return F.transform(
-            _odd(placed),
-            lambda item: _occurrence(
-                item["text"],
-                F.shiftright(item["at"], 32).cast("int"),
-                item["at"].bitwiseAND(F.lit(2**32 - 1)).cast("int"),
-            ),
-        )
 
-    nothing = F.array().cast(OCCURRENCES_TYPE)
-    return let(pieces, lambda segs: F.when(F.size(segs) > 1, located(segs)).otherwise(nothing))
+def occurrences_sql(segs: str) -> str:
+    # Characters (upper half) and line feeds (lower half) of a piece, so that one sum serves both.
+    extents = f"transform({segs}, seg -> shiftleft(bigint(length(seg)), 32) + {newlines_sql('seg')})"
+    return f"""if(size({segs}) > 1, transform(
+        filter(
+            zip_with({segs}, {running_sum_sql(extents, "0L")},
+                (seg, sum) -> named_struct('text', seg, 'first', int(shiftright(sum, 32)), 'line', int(sum & 4294967295L) + 1)),
+            (piece, i) -> i % 2 = 1),
+        piece -> named_struct(
+            'pos', named_struct('first', piece.first, 'last', piece.first + length(piece.text) - 1),
+            'lines', named_struct('first', piece.line, 'last', piece.line + {inner_newlines_sql('piece.text')}),
+            'comment_text', piece.text)),
+        cast(array() as {OCCURRENCES_TYPE}))"""
 
 
-def _extent(seg: Column) -> Column:
-    """Characters (upper half) and line feeds (lower half) of a piece, so that one sum serves both."""
-    return F.shiftleft(F.length(seg).cast("bigint"), 32) + count_newlines(seg)
-
-
-def _occurrence(text: Column, chars_before: Column, newlines_before: Column) -> Column:
-    line = newlines_before + 1
-    return F.struct(
-        F.struct(
-            chars_before.alias("first"),
-            (chars_before + F.length(text) - 1).alias("last"),
-        ).alias("pos"),
-        F.struct(line.alias("first"), (line + inner_newlines(text)).alias("last")).alias("lines"),
-        text.alias("comment_text"),
-    )
-
-
-def inner_newlines(text: Column) -> Column:
+def inner_newlines_sql(text: str) -> str:
     """Line feeds of a comment without the one that ends it."""
-    return count_newlines(text) - F.endswith(text, F.lit("\n")).cast("int")
+    return f"({newlines_sql(text)} - int(endswith({text}, chr(10))))"

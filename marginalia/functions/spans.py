@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, running_sum
+from marginalia.functions.arrays import let, literal, running_sum_sql
 from marginalia.functions.patterns import open_spans, span_tiles
 
 Pairs = Mapping[str, str | Sequence[str]]
@@ -33,48 +32,39 @@ def extract_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Colum
     """
     pairs = _pairs(tags)
     gaps, spans = _gaps_and_spans(text, span_tiles(pairs, ignore_case=ignore_case, closed_only=True))
-    fold = F.upper if ignore_case else (lambda c: c)
-
-    def tag_of(span: Column) -> Column:
-        """Start and end tag of a span."""
-        folded = fold(span)
-        cases = [
-            (
-                F.startswith(folded, fold(F.lit(start)))
-                & F.endswith(folded, fold(F.lit(end)))
-                & (F.length(span) >= len(start) + len(end)),
-                F.struct(F.lit(start).alias("start_tag"), F.lit(end).alias("end_tag")),
-            )
-            for start in sorted(pairs, key=len, reverse=True)
-            for end in sorted(pairs[start], key=len, reverse=True)
-        ]
-        return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), F.lit(None))
-
-    def described(found: Column) -> Column:
-        sizes = F.transform(found, lambda f: F.length(f["gap"]) + F.length(f["span"]))
-        placed = F.zip_with(
-            found,
-            running_sum(sizes, F.lit(0)),
-            lambda f, at: F.struct(
-                f["span"].alias("span"), (at + F.length(f["gap"])).alias("at"), tag_of(f["span"]).alias("tag")
-            ),
-        )
-        return F.transform(
-            F.filter(placed, lambda p: p["span"] != ""),
-            lambda p: F.struct(
-                p["tag"]["start_tag"].alias("start_tag"),
-                p["tag"]["end_tag"].alias("end_tag"),
-                (p["at"] + F.length(p["tag"]["start_tag"])).alias("start_pos"),
-                (p["at"] + F.length(p["span"]) - F.length(p["tag"]["end_tag"])).alias("end_pos"),
-                F.substring(
-                    p["span"],
-                    F.length(p["tag"]["start_tag"]) + 1,
-                    F.length(p["span"]) - F.length(p["tag"]["start_tag"]) - F.length(p["tag"]["end_tag"]),
-                ).alias("content"),
-            ),
-        )
-
-    return let(F.zip_with(gaps, spans, lambda gap, span: F.struct(gap.alias("gap"), span.alias("span"))), described)
+    found = F.zip_with(gaps, spans, lambda gap, span: F.struct(gap.alias("gap"), span.alias("span")))
+    sizes = "transform(found, piece -> length(piece.gap) + length(piece.span))"
+    return let(
+        found,
+        f"""found -> transform(
+            filter(
+                zip_with(found, {running_sum_sql(sizes, "0")}, (piece, sum) -> named_struct(
+                    'span', piece.span, 'at', sum + length(piece.gap), 'tag', {_tags_of('piece.span', pairs, ignore_case)})),
+                piece -> piece.span <> ''),
+            piece -> named_struct(
+                'start_tag', piece.tag.start_tag,
+                'end_tag', piece.tag.end_tag,
+                'start_pos', piece.at + length(piece.tag.start_tag),
+                'end_pos', piece.at + length(piece.span) - length(piece.tag.end_tag),
+                'content', substring(piece.span, length(piece.tag.start_tag) + 1,
+                    length(piece.span) - length(piece.tag.start_tag) - length(piece.tag.end_tag))))""",
+    )
+
+
+def _tags_of(span: str, pairs: Mapping[str, Sequence[str]], ignore_case: bool) -> str:
+    """SQL text that tells the start and the end tag of a span, longest tags first."""
+
+    def folded(text: str) -> str:
+        return f"upper({text})" if ignore_case else text
+
+    cases = [
+        f"when startswith({folded(span)}, {folded(literal(start))}) and endswith({folded(span)}, {folded(literal(end))}) "
+        f"and length({span}) >= {len(start) + len(end)} "
+        f"then named_struct('start_tag', {literal(start)}, 'end_tag', {literal(end)})"
+        for start in sorted(pairs, key=len, reverse=True)
+        for end in sorted(pairs[start], key=len, reverse=True)
+    ]
+    return f"case {' '.join(cases)} end"
 
 
 def strip_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Column:

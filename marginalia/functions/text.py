@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, running_sum
+from marginalia.functions.arrays import let, let_sql, running_sum_sql
 
 # The characters that count as white space when a line is called blank.
 _NON_BLANK = (
@@ -15,37 +15,46 @@ _NON_BLANK = (
 )
 
 
-def is_blank(text: Column) -> Column:
-    return (text == "") | ~F.rlike(text, F.lit(_NON_BLANK))
+def blank_sql(text: str) -> str:
+    return f"({text} = '' or not rlike({text}, r'{_NON_BLANK}'))"
 
 
-def count_newlines(text: Column) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+def newlines_sql(text: str) -> str:
+    return f"(octet_length({text}) - octet_length(replace({text}, chr(10), '')))"
 
 
-def first_line(text: Column) -> Column:
+def first_line_sql(text: str) -> str:
     """Text up to the first line feed, without it."""
-    return F.substring_index(text, "\n", 1)
+    return f"substring_index({text}, chr(10), 1)"
 
 
-def last_line(text: Column) -> Column:
+def last_line_sql(text: str) -> str:
     """Text after the last line feed."""
-    return F.substring_index(text, "\n", -1)
+    return f"substring_index({text}, chr(10), -1)"
 
 
-def tail(text: Column, start: Column) -> Column:
+def tail_sql(text: str, start: str) -> str:
     """Text from the 0-based offset ``start`` on."""
-    return F.substring(text, start + 1, F.length(text))
+    return f"substring({text}, {start} + 1)"
+
+
+def line_before_sql(text: str, pos: str) -> str:
+    return last_line_sql(f"substring({text}, 1, {pos})")
+
+
+def line_after_sql(text: str, pos: str) -> str:
+    rest = first_line_sql(tail_sql(text, f"{pos} + 1"))
+    return f"if(substring({text}, {pos} + 1, 1) = chr(10), '', {rest})"
 
 
 def line_before(text: Column, pos: Column) -> Column:
     """What stands before offset ``pos`` on its line."""
-    return last_line(F.substring(text, F.lit(1), pos))
+    return let(F.struct(text.alias("text"), pos.alias("pos")), f"at -> {line_before_sql('at.text', 'at.pos')}")
 
 
 def line_after(text: Column, pos: Column) -> Column:
     """What stands after offset ``pos`` on its line; nothing if ``pos`` is the line feed itself."""
-    return F.when(F.substring(text, pos + 1, F.lit(1)) == "\n", F.lit("")).otherwise(first_line(tail(text, pos + 1)))
+    return let(F.struct(text.alias("text"), pos.alias("pos")), f"at -> {line_after_sql('at.text', 'at.pos')}")
 
 
 def line_contexts(text: Column, items: Column) -> Column:
@@ -54,32 +63,14 @@ def line_contexts(text: Column, items: Column) -> Column:
     The text is cut into lines once, so the cost does not grow with the number of
     items times the length of the text.
     """
-
-    def with_lines(lines: Column) -> Column:
-        starts = running_sum(F.transform(lines, lambda line: F.length(line) + 1), F.lit(0))
-        table = F.struct(lines.alias("lines"), starts.alias("starts"))
-        return let(
-            table,
-            lambda t: F.transform(
-                items,
-                lambda item: F.struct(
-                    item["pos"].alias("pos"),
-                    item["lines"].alias("lines"),
-                    item["comment_text"].alias("comment_text"),
-                    F.substring(
-                        F.element_at(t["lines"], item["lines"]["first"]),
-                        F.lit(1),
-                        item["pos"]["first"] - F.element_at(t["starts"], item["lines"]["first"]),
-                    ).alias("before"),
-                    tail(
-                        F.element_at(t["lines"], item["lines"]["last"]),
-                        item["pos"]["last"] - F.element_at(t["starts"], item["lines"]["last"]) + 1,
-                    ).alias("after"),
-                ),
-            ),
-        )
-
-    return let(F.split(text, "\n", -1), with_lines)
+    starts = running_sum_sql("transform(file.lines, line -> length(line) + 1)", "0")
+    first, last = "item.lines.first - 1", "item.lines.last - 1"
+    contexts = f"""transform(file.items, item -> named_struct(
+        'pos', item.pos, 'lines', item.lines, 'comment_text', item.comment_text,
+        'before', substring(file.lines[{first}], 1, item.pos.first - starts[{first}]),
+        'after', {tail_sql(f"file.lines[{last}]", f"item.pos.last - starts[{last}] + 1")}))"""
+    file = F.struct(F.split(text, "\n", -1).alias("lines"), items.alias("items"))
+    return let(file, f"file -> {let_sql('starts', starts, contexts)}")
 
 
 def positions(text: Column, needle: str) -> Column:
@@ -90,13 +81,11 @@ def positions(text: Column, needle: str) -> Column:
     step = rf"(?s:.)*?{head}(?={rest})" if rest else rf"[^{head}]*+{head}"
     # The needle appended at the end is always found, so no search ever runs into the end of the text.
     steps = F.regexp_extract_all(F.concat(text, F.lit(needle)), F.lit(step), F.lit(0))
-    sizes = F.transform(steps, F.length)
-
-    def starts(counts: Column) -> Column:
-        found = F.zip_with(counts, running_sum(counts, F.lit(0)), lambda count, before: before + count - 1)
-        return F.filter(found, lambda at: at + len(needle) <= F.length(text))
-
-    return F.when(F.contains(text, F.lit(needle)), let(sizes, starts)).otherwise(F.array().cast("array<int>"))
+    starts = f"""sizes -> filter(
+        zip_with(sizes, {running_sum_sql("sizes", "0")}, (size, sum) -> sum + size - 1),
+        at -> at + {len(needle)} <= array_max(array(0, aggregate(sizes, 0, (sum, size) -> sum + size) - {len(needle)})))"""
+    found = let(F.transform(steps, F.length), starts)
+    return F.when(F.contains(text, F.lit(needle)), found).otherwise(F.array().cast("array<int>"))
 
 
 def line_number(pos: Column, newline_positions: Column) -> Column:
