@@ -98,17 +98,28 @@ def occurrence_tiles(rules: CommentRules) -> str:
     return f"{plain}++|{comment}(?:(?:{space})*+{comment})*+"
 
 
+def _openings(pairs: Mapping[str, Sequence[str]], ignore_case: bool) -> list[tuple[str, Sequence[str]]]:
+    """Patterns of start tags with their end tags; of tags at the same place the one listed first wins."""
+    fold = str.lower if ignore_case else str
+    openings: list[tuple[str, Sequence[str]]] = []
+    earlier: list[str] = []
+    for start, ends in pairs.items():
+        if not any(fold(start).startswith(fold(e)) for e in earlier):
+            ahead = [e for e in earlier if fold(e).startswith(fold(start))]
+            openings.append(((f"(?!{any_of(ahead)})" if ahead else "") + re.escape(start), ends))
+        earlier.append(start)
+    return openings
+
+
 def span_tiles(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool, closed_only: bool) -> str:
     """Matches of a plain piece (group 1) and the tagged span behind it (group 2), until the end of the text.
 
     A span runs from a start tag through the nearest of its end tags.  One that never
     closes takes the rest of the text: as a span, or as plain text if ``closed_only``.
     """
-    spans, open_ends = [], []
-    for start, ends in pairs.items():
-        opening = longest_wins(start, pairs)
-        spans.append(opening + through(ends))
-        open_ends.append(f"{opening}(?!{through(ends)}){_REST}")
+    openings = _openings(pairs, ignore_case)
+    spans = [opening + through(ends) for opening, ends in openings]
+    open_ends = [f"{opening}(?!{through(ends)}){_REST}" for opening, ends in openings]
     plain = plain_run(pairs) + (open_ends if closed_only else [])
     spans = spans if closed_only else spans + open_ends
     return rf"{_flags(ignore_case)}((?:{'|'.join(plain)})*+)({'|'.join(spans)}|\z)"
@@ -116,7 +127,7 @@ def span_tiles(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool, closed_
 
 def open_spans(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool) -> str:
     """Matches of tagged spans up to, but not including, their end tag."""
-    spans = [f"(?={longest_wins(start, pairs)}){until(ends)}" for start, ends in pairs.items()]
+    spans = [f"(?={opening}){until(ends)}" for opening, ends in _openings(pairs, ignore_case)]
     return _flags(ignore_case) + "|".join(spans)
 
 

@@ -27,8 +27,8 @@ def _gaps_and_spans(text: Column, pattern: str) -> tuple[Column, Column]:
 def extract_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Column:
     """Tagged spans: tags, content, and the content's start (inclusive) and end (exclusive) offset.
 
-    The earliest start tag opens a span, the nearest of its end tags closes it; a start
-    tag that is never closed ends the search.
+    The earliest start tag opens a span, the nearest of its end tags closes it; of tags
+    at one place the one listed first wins.  A start tag that is never closed ends the search.
     """
     pairs = _pairs(tags)
     gaps, spans = _gaps_and_spans(text, span_tiles(pairs, ignore_case=ignore_case, closed_only=True))
@@ -52,7 +52,7 @@ def extract_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Colum
 
 
 def _tags_of(span: str, pairs: Mapping[str, Sequence[str]], ignore_case: bool) -> str:
-    """SQL text that tells the start and the end tag of a span, longest tags first."""
+    """SQL text that tells the start and the end tag of a span, in the order in which tags win."""
 
     def folded(text: str) -> str:
         return f"upper({text})" if ignore_case else text
@@ -61,7 +61,7 @@ def _tags_of(span: str, pairs: Mapping[str, Sequence[str]], ignore_case: bool) -
         f"when startswith({folded(span)}, {folded(literal(start))}) and endswith({folded(span)}, {folded(literal(end))}) "
         f"and length({span}) >= {len(start) + len(end)} "
         f"then named_struct('start_tag', {literal(start)}, 'end_tag', {literal(end)})"
-        for start in sorted(pairs, key=len, reverse=True)
+        for start in pairs
         for end in sorted(pairs[start], key=len, reverse=True)
     ]
     return f"case {' '.join(cases)} end"
@@ -73,9 +73,10 @@ def strip_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Column:
     A region that never closes is stripped to the end of the text.
     """
     pairs = _pairs(tags)
+    fold = str.lower if ignore_case else str
     for start, ends in pairs.items():
         for end in ends:
-            if start.startswith(end) or end.startswith(start):
+            if fold(start).startswith(fold(end)) or fold(end).startswith(fold(start)):
                 raise ValueError(f"{start!r} and {end!r}: one tag may not begin with the other")
     return F.regexp_replace(text, open_spans(pairs, ignore_case=ignore_case), "")
 

@@ -79,12 +79,12 @@ def positions(text: Column, needle: str) -> Column:
         raise ValueError("needle may not be empty")
     head, rest = re.escape(needle[0]), re.escape(needle[1:])
     step = rf"(?s:.)*?{head}(?={rest})" if rest else rf"[^{head}]*+{head}"
-    # The needle appended at the end is always found, so no search ever runs into the end of the text.
+    # The needle appended at the end is always found, so no search ever runs into the end
+    # of the text; where it is found is the length of the text.
     steps = F.regexp_extract_all(F.concat(text, F.lit(needle)), F.lit(step), F.lit(0))
-    starts = f"""sizes -> filter(
-        zip_with(sizes, {running_sum_sql("sizes", "0")}, (size, sum) -> sum + size - 1),
-        at -> at + {len(needle)} <= array_max(array(0, aggregate(sizes, 0, (sum, size) -> sum + size) - {len(needle)})))"""
-    found = let(F.transform(steps, F.length), starts)
+    starts = f"zip_with(sizes, {running_sum_sql('sizes', '0')}, (size, sum) -> sum + size - 1)"
+    inside = f"filter(starts, start -> start + {len(needle)} <= element_at(starts, -1))"
+    found = let(F.transform(steps, F.length), f"sizes -> {let_sql('starts', starts, inside)}")
     return F.when(F.contains(text, F.lit(needle)), found).otherwise(F.array().cast("array<int>"))
 
 

@@ -19,7 +19,7 @@ from marginalia.functions import paths, preview, scan, times
 from marginalia.operators import files
 from marginalia.operators.naming import order_bounds, summary_names
 from marginalia.plans.workspace import shared_dir
-from marginalia.rules import JobConfig
+from marginalia.rules import JobConfig, root_path
 
 CODE_ARCHIVE = "code_archive"
 OPERATION_INDEX = "operation_index"
@@ -98,6 +98,9 @@ def archive_run(
     shared folder, and every output reads just the columns it needs from there: a lost
     executor costs a piece of that table, never the scan.
     """
+    target = snapshot_path or f"{config.archive_root}/snapshot"
+    if config.base and f"{root_path(target)}/".startswith(f"{config.base}/"):
+        raise ValueError("cleaned files are never written into the source tree")
     run_id = run_id or new_run_id(spark)
     staging = shared_dir(spark)
     scanned_run(sources, config).write.parquet(staging)
@@ -111,7 +114,7 @@ def archive_run(
     write(code_archive(run), f"{root}/{CODE_ARCHIVE}")
     write(operation_index(run), f"{root}/{OPERATION_INDEX}")
     write(summary(run, order_bounds(run, "path")), f"{root}/{SUMMARY}")
-    write(snapshot(run), snapshot_path or f"{root}/snapshot")
+    write(snapshot(run), target)
     return run_id
 
 

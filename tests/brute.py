@@ -93,3 +93,53 @@ def cleaned(text, found):
 def random_texts(count, alphabet, longest=25, seed=7):
     rng = random.Random(seed)
     return sorted({"".join(rng.choices(alphabet, k=rng.randint(0, longest))) for _ in range(count)})
+
+
+def spans(text, pairs, fold=str):
+    """(start tag, end tag, start, end, content) of tagged spans, up to the first that does not close."""
+    low, found, i = fold(text), [], 0
+    while i < len(text):
+        start = next((s for s in pairs if low.startswith(fold(s), i)), None)
+        if start is None:
+            i += 1
+            continue
+        begin = i + len(start)
+        stops = [(low.find(fold(e), begin), n, e) for n, e in enumerate(pairs[start]) if low.find(fold(e), begin) >= 0]
+        if not stops:
+            break
+        at, _, end = min(stops)
+        found.append((start, end, begin, at, text[begin:at]))
+        i = at + len(end)
+    return found
+
+
+def stripped(text, pairs, fold=str):
+    low, out, i = fold(text), [], 0
+    while i < len(text):
+        start = next((s for s in pairs if low.startswith(fold(s), i)), None)
+        if start is None:
+            out.append(text[i])
+            i += 1
+            continue
+        i = min((at for at in (low.find(fold(e), i) for e in pairs[start]) if at >= 0), default=len(text))
+    return "".join(out)
+
+
+def masked(text, pairs, mask, fold=str):
+    low, out, i = fold(text), [], 0
+    while i < len(text):
+        start = next((s for s in pairs if low.startswith(fold(s), i)), None)
+        if start is None:
+            out.append(text[i])
+            i += 1
+            continue
+        begin = i + len(start)
+        ends = [(low.find(fold(e), begin), n) for n, e in enumerate(pairs[start]) if low.find(fold(e), begin) >= 0]
+        if ends:
+            at, n = min(ends)
+            stop = at + len(pairs[start][n])
+        else:
+            stop = len(text)
+        out.append(mask * (stop - i))
+        i = stop
+    return "".join(out)
