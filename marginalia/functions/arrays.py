@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 64
+_BLOCK = 32
 
 
 def let(value: Column, function: str) -> Column:
@@ -31,8 +31,8 @@ def running_sum_sql(values: str, zero: str, levels: int = 2) -> str:
     """SQL text of an array with the sum of all earlier elements for every element of ``values``.
 
     Arrays are immutable, so adding one total at a time copies the array each time.
-    Long arrays are therefore summed in blocks of 64, the block totals the same way,
-    and the two added: a text with a million pieces costs some 32 copied elements
+    Long arrays are therefore summed in blocks of 32, the block totals the same way,
+    and the two added: a text with a million pieces costs some 16 copied elements
     per piece instead of half a million.
     """
 

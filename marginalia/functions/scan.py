@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, running_sum_sql
+from marginalia.functions.arrays import let, let_sql, running_sum_sql
 from marginalia.functions.patterns import STRING_QUOTE, occurrence_tiles, unused_char
 from marginalia.functions.text import newlines_sql
 from marginalia.rules import CommentRules
@@ -35,7 +35,7 @@ def tiles(text: Column, pattern: str, pad: str) -> Column:
     with a match; it is taken off again.
     """
     pieces = F.regexp_extract_all(F.concat(F.lit(pad), text), F.lit(pattern), F.lit(0))
-    return F.transform(pieces, lambda piece, i: F.when(i == 0, F.substring(piece, 2, 2**31 - 1)).otherwise(piece))
+    return let(pieces, "all -> concat(array(substring(all[0], 2)), slice(all, 2, size(all)))")
 
 
 def cut(text: Column, rules: CommentRules) -> Column:
@@ -69,16 +69,13 @@ def occurrences(pieces: Column) -> Column:
 def occurrences_sql(segs: str) -> str:
     # Characters (upper half) and line feeds (lower half) of a piece, so that one sum serves both.
     extents = f"transform({segs}, seg -> shiftleft(bigint(length(seg)), 32) + {newlines_sql('seg')})"
-    return f"""if(size({segs}) > 1, transform(
-        filter(
-            zip_with({segs}, {running_sum_sql(extents, "0L")},
-                (seg, sum) -> named_struct('text', seg, 'first', int(shiftright(sum, 32)), 'line', int(sum & 4294967295L) + 1)),
-            (piece, i) -> i % 2 = 1),
-        piece -> named_struct(
-            'pos', named_struct('first', piece.first, 'last', piece.first + length(piece.text) - 1),
-            'lines', named_struct('first', piece.line, 'last', piece.line + {inner_newlines_sql('piece.text')}),
-            'comment_text', piece.text)),
-        cast(array() as {OCCURRENCES_TYPE}))"""
+    first, line, text = "int(shiftright(before[at], 32))", "int(before[at] & 4294967295L) + 1", f"{segs}[at]"
+    located = f"""transform(sequence(1, size({segs}) - 1, 2), at -> named_struct(
+        'pos', named_struct('first', {first}, 'last', {first} + length({text}) - 1),
+        'lines', named_struct('first', {line}, 'last', {line} + {inner_newlines_sql(text)}),
+        'comment_text', {text}))"""
+    nothing = f"cast(array() as {OCCURRENCES_TYPE})"
+    return f"if(size({segs}) > 1, {let_sql('before', running_sum_sql(extents, '0L'), located)}, {nothing})"
 
 
 def inner_newlines_sql(text: str) -> str:

@@ -24,7 +24,7 @@ def order_bounds(frame: DataFrame, order: str, rows_per_bucket: int = _ROWS_PER_
     if buckets < 2:
         return []
     sample = frame.select(order).sample(min(1.0, _SAMPLE / rows), seed=7)
-    values = sorted(row[0] for row in sample.toLocalIterator())
+    values = sorted(row[0] for row in sample.collect())
     return sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
 
 

@@ -1,7 +1,7 @@
 """Texts from a directory tree.
 
-Names that begin with ``.`` or ``_`` are not seen, as in all of Spark's file sources,
-and a root that does not exist is an error.
+As in all of Spark's file sources, empty files and names that begin with ``.`` or ``_``
+are not seen (an empty file has no comment), and a root that does not exist is an error.
 """
 
 from __future__ import annotations

@@ -158,6 +158,15 @@ def test_sections_and_markup(spark):
     )
 
 
+def test_markup_of_texts_with_border_marks(spark):
+    frame = spark.createDataFrame([("/p", "a\ue000<//\ue001\ue002\n")], "path string, text string")
+    html = files.file_markup(files.commented_files(frame, CODE)).first().html
+    assert html == (
+        '\n<h2 class="file">/p</h2>\n<span class="plain">a\ue000&lt;</span>\n'
+        '<span class="occurrence">//\ue001\ue002<br/></span>\n'
+    )
+
+
 def test_times_do_not_depend_on_the_session_zone(spark):
     moments = [1661194800123, 0, -1, 951782400007, 253402300799999]
     expected = []
