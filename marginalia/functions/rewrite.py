@@ -17,51 +17,67 @@ from marginalia.functions.text import (
 )
 
 
-def _effects(before: str, after: str, multi: str, line_comment: str) -> str:
-    """What removing a comment does to the text on both sides of it."""
-    blank = f"named_struct('before', {blank_sql('line.before')}, 'after', line.ended or {blank_sql('line.after')})"
-    effects = """named_struct(
-        'cut_before', if(blank.before and (line.multi or blank.after), length(line.before), 0),
-        'cut_after', if(blank.after and (line.multi or blank.before) and not line.ended, length(line.after), 0),
-        'cut_break', line.multi and blank.before and blank.after,
-        'separator', case
-            when blank.before then ''
-            when line.ended then chr(10)
-            when blank.after then ''
-            when line.multi then chr(10)
-            when startswith(line.after, ' ') then ''
-            else ' ' end)"""
-    line = f"named_struct('before', {before}, 'after', {after}, 'multi', {multi}, 'ended', {line_comment})"
-    return let_sql("line", line, let_sql("blank", blank, effects))
-
-
-def _right_side(text: str, effects: str) -> str:
-    """The text after a comment once the comment is gone."""
-    # A line break is one CR, if there is one, and then one LF.
-    no_cr = "if(startswith(kept, chr(13)), substring(kept, 2), kept)"
-    no_break = let_sql("rest", no_cr, "if(startswith(rest, chr(10)), substring(rest, 2), rest)")
-    kept = f"if({effects}.cut_after > 0, {tail_sql(text, f'{effects}.cut_after')}, {text})"
-    return let_sql("kept", kept, f"if({effects}.cut_break, {no_break}, kept)")
+def _removal(before: str, after: str, multi: str, line_comment: str) -> str:
+    """What the removal of a comment depends on.
+
+    ``left`` and ``right`` are the widths of the text before and after it on its lines if
+    that is blank, and -1 if not; nothing counts as standing behind a line comment.
+    """
+    return let_sql(
+        "before",
+        before,
+        let_sql(
+            "after",
+            after,
+            f"""named_struct(
+                'left', if({blank_sql("before")}, length(before), -1),
+                'right', case when {line_comment} then 0 when {blank_sql("after")} then length(after) else -1 end,
+                'multi', {multi},
+                'ended', {line_comment},
+                'spaced', startswith(after, ' '))""",
+        ),
+    )
 
 
-def _left_side(text: str, effects: str) -> str:
+def _separator(removal: str) -> str:
+    """What is put in the place of a comment."""
+    return f"""case
+        when {removal}.left >= 0 then ''
+        when {removal}.ended then chr(10)
+        when {removal}.right >= 0 then ''
+        when {removal}.multi then chr(10)
+        when {removal}.spaced then ''
+        else ' ' end"""
+
+
+def _left_side(text: str, removal: str) -> str:
     """The text before a comment once the comment is gone."""
-    kept = f"if({effects}.cut_before > 0, substring({text}, 1, length({text}) - {effects}.cut_before), {text})"
-    return f"rtrim(concat(' ', chr(9)), {kept})"
+    cut = f"{removal}.left > 0 and ({removal}.multi or {removal}.right >= 0)"
+    return f"rtrim(concat(' ', chr(9)), if({cut}, substring({text}, 1, length({text}) - {removal}.left), {text}))"
+
+
+def _right_side(text: str, removal: str) -> str:
+    """The text after a comment once the comment is gone."""
+    cut = f"{removal}.right > 0 and ({removal}.multi or {removal}.left >= 0)"
+    kept = f"if({cut}, {tail_sql(text, f'{removal}.right')}, {text})"
+    # A line break is one CR, if there is one, and then one LF.
+    no_cr = f"if(startswith({kept}, chr(13)), substring({kept}, 2), {kept})"
+    no_break = let_sql("rest", no_cr, "if(startswith(rest, chr(10)), substring(rest, 2), rest)")
+    return f"if({removal}.multi and {removal}.left >= 0 and {removal}.right >= 0, {no_break}, {kept})"
 
 
 def _without(text: str, item: str) -> str:
     """``text`` without one comment."""
     first, last = f"{item}.pos.first", f"{item}.pos.last"
-    effects = _effects(
+    removal = _removal(
         line_before_sql(text, first),
         line_after_sql(text, last),
         f"{item}.lines.first < {item}.lines.last",
         f"endswith({item}.comment_text, chr(10))",
     )
-    left = let_sql("head", f"substring({text}, 1, {first})", _left_side("head", "effects"))
-    right = let_sql("rest", tail_sql(text, f"{last} + 1"), _right_side("rest", "effects"))
-    return let_sql("effects", effects, f"concat({left}, effects.separator, {right})")
+    left = let_sql("head", f"substring({text}, 1, {first})", _left_side("head", "removal"))
+    right = let_sql("rest", tail_sql(text, f"{last} + 1"), _right_side("rest", "removal"))
+    return let_sql("removal", removal, f"concat({left}, {_separator('removal')}, {right})")
 
 
 def _one_by_one(text: str, items: str) -> str:
@@ -103,22 +119,22 @@ def cleaned(pieces: Column) -> Column:
 
 
 def _spliced(segs: str) -> str:
-    effects = _effects(
+    removal = _removal(
         last_line_sql(f"{segs}[at - 1]"),
         first_line_sql(f"coalesce(get({segs}, at + 1), '')"),
         f"{inner_newlines_sql(f'{segs}[at]')} > 0",
         f"endswith({segs}[at], chr(10))",
     )
-    after_left = f"if(side.left is null, side.text, {_right_side('side.text', 'side.left')})"
+    # Plain pieces stand between the removals i - 1 and i.
     piece = let_sql(
         "text",
-        after_left,
-        f"if(side.right is null, text, concat({_left_side('text', 'side.right')}, side.right.separator))",
+        f"if(side.left is null, side.text, {_right_side('side.text', 'side.left')})",
+        f"if(side.right is null, text, concat({_left_side('text', 'side.right')}, {_separator('side.right')}))",
     )
     sides = f"""transform(filter({segs}, (seg, i) -> i % 2 = 0),
         (text, i) -> named_struct('text', text, 'left', get(removals, i - 1), 'right', get(removals, i)))"""
     return let_sql(
         "removals",
-        f"transform(sequence(1, size({segs}) - 1, 2), at -> {effects})",
+        f"transform(sequence(1, size({segs}) - 1, 2), at -> {removal})",
         f"array_join(transform({sides}, side -> {piece}), '')",
     )

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let, let_sql, running_sum_sql
 from marginalia.functions.patterns import STRING_QUOTE, occurrence_tiles, unused_char
-from marginalia.functions.text import newlines_sql
+from marginalia.functions.text import count_newlines, newlines_sql
 from marginalia.rules import CommentRules
 
-OCCURRENCES_TYPE = (
-    "array<struct<pos:struct<first:int,last:int>,lines:struct<first:int,last:int>,comment_text:string>>"
-)
+_LOWER_HALF = 2**32 - 1
 
 
 def has_start_tag(text: Column, rules: CommentRules) -> Column:
@@ -61,21 +59,40 @@ def occurrence_count(pieces: Column) -> Column:
     return F.floor(F.size(pieces) / 2).cast("int")
 
 
+def located(pieces: Column) -> Column:
+    """Occurrence texts, each with what stands ``before`` it: characters (upper half) and line feeds (lower half)."""
+    return let(pieces, f"segs -> {_located_sql('segs')}")
+
+
+def occurrence_columns(before: Column, text: Column) -> list[Column]:
+    """``pos``, ``lines`` and ``comment_text`` of a located occurrence."""
+    first, line = F.shiftright(before, 32).cast("int"), before.bitwiseAND(F.lit(_LOWER_HALF)).cast("int") + 1
+    inner = count_newlines(text) - F.endswith(text, F.lit("\n")).cast("int")
+    return [
+        F.struct(first.alias("first"), (first + F.length(text) - 1).alias("last")).alias("pos"),
+        F.struct(line.alias("first"), (line + inner).alias("last")).alias("lines"),
+        text.alias("comment_text"),
+    ]
+
+
 def occurrences(pieces: Column) -> Column:
-    """Occurrences with inclusive 0-based offsets, 1-based line range and text."""
+    """Occurrences with inclusive 0-based offsets, 1-based line range and text, as an array."""
     return let(pieces, f"segs -> {occurrences_sql('segs')}")
 
 
 def occurrences_sql(segs: str) -> str:
-    # Characters (upper half) and line feeds (lower half) of a piece, so that one sum serves both.
+    first, line = "int(shiftright(found.before, 32))", f"int(found.before & {_LOWER_HALF}L) + 1"
+    return f"""transform({_located_sql(segs)}, found -> named_struct(
+        'pos', named_struct('first', {first}, 'last', {first} + length(found.text) - 1),
+        'lines', named_struct('first', {line}, 'last', {line} + {inner_newlines_sql('found.text')}),
+        'comment_text', found.text))"""
+
+
+def _located_sql(segs: str) -> str:
     extents = f"transform({segs}, seg -> shiftleft(bigint(length(seg)), 32) + {newlines_sql('seg')})"
-    first, line, text = "int(shiftright(before[at], 32))", "int(before[at] & 4294967295L) + 1", f"{segs}[at]"
-    located = f"""transform(sequence(1, size({segs}) - 1, 2), at -> named_struct(
-        'pos', named_struct('first', {first}, 'last', {first} + length({text}) - 1),
-        'lines', named_struct('first', {line}, 'last', {line} + {inner_newlines_sql(text)}),
-        'comment_text', {text}))"""
-    nothing = f"cast(array() as {OCCURRENCES_TYPE})"
-    return f"if(size({segs}) > 1, {let_sql('before', running_sum_sql(extents, '0L'), located)}, {nothing})"
+    found = f"transform(sequence(1, size({segs}) - 1, 2), at -> named_struct('before', sums[at], 'text', {segs}[at]))"
+    nothing = "cast(array() as array<struct<before:bigint,text:string>>)"
+    return f"if(size({segs}) > 1, {let_sql('sums', running_sum_sql(extents, '0L'), found)}, {nothing})"
 
 
 def inner_newlines_sql(text: str) -> str:

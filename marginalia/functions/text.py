@@ -16,13 +16,20 @@ _NON_BLANK = (
 
 
 def blank_sql(text: str) -> str:
-    return f"({text} = '' or not rlike({text}, r'{_NON_BLANK}'))"
+    # The regular expression is asked only if the first character behind common white space is not plain ASCII.
+    bare = f"ltrim(concat(' ', chr(9), chr(10), chr(13)), {text})"
+    plain = "substring(bare, 1, 1) between '!' and '~'"
+    return let_sql("bare", bare, f"bare = '' or (not ({plain}) and not rlike(bare, r'{_NON_BLANK}'))")
 
 
 def newlines_sql(text: str) -> str:
     return f"(octet_length({text}) - octet_length(replace({text}, chr(10), '')))"
 
 
+def count_newlines(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def first_line_sql(text: str) -> str:
     """Text up to the first line feed, without it."""
     return f"substring_index({text}, chr(10), 1)"

@@ -36,9 +36,11 @@ def find_occurrences(sources: DataFrame, rules: CommentRules) -> DataFrame:
     text = F.col("text")
     # The scan sits inside the generator: as a column of its own it would be
     # pushed into the filter Spark infers for generators, and run twice.
-    return sources.where(scan.has_start_tag(text, rules)).select(
-        "path", F.inline(scan.occurrences(scan.cut(text, rules)))
+    found = sources.where(scan.has_start_tag(text, rules)).select(
+        "path", F.inline(scan.located(scan.cut(text, rules)))
     )
+    # Offsets are worked out per row, in generated code.
+    return found.select("path", *scan.occurrence_columns(F.col("before"), F.col("text")))
 
 
 def flatten(occurrences: DataFrame) -> DataFrame:
