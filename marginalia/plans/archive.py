@@ -12,6 +12,8 @@ Writing a run again replaces its folders, so a run that was cut short can be rep
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,11 +111,16 @@ def archive_run(
     def write(frame: DataFrame, table: str) -> None:
         frame.write.mode("overwrite").parquet(f"{table}/run_id={run_id}")
 
-    root = config.archive_root
-    write(changes(run), f"{root}/{CHANGES}")
-    write(code_archive(run), f"{root}/{CODE_ARCHIVE}")
-    write(operation_index(run), f"{root}/{OPERATION_INDEX}")
-    write(summary(run, order_bounds(run, "path")), f"{root}/{SUMMARY}")
+    outputs = {
+        CHANGES: changes(run),
+        CODE_ARCHIVE: code_archive(run),
+        OPERATION_INDEX: operation_index(run),
+        SUMMARY: summary(run, order_bounds(run, "path")),
+    }
+    # The tables do not depend on each other, so one may use the cores that another leaves idle.
+    with ThreadPoolExecutor(len(outputs)) as pool:
+        list(pool.map(write, outputs.values(), (f"{config.archive_root}/{table}" for table in outputs)))
+    # Cleaned files come last: they exist only if the old ones are safe.
     write(snapshot(run), target)
     return run_id
 
