@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, let_sql, running_sum_sql
+from marginalia.functions.arrays import let, let_sql, literal, running_sum_sql
 
 # The characters that count as white space when a line is called blank.
 _NON_BLANK = (
@@ -19,7 +19,7 @@ def blank_sql(text: str) -> str:
     # The regular expression is asked only if the first character behind common white space is not plain ASCII.
     bare = f"ltrim(concat(' ', chr(9), chr(10), chr(13)), {text})"
     plain = "substring(bare, 1, 1) between '!' and '~'"
-    return let_sql("bare", bare, f"bare = '' or (not ({plain}) and not rlike(bare, r'{_NON_BLANK}'))")
+    return let_sql("bare", bare, f"bare = '' or (not ({plain}) and not rlike(bare, {literal(_NON_BLANK)}))")
 
 
 def newlines_sql(text: str) -> str:

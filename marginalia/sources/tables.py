@@ -16,6 +16,8 @@ def spread(frame: DataFrame, key: Column) -> DataFrame:
     A file with one row group is one task, so a small table would keep one core busy.
     A table of many files is left as it is: its texts are never sent over the network.
     """
+    if frame.isStreaming:
+        return frame
     cores = frame.sparkSession.sparkContext.defaultParallelism
     files = len(frame.inputFiles())
     return frame.repartition(cores, key) if 0 < files < cores else frame
