@@ -8,22 +8,21 @@ sections, previews) is worked out from them inside the row, without a shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let, let_sql, running_sum_sql
+from marginalia.functions.paths import matches_any
 from marginalia.functions.patterns import STRING_QUOTE, occurrence_tiles, unused_char
 from marginalia.functions.text import count_newlines, newlines_sql
-from marginalia.rules import CommentRules
+from marginalia.rules import CONTAINS, CommentRules, PathRule
 
 _LOWER_HALF = 2**32 - 1
 
 
 def has_start_tag(text: Column, rules: CommentRules) -> Column:
     """Cheap and safe test: a text without any start tag to remove has no occurrence."""
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(start)) for start, _ in rules.remove), F.lit(False))
+    return matches_any(text, (PathRule(start, CONTAINS) for start, _ in rules.remove))
 
 
 def tiles(text: Column, pattern: str, pad: str) -> Column:
@@ -47,14 +46,6 @@ def segments(text: Column, rules: CommentRules) -> Column:
     return F.when(has_start_tag(text, rules), cut(text, rules)).when(text.isNotNull(), F.array(text))
 
 
-def _odd(pieces: Column) -> Column:
-    return F.filter(pieces, lambda _, i: i % 2 == 1)
-
-
-def occurrence_texts(pieces: Column) -> Column:
-    return _odd(pieces)
-
-
 def occurrence_count(pieces: Column) -> Column:
     return F.floor(F.size(pieces) / 2).cast("int")
 

@@ -1,5 +1,6 @@
 """Plain Python statements of the expected results, one character position at a time."""
 
+import bisect
 import random
 
 WHITE = set("\t\r\n ")
@@ -38,10 +39,6 @@ def tokens(text, remove, keep):
         i = stop
 
 
-def line_of(text, pos):
-    return text[:pos].count("\n") + 1
-
-
 def occurrences(text, remove, keep):
     """(first, last, first line, last line, text) of every merged occurrence."""
     ranges = []
@@ -52,7 +49,12 @@ def occurrences(text, remove, keep):
             ranges[-1][1] = stop
         else:
             ranges.append([start, stop])
-    return [(a, b - 1, line_of(text, a), line_of(text, b - 1), text[a:b]) for a, b in ranges]
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+
+    def line_of(pos):
+        return bisect.bisect_left(breaks, pos) + 1
+
+    return [(a, b - 1, line_of(a), line_of(b - 1), text[a:b]) for a, b in ranges]
 
 
 def without(text, occurrence):

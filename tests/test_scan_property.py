@@ -18,6 +18,10 @@ CASES = {
     "blank tags": (CommentRules.parse(["\t;...;"], [" ;;...;"], [" #"], ["#!"]), [" #", "#!", "\t;", ";", ";;", " ", "\n", "\t", "x", '"']),
     "quote removed": (CommentRules((('"', '"'), ("%", "\n")), (("%%", "%"),)), ['"', "%", "%%", "\n", " ", "x", '"""']),
     "astral": (CommentRules.parse(["😀...😁"], remove_lines=["é"]), ["😀", "😁", "é", "\n", " ", "x", "😂"]),
+    "many rules": (
+        CommentRules.parse([f"<{i}...>" for i in range(40)], [f"<{i}x...>" for i in range(40)], [f"#{i}" for i in range(40)]),
+        ["<1", "<12", "<12x", ">", "#3", "#34", "\n", " ", "x", '"'],
+    ),
     "empty end": (CommentRules((("@", ""), ("#", "\n")), ()), ["@", "#", "\n", " ", "x"]),
 }
 

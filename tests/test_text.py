@@ -100,6 +100,9 @@ def test_null_and_empty_texts(spark):
     frame = spark.createDataFrame([("a", None), ("b", ""), ("c", "x")], "path string, text string")
     assert files.find_occurrences(frame, CODE).count() == 0
     assert files.commented_files(frame, CODE).count() == 0
+    nothing = CommentRules((), (("//", "\n"),))
+    assert files.find_occurrences(frame, nothing).count() == 0
+    assert files.clean_all(frame.where("path = 'c'"), nothing).first().cleaned == "x"
     kept = files.clean_all(frame.where("text is not null"), CODE).collect()
     assert sorted((r.path, r.cleaned) for r in kept) == [("b", ""), ("c", "x")]
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import paths, preview, scan, spans, text, times
 from marginalia.operators import files, naming, rule_tables
 from marginalia.plans import archive
-from marginalia.plans.preview import preview_run
+from marginalia.plans.preview import preview_run, write_preview
 from marginalia.plans.workspace import shared_dir
-from marginalia.rules import CommentRules, JobConfig, PathRule, PathRules
+from marginalia.rules import JobConfig, PathRule, PathRules
 from marginalia.sources.tree import inventory, read_tree
 from marginalia.streaming.runs import archive_stream
 from workload import corpora as c
@@ -450,11 +450,11 @@ def run_totals(spark, sf_dir):
 
 
 _NAMES_SQL = f"""SELECT path, stem || CASE WHEN k > 0 THEN '-' || k ELSE '' END || '.json' AS summary_name FROM (
-    SELECT path, stem, row_number() OVER (PARTITION BY stem ORDER BY path COLLATE "C") - 1 AS k FROM (
+    SELECT path, stem, row_number() OVER (PARTITION BY stem ORDER BY path) - 1 AS k FROM (
     SELECT path, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM ({c.NAMED.sql})))"""
 
 
-@query("summary_names", _NAMES_SQL.replace(' COLLATE "C"', ""))
+@query("summary_names", _NAMES_SQL)
 def summary_names(spark, sf_dir):
     named = c.NAMED.read(spark, sf_dir).select("path")
     return naming.summary_names(named, naming.order_bounds(named, "path", rows_per_bucket=500))
@@ -542,7 +542,7 @@ _JSON = f"""to_json(struct_pack(relativePath := {_REL}, items := list(struct_pac
 
 @query(
     "summary_json",
-    f"""{o.occurrences(c.NAMED)}, names AS ({_NAMES_SQL.replace(' COLLATE "C"', '')}),
+    f"""{o.occurrences(c.NAMED)}, names AS ({_NAMES_SQL}),
     docs AS (SELECT path, {_REL} AS rel_path, {_JSON} AS json FROM occ GROUP BY path)
     SELECT rel_path, summary_name, json FROM docs JOIN names USING (path)""",
 )
@@ -618,8 +618,6 @@ def runs_side_by_side(spark, sf_dir):
     f"""WITH shown AS ({_one_line_sql(c.CODE)}) SELECT line FROM shown""",
 )
 def preview_file(spark, sf_dir):
-    from marginalia.plans.preview import write_preview
-
     target = shared_dir(spark)
     write_preview(preview_run(c.CODE.read(spark, sf_dir), _config(c.CODE)), target)
     return spark.read.text(target).withColumnRenamed("value", "line")
