@@ -20,8 +20,9 @@ from marginalia.llm.common import kept, ship
 
 #: Bounds: vectors that the centres are fitted on, and the number of lists.
 SAMPLE, MAX_LISTS = 20_000, 1024
-#: Share of the lists that a query probes, and the least number of them.
-PROBE_SHARE, MIN_PROBES = 0.25, 8
+#: The recall that the number of probed lists is set for, measured against brute force within the sample, and the
+#: number of queries that measure it.
+RECALL, TRIALS = 0.96, 256
 #: Vectors and queries of a task's cell at most, about.
 CELL = 4096
 COLUMNS = 16
@@ -54,6 +55,21 @@ def fit_centres(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def probes_for(x: np.ndarray, centres: np.ndarray, k: int, recall: float, trials: int = TRIALS) -> int:
+    """How many lists to probe so that this share of the k nearest within the sample, whose rows come in no order
+    that matters, lies in them."""
+    asked = x[:trials]
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    if not best.size:
+        return 1
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    own = (x @ centres.T).argmax(axis=1)
+    needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+    return int(needed[min(len(needed), ceil(recall * len(needed))) - 1]) + 1
+
+
 def rotation(size: int) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng(23).normal(size=(size, size)))
@@ -99,7 +115,7 @@ def nearest(
     k: int = 5,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    probe_share: float = PROBE_SHARE,
+    recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine for each row of ``table`` that ``queries`` holds for.
 
@@ -108,7 +124,8 @@ def nearest(
     nor vectors of another length than most (of equals, the longer). Of rows that repeat an id the smallest vector
     takes part. An empty table gives no rows. Other columns play no part.
 
-    The centres are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. Lists are cut into cells of some
+    The centres are fitted on at most ``SAMPLE`` vectors, and so is the number of lists to probe, which grows until
+    ``recall`` of the neighbours within the sample are in them; all vectors are indexed. Lists are cut into cells of some
     ``CELL`` vectors, and the queries of a list likewise, so no list, however many vectors it has, is one task's.
     """
     spark = table.sparkSession
@@ -125,7 +142,9 @@ def nearest(
     rows = rows.where(F.size("v") == size)
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()]
     lists = max(1, min(MAX_LISTS, round(n**0.5)))
-    centres = fit_centres(unit(np.array(sample)), lists) if sample else np.ones((1, size))
+    seen = unit(np.array(sample)) if sample else np.ones((1, size))
+    centres = fit_centres(seen, lists)
+    probes = probes_for(seen, centres, k, recall)
     shared = spark.sparkContext.broadcast(centres)
 
     def listed(batches: Iterator) -> Iterator:
@@ -137,7 +156,6 @@ def nearest(
     indexed = kept(rows.mapInArrow(listed, "vec_id long, v array<double>, asks boolean, list int"))
     counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # lists at most
     filled = np.array([counts.get(c, 0) for c in range(len(centres))])
-    probes = max(MIN_PROBES, ceil(probe_share * len(centres)))
 
     def probing(batches: Iterator) -> Iterator:
         for b in batches:

@@ -40,6 +40,8 @@ CANDIDATE = re.compile(
 )
 _ASSIGNED = re.compile(r"([\w\-]+)[\"']?\s*(?:=|:|=>)\s*[\"']?$")
 _CREDENTIAL = re.compile(r"(?i)tok(en)?|secret|pass(w(or)?d)?|pwd|key|auth|cred|bearer")
+#: Published shapes of keys that need no name beside them.
+_SHAPED = re.compile(r"AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9\-]{20,}|AIza[A-Za-z0-9_\-]{35}")
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = re.compile(r"[a-z]{3,}")
 _CLASSES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}, **{c: "-" for c in "+/_-="}})
@@ -128,7 +130,10 @@ def findings(docs: DataFrame, text: str = "text", path: str = "source", doc_id:
 
 
 def presumed(value: str, before: str) -> int:
-    """The label of a natural finding: 1 if a credential's name is assigned a mixed value of 16 or more characters."""
+    """The label of a natural finding: 1 if a credential's name is assigned a mixed value of 16 or more characters,
+    or if the value has the shape of a key that a provider marks."""
+    if _SHAPED.fullmatch(value):
+        return 1
     named = _ASSIGNED.search(before)
     mixed = len(value) >= 16 and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
     return int(bool(named and mixed and _CREDENTIAL.search(named[1])))
@@ -155,7 +160,8 @@ def planted(rng: np.random.Generator, words: list[str], paths: list[str | None],
             ][shape]()
             value += "7" if not re.search(r"\d", value) else ""
             name = str(rng.choice(names))
-            before = some(4) + " " + str(rng.choice([f'{name} = "', f"{name}: ", f"{name}='", f'"{name}": "', f"{name}=", f"{name} "]))
+            bare = [""] * (12 if shape in (2, 3) else 0)  # keys that a provider marks stand anywhere
+            before = some(4) + " " + str(rng.choice([*bare, f'{name} = "', f"{name}: ", f"{name}='", f'"{name}": "', f"{name}=", f"{name} "]))
         else:
             shape = int(rng.integers(6))
             value = [
@@ -188,7 +194,8 @@ def fit(spark: SparkSession, labelled: list[Row], words: Counter, max_findings:
     At most ``max_findings`` are used. The neighbours' and paths' odds are worked out on the other half of the
     findings than the one that the forest sees with them, so that they do not give the label away.
     """
-    labelled = labelled[:max_findings]
+    order = np.random.default_rng(13).permutation(len(labelled))  # halves that know nothing of the rows' order
+    labelled = [labelled[k] for k in order[:max_findings]]
     top = [w for w, n in words.most_common(MAX_DICTIONARY) if 3 <= len(w) <= 14]
     pairs = np.ones((256, 256))
     for w in top:
@@ -266,8 +273,7 @@ def fit_on(docs: DataFrame, text: str = "text", path: str = "source", doc_id: st
     words = Counter({r["w"]: r["n"] for r in rows})
     rng = np.random.default_rng(11)
     extra = planted(rng, list(words)[:5000], [r.path for r in natural] or [None], min(MAX_FINDINGS // 2, max(2000, len(natural))))
-    both = natural + extra
-    return fit(spark, [both[k] for k in rng.permutation(len(both))], words)
+    return fit(spark, natural + extra, words)
 
 
 def scan(
