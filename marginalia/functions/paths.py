@@ -12,21 +12,21 @@ from marginalia.rules import CONTAINS, ENDS_WITH, EXACT, SCHEME, STARTS_WITH, Pa
 
 
 _TESTS = {STARTS_WITH: F.startswith, ENDS_WITH: F.endswith, CONTAINS: F.contains}
-_FEW = 8
 
 
 def any_true(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    """Any of the tests, as a balanced tree, so that a thousand of them are ten levels deep."""
+    tests = list(tests)
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0] if tests else F.lit(False)
 
 
 def _one_of(text: Column, match_type: str, wanted: list[str]) -> Column:
-    """One match type, any of some texts; a long list is one array rather than one deep expression."""
+    """One match type, any of some texts."""
     if match_type == EXACT:
         return text.isin(wanted)
-    test = _TESTS[match_type]
-    if len(wanted) <= _FEW:
-        return any_true(test(text, F.lit(w)) for w in wanted)
-    return F.exists(F.array(*map(F.lit, wanted)), lambda w: test(text, w))
+    return any_true(_TESTS[match_type](text, F.lit(w)) for w in wanted)
 
 
 def matches_any(text: Column, rules: Iterable[PathRule]) -> Column:
@@ -49,8 +49,12 @@ def matches_excludes(text: Column, rules: Iterable[PathRule]) -> Column:
 
 
 def below(path: Column, base: str) -> Column:
-    """The path with the base path cut off; a leading slash stays."""
-    return F.substring(path, len(base) + 1, 2**31 - 1)
+    """The path with the base path cut off; a leading slash stays.  A path that is not below the base fails the job."""
+    if not base:
+        return path
+    message = F.concat(F.lit(f"path not below {base!r}: "), path)
+    cut = F.substring(path, len(base) + 1, 2**31 - 1)
+    return F.when(path.isNull() | F.startswith(path, F.lit(base)), cut).otherwise(F.raise_error(message).cast("string"))
 
 
 def passes(path: Column, base: str, rules: PathRules) -> Column:

@@ -111,18 +111,26 @@ def _openings(pairs: Mapping[str, Sequence[str]], ignore_case: bool) -> list[tup
     return openings
 
 
-def span_tiles(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool, closed_only: bool) -> str:
-    """Matches of a plain piece (group 1) and the tagged span behind it (group 2), until the end of the text.
+def span_tiles(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool) -> str:
+    """Matches that tile a text: plain runs, tagged spans, and at the end a span that never closes.
 
-    A span runs from a start tag through the nearest of its end tags.  One that never
-    closes takes the rest of the text: as a span, or as plain text if ``closed_only``.
+    A span runs from a start tag through the nearest of its end tags.
     """
     openings = _openings(pairs, ignore_case)
     spans = [opening + through(ends) for opening, ends in openings]
     open_ends = [f"{opening}(?!{through(ends)}){_REST}" for opening, ends in openings]
-    plain = plain_run(pairs) + (open_ends if closed_only else [])
-    spans = spans if closed_only else spans + open_ends
-    return rf"{_flags(ignore_case)}((?:{'|'.join(plain)})*+)({'|'.join(spans)}|\z)"
+    return rf"{_flags(ignore_case)}(?:{'|'.join(plain_run(pairs))})++|{'|'.join(spans + open_ends)}"
+
+
+def closed_span(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool) -> str:
+    """Matches a text that is one closed span."""
+    spans = [opening + through(ends) for opening, ends in _openings(pairs, ignore_case)]
+    return rf"{_flags(ignore_case)}\A(?:{'|'.join(spans)})\z"
+
+
+def start_tag(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool) -> str:
+    """Matches a text that begins with a start tag."""
+    return rf"{_flags(ignore_case)}\A(?:{any_of(pairs)})"
 
 
 def open_spans(pairs: Mapping[str, Sequence[str]], *, ignore_case: bool) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import let, let_sql
+from marginalia.functions.arrays import let, let_sql, literal
 from marginalia.functions.scan import inner_newlines_sql, occurrences_sql
 from marginalia.functions.text import (
+    BLANK_START,
     blank_sql,
     first_line_sql,
     last_line_sql,
@@ -16,6 +17,8 @@ from marginalia.functions.text import (
     tail_sql,
 )
 
+_BLOCK = 1024
+
 
 def _removal(before: str, after: str, multi: str, line_comment: str) -> str:
     """What the removal of a comment depends on.
@@ -90,32 +93,87 @@ def remove_comment(text: Column, item: Column) -> Column:
 
 
 def remove_comments(text: Column, items: Column) -> Column:
-    """``text`` without any given comments, removed one by one from the last to the first.
+    """``text`` without the given comments, as if removed one by one from the last to the first.
 
-    Works for any ranges, but copies the text once per comment; ``cleaned`` gives the
-    same result for scanned texts in one go.
+    The text is cut at the ranges once and put together again, like a scanned one. Ranges that overlap or run past
+    the end of the text have no such cut; those texts are copied once per comment.
     """
-    return let(F.struct(text.alias("text"), items.alias("items")), f"file -> {_one_by_one('file.text', 'file.items')}")
+    sound = """forall(sequence(0, size(ranges) - 1), i -> ranges[i].last < size and
+        if(i = 0, ranges[i].first >= 0, ranges[i].first > ranges[i - 1].last))"""
+    ranges = "array_sort(transform(file.items, item -> item.pos))"
+    cut = let_sql("segs", _cut_sql("file.text", "ranges", "size"), _cleaned_sql("segs"))
+    body = f"""case when file.text is null or size(file.items) = 0 then file.text
+        when {sound} then {cut} else {_one_by_one('file.text', 'file.items')} end"""
+    body = let_sql("ranges", ranges, let_sql("size", "length(file.text)", body))
+    return let(F.struct(text.alias("text"), items.alias("items")), f"file -> {body}")
+
+
+def _cut_sql(text: str, ranges: str, size: str) -> str:
+    """SQL text of plain piece, range, plain piece, ...; characters are found through blocks of ``_BLOCK``, so the
+    cost of a piece does not depend on where it stands."""
+
+    def part(first: str, stop: str) -> str:
+        low, high = f"int(({first}) div {_BLOCK})", f"int(({stop} - 1) div {_BLOCK})"
+        return f"""case when {first} >= {stop} then ''
+            when {low} = {high} then substring(blocks[{low}], ({first}) % {_BLOCK} + 1, {stop} - ({first}))
+            else concat(substring(blocks[{low}], ({first}) % {_BLOCK} + 1), array_join(slice(blocks, {low} + 2, {high} - {low} - 1), ''),
+                substring(blocks[{high}], 1, ({stop} - 1) % {_BLOCK} + 1)) end"""
+
+    pieces = f"""transform({ranges}, (range, i) -> array({part(f"if(i = 0, 0, {ranges}[i - 1].last + 1)", "range.first")},
+        {part("range.first", "(range.last + 1)")}))"""
+    rest = part(f"(element_at({ranges}, -1).last + 1)", size)
+    blocks = f"regexp_extract_all({text}, {literal(f'(?s).{{1,{_BLOCK}}}+')}, 0)"
+    return let_sql("blocks", blocks, f"concat(flatten({pieces}), array({rest}))")
 
 
 def cleaned(pieces: Column) -> Column:
     """The text of a scanned file without its occurrences.
 
-    Every plain piece between two occurrences holds a character that is not white
-    space, so what a removal does to it depends on that piece alone, and all pieces
-    can be cut at once.  Only if such a piece is blank in the wider Unicode sense
-    (say, a lone no-break space) can removals meet; those texts are done one by one.
+    What a removal does to a plain piece that is not blank depends on that piece alone, so such pieces part the
+    occurrences into groups that do not meet. Nearly always a group is one occurrence and all pieces are cut at
+    once; where pieces are blank (say, a lone no-break space) the few occurrences around them are removed one by one
+    within their group.
     """
-    whole = "array_join(segs, '')"
+    return let(pieces, f"segs -> {_cleaned_sql('segs')}")
+
+
+def _cleaned_sql(segs: str) -> str:
     # Plain pieces between occurrences: not the first one, and not the one behind the last occurrence.
-    inner = "slice(filter(segs, (seg, i) -> i % 2 = 0 and i > 0), 1, size(segs) div 2 - 1)"
-    return let(
-        pieces,
-        f"""segs -> case
-            when size(segs) < 2 then {whole}
-            when exists({inner}, seg -> {blank_sql('seg')}) then {_one_by_one(whole, occurrences_sql('segs'))}
-            else {_spliced('segs')} end""",
+    inner = f"slice(filter({segs}, (seg, i) -> i % 2 = 0 and i > 0), 1, size({segs}) div 2 - 1)"
+    return f"""case
+        when size({segs}) < 2 then array_join({segs}, '')
+        when exists({inner}, seg -> {blank_sql('seg')}) then {_in_groups(segs)}
+        else {_spliced(segs)} end"""
+
+
+def _in_groups(segs: str) -> str:
+    """SQL text of the cleaned text, group by group.
+
+    A group is removed from a text of its own: its occurrences and the blank pieces between them, behind what is
+    blank at the end of the piece before and in front of what is blank at the start of the piece after. A mark on
+    either side stands for the rest of those pieces, which no removal looks at or changes.
+    """
+    tail = let_sql(
+        "line",
+        last_line_sql("piece"),
+        f"if({blank_sql('line')}, line, substring(line, length(rtrim(concat(' ', chr(9)), line)) + 1))",
     )
+    sides = f"""transform(filter(all, (piece, i) -> i % 2 = 0), (piece, i) -> named_struct(
+        'at', 2 * i, 'text', piece, 'head', regexp_extract(piece, {literal(BLANK_START)}, 0), 'tail', {tail},
+        'blank', {blank_sql('piece')}, 'last_blank', {blank_sql(last_line_sql('piece'))}))"""
+    bounds = "filter(sides, (side, i) -> i = 0 or i = size(sides) - 1 or not side.blank)"
+    local = """concat(array(concat(if(a.last_blank, chr(10), 'x'), a.tail)), slice(all, a.at + 2, b.at - a.at - 1),
+        array(concat(b.head, if(b.blank, '', 'x'))))"""
+    removed = let_sql("own", local, let_sql("left", _one_by_one("array_join(own, '')", occurrences_sql("own")),
+        "substring(left, 2, length(left) - if(b.blank, 1, 2))"))
+    plain = """substring(a.text, if(i = 0, 0, length(a.head)) + 1,
+        length(a.text) - if(i = 0, 0, length(a.head)) - length(a.tail))"""
+    middle = f"""transform(sequence(0, size(bounds) - 2), i ->
+        {let_sql('a', 'bounds[i]', let_sql('b', 'bounds[i + 1]', f"concat({plain}, {removed})"))})"""
+    end = let_sql("z", "element_at(bounds, -1)", "substring(z.text, length(z.head) + 1)")
+    whole = f"concat(array_join({middle}, ''), {end})"
+    closed = f"if(size({segs}) % 2 = 0, concat({segs}, array('')), {segs})"
+    return let_sql("all", closed, let_sql("sides", sides, let_sql("bounds", bounds, whole)))
 
 
 def _spliced(segs: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let, literal, running_sum_sql
-from marginalia.functions.patterns import open_spans, span_tiles
+from marginalia.functions.patterns import closed_span, open_spans, span_tiles, start_tag
 
 Pairs = Mapping[str, str | Sequence[str]]
 
@@ -20,10 +20,6 @@ def _pairs(tags: Pairs) -> dict[str, list[str]]:
     return pairs
 
 
-def _gaps_and_spans(text: Column, pattern: str) -> tuple[Column, Column]:
-    return tuple(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) for group in (1, 2))
-
-
 def extract_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Column:
     """Tagged spans: tags, content, and the content's start (inclusive) and end (exclusive) offset.
 
@@ -31,16 +27,18 @@ def extract_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Colum
     at one place the one listed first wins.  A start tag that is never closed ends the search.
     """
     pairs = _pairs(tags)
-    gaps, spans = _gaps_and_spans(text, span_tiles(pairs, ignore_case=ignore_case, closed_only=True))
-    found = F.zip_with(gaps, spans, lambda gap, span: F.struct(gap.alias("gap"), span.alias("span")))
-    sizes = "transform(found, piece -> length(piece.gap) + length(piece.span))"
+    tiles = F.regexp_extract_all(text, F.lit(span_tiles(pairs, ignore_case=ignore_case)), F.lit(0))
+    # Only the last tile can be a span that never closes.
+    closed = f"i < size(tiles) - 1 or rlike(tile, {literal(closed_span(pairs, ignore_case=ignore_case))})"
     return let(
-        found,
-        f"""found -> transform(
+        tiles,
+        f"""tiles -> transform(
             filter(
-                zip_with(found, {running_sum_sql(sizes, "0")}, (piece, sum) -> named_struct(
-                    'span', piece.span, 'at', sum + length(piece.gap), 'tag', {_tags_of('piece.span', pairs, ignore_case)})),
-                piece -> piece.span <> ''),
+                zip_with(
+                    transform(tiles, (tile, i) -> if({_opens("tile", pairs, ignore_case)} and ({closed}), tile, null)),
+                    {running_sum_sql("transform(tiles, tile -> length(tile))", "0")},
+                    (span, at) -> named_struct('span', span, 'at', at, 'tag', {_tags_of('span', pairs, ignore_case)})),
+                piece -> piece.span is not null),
             piece -> named_struct(
                 'start_tag', piece.tag.start_tag,
                 'end_tag', piece.tag.end_tag,
@@ -51,6 +49,11 @@ def extract_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Colum
     )
 
 
+def _opens(tile: str, pairs: Mapping[str, Sequence[str]], ignore_case: bool) -> str:
+    """SQL text that is true for tiles that begin with a start tag, which plain ones never do."""
+    return f"rlike({tile}, {literal(start_tag(pairs, ignore_case=ignore_case))})"
+
+
 def _tags_of(span: str, pairs: Mapping[str, Sequence[str]], ignore_case: bool) -> str:
     """SQL text that tells the start and the end tag of a span, in the order in which tags win."""
 
@@ -84,9 +87,11 @@ def strip_spans(text: Column, tags: Pairs, ignore_case: bool = False) -> Column:
 def mask_spans(text: Column, tags: Pairs, mask: str, ignore_case: bool = False) -> Column:
     """``text`` with every tagged region, tags included, overwritten by ``mask`` characters.
 
-    The result is as long as the text, so offsets stay valid.
+    The result is as long as the text, so offsets stay valid; the mask is one character.
     """
-    pattern = span_tiles(_pairs(tags), ignore_case=ignore_case, closed_only=False)
-    gaps, spans = _gaps_and_spans(text, pattern)
-    masked = F.zip_with(gaps, spans, lambda gap, span: F.concat(gap, F.repeat(F.lit(mask), F.length(span))))
-    return F.array_join(masked, "")
+    if len(mask) != 1:
+        raise ValueError(f"the mask has to be one character, not {mask!r}")
+    pairs = _pairs(tags)
+    tiles = F.regexp_extract_all(text, F.lit(span_tiles(pairs, ignore_case=ignore_case)), F.lit(0))
+    masked = f"if({_opens('tile', pairs, ignore_case)}, repeat({literal(mask)}, length(tile)), tile)"
+    return F.array_join(F.call_function("transform", tiles, F.expr(f"tile -> {masked}")), "")

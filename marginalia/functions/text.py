@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.arrays import let, let_sql, literal, running_sum_sql
 
 # The characters that count as white space when a line is called blank.
-_NON_BLANK = (
-    r"[^\x09-\x0d\x1c-\x20\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+_BLANKS = r"\x09-\x0d\x1c-\x20\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_NON_BLANK = f"[^{_BLANKS}]"
+BLANK_START = rf"\A[{_BLANKS}]*+"
 
 
 def blank_sql(text: str) -> str:
@@ -95,9 +95,9 @@ def positions(text: Column, needle: str) -> Column:
     return F.when(F.contains(text, F.lit(needle)), found).otherwise(F.array().cast("array<int>"))
 
 
-def line_number(pos: Column, newline_positions: Column) -> Column:
+def line_number(text: Column, pos: Column) -> Column:
     """1-based line of an offset; a line feed belongs to the line it ends."""
-    return F.size(F.filter(newline_positions, lambda at: at < pos)) + 1
+    return count_newlines(F.substring(text, F.lit(1), pos)) + 1
 
 
 def escape_controls(text: Column) -> Column:

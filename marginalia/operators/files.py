@@ -105,6 +105,17 @@ def clean_all(sources: DataFrame, rules: CommentRules) -> DataFrame:
     return sources.select(*(c for c in sources.columns if c != "text"), F.inline(kept))
 
 
+def cleaned_tree(sources: DataFrame, config: JobConfig) -> DataFrame:
+    """path, rel_path and text of the whole tree after a run: selected files without their comments, those that were
+    nothing but comments gone, and all other files as they were.  One scan of each text, no exchange."""
+    path, text = F.col("path"), F.col("text")
+    touched = wanted(path, config) & scan.has_start_tag(text, config.comments)
+    cleaned = F.when(touched, rewrite.cleaned(scan.cut(text, config.comments))).otherwise(text)
+    stays = F.filter(F.array(F.struct(cleaned.alias("text"))), lambda f: f["text"].isNull() | (f["text"] != "") | (text == ""))
+    rel_path = paths.forward_slashes(paths.relative(path, config.base))
+    return sources.select("path", rel_path.alias("rel_path"), F.inline(stays))
+
+
 def is_emptied(cleaned: Column) -> Column:
     """True for a file that holds nothing but comments; white space left over keeps it."""
     return cleaned == ""

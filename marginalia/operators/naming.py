@@ -7,55 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import paths
+from marginalia.plans.workspace import kept
 
-_ROWS_PER_BUCKET = 1_000_000
-_MOST_BUCKETS = 512
-_SAMPLE = 20_000
 
+def number_in_group(frame: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``group``, ``order`` and ``name`` = 0, 1, 2, ... within each ``group`` in the order of ``order``.
 
-def order_bounds(frame: DataFrame, order: str, rows_per_bucket: int = _ROWS_PER_BUCKET) -> list[str]:
-    """Values of ``order`` that cut the rows into ranges of similar size.
-
-    They are only a hint for splitting work: numbers come out the same for any bounds.
-    The driver sees some 20,000 values, however many rows there are.
+    Rows are laid out by ranges of (group, order), so a group that holds most rows lies in many ranges. Each range
+    numbers its own rows, and the rows of a group in the ranges before it are added. The layout is written to the
+    shared folder, as both steps have to see the same one.
     """
-    rows = frame.count()
-    buckets = min(_MOST_BUCKETS, -(-rows // rows_per_bucket))
-    if buckets < 2:
-        return []
-    sample = frame.select(order).sample(min(1.0, _SAMPLE / rows), seed=7)
-    values = sorted(row[0] for row in sample.collect())
-    return sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
-
-
-def number_in_group(frame: DataFrame, group: str, order: str, name: str, bounds: list[str] | None = None) -> DataFrame:
-    """``frame`` with ``name`` = 0, 1, 2, ... within each ``group`` in the order of ``order``.
-
-    With ``bounds`` each group is cut into ranges of ``order`` that are numbered apart and
-    moved up by the sizes of the ranges before them, so that no task sorts a whole hot group.
-    """
-    if not bounds:
-        return frame.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(order)) - 1)
-
-    edges = F.array(*(F.lit(bound) for bound in bounds))
-    cut = frame.withColumn("_range", F.size(F.filter(edges, lambda edge: edge <= F.col(order))))
+    ranged = frame.select(group, order).repartitionByRange(group, order).withColumn("_range", F.spark_partition_id())
+    ranged = kept(ranged)
     earlier = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(group, "_range")
+        ranged.groupBy(group, "_range")
         .count()
         .select(group, "_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     )
-    ranked = cut.withColumn("_rank", F.row_number().over(W.partitionBy(group, "_range").orderBy(order)))
+    ranked = ranged.withColumn("_rank", F.row_number().over(W.partitionBy(group, "_range").orderBy(order)))
     return ranked.join(offsets, [group, "_range"]).select(
-        *frame.columns, (F.col("_before") + F.col("_rank") - 1).cast("int").alias(name)
+        group, order, (F.col("_before") + F.col("_rank") - 1).cast("int").alias(name)
     )
 
 
-def summary_names(files: DataFrame, bounds: list[str] | None = None) -> DataFrame:
-    """``files`` with ``summary_name``: ``stem.json``, ``stem-1.json``, ... in the order of paths."""
-    named = files.withColumn("_stem", paths.stem(paths.file_name(F.col("path"))))
-    numbered = number_in_group(named, "_stem", "path", "_number", bounds)
+def summary_names(files: DataFrame) -> DataFrame:
+    """path and ``summary_name``: ``stem.json``, ``stem-1.json``, ... in the order of paths."""
+    named = files.select("path", paths.stem(paths.file_name(F.col("path"))).alias("_stem"))
+    numbered = number_in_group(named, "_stem", "path", "_number")
     suffix = F.when(F.col("_number") > 0, F.concat(F.lit("-"), F.col("_number").cast("string"))).otherwise("")
-    return numbered.select(
-        *files.columns, F.concat("_stem", suffix, F.lit(".json")).alias("summary_name")
-    )
+    return numbered.select("path", F.concat("_stem", suffix, F.lit(".json")).alias("summary_name"))

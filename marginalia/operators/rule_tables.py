@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import paths
-from marginalia.rules import CONTAINS, ENDS_WITH, EXACT, LINE_END, STARTS_WITH, PathRule, PathRules
+from marginalia.plans.workspace import kept
+from marginalia.rules import CONTAINS, ENDS_WITH, EXACT, LINE_END, STARTS_WITH, CommentRules, RuleError
 
 INCLUDE = "INCLUDE"
 EXCLUDE = "EXCLUDE"
 
-_FEW_RULES = 500
-_SALTS = 16
+_RULE = ("include_exclude", "filter_text", "match_type")
+_GRAM = 4
+_BROADCAST_RULES = 20_000
 
 
 def pattern_match_type(pattern: Column) -> Column:
@@ -45,16 +47,25 @@ def parse_patterns(patterns: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
-def parse_ending(pattern: Column) -> Column:
-    """``*.kt`` -> ``.kt``; null unless the only asterisk stands first."""
-    return F.when(F.rlike(pattern, F.lit(r"\A\*[^*]*\z")), F.substring(pattern, 2, 2**31 - 1))
+def _refused(value: Column, source: Column, kind: str, strict: bool) -> Column:
+    """With ``strict``, a value that came out null fails the job."""
+    if not strict:
+        return value
+    message = F.concat(F.lit(f"{kind} not allowed: "), F.coalesce(source, F.lit("null")))
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(message))
 
 
-def parse_block(rule: Column) -> Column:
-    """``start...end`` -> struct(start_tag, end_tag); null if there is not exactly one ``...``."""
+def parse_ending(pattern: Column, strict: bool = False) -> Column:
+    """``*.kt`` -> ``.kt``; unless the only asterisk stands first, null, or a failed job with ``strict``."""
+    ending = F.when(F.rlike(pattern, F.lit(r"\A\*[^*]*\z")), F.substring(pattern, 2, 2**31 - 1))
+    return _refused(ending, pattern, "file ending", strict)
+
+
+def parse_block(rule: Column, strict: bool = False) -> Column:
+    """``start...end`` -> struct(start_tag, end_tag); if there is not exactly one ``...``, null, or a failed job with ``strict``."""
     parts = F.split(rule, r"\.\.\.", -1)
     tags = F.struct(F.element_at(parts, 1).alias("start_tag"), F.try_element_at(parts, F.lit(2)).alias("end_tag"))
-    return F.when(F.size(parts) == 2, tags)
+    return _refused(F.when(F.size(parts) == 2, tags), rule, "block rule", strict)
 
 
 def unite_rules(blocks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -65,80 +76,102 @@ def unite_rules(blocks: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def duplicate_start_tags(rules: DataFrame) -> DataFrame:
-    """Start tags used more than once; must be empty for usable rules."""
+    """Start tags used more than once; must be empty for usable rules (``comment_rules`` refuses them)."""
     return rules.groupBy("start_tag").count().where("count > 1")
 
 
-def filter_by_rules(frame: DataFrame, rules: DataFrame, base: str = "", few: int = _FEW_RULES) -> DataFrame:
-    """Rows of ``frame`` whose ``path`` passes the rules (include_exclude, filter_text, match_type).
+def comment_rules(rules: DataFrame, most: int = 10_000) -> CommentRules:
+    """Rules as a job uses them from a table (action ``remove`` or ``keep``, start_tag, end_tag).
 
-    Up to ``few`` rules become one predicate; more of them are joined.
+    The number of rules is part of the plan, so more than ``most`` are refused, as are start tags used more than
+    once, empty ones, other actions and nulls.
     """
-    listed = rules.select("include_exclude", "filter_text", "match_type").distinct()
-    known = listed.limit(few + 1).collect()
-    if len(known) > few:
-        return _join_rules(frame, listed, base)
-
-    def of(kind: str) -> tuple[PathRule, ...]:
-        return tuple(PathRule(r.filter_text, r.match_type) for r in known if r.include_exclude == kind)
-
-    return frame.where(paths.passes(F.col("path"), base, PathRules(of(INCLUDE), of(EXCLUDE))))
-
+    rows = rules.select("action", "start_tag", "end_tag").orderBy("start_tag").limit(most + 1).collect()
+    if len(rows) > most:
+        raise RuleError(f"more than {most} comment rules")
+    for r in rows:
+        if r.action not in ("remove", "keep") or r.start_tag is None or r.end_tag is None:
+            raise RuleError(f"not a comment rule: {r.asDict()}")
+    of = lambda action: tuple((r.start_tag, r.end_tag) for r in rows if r.action == action)
+    return CommentRules(of("remove"), of("keep"))
+
+
+def _checked(rules: DataFrame) -> DataFrame:
+    """The rules, each once; one that cannot be used fails the job."""
+    known = F.col("match_type").isin(EXACT, STARTS_WITH, ENDS_WITH, CONTAINS)
+    usable = known & F.col("include_exclude").isin(INCLUDE, EXCLUDE) & F.col("filter_text").isNotNull()
+    shown = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("null")) for c in _RULE])
+    refused = F.raise_error(F.concat(F.lit("path rule not usable: "), shown)).cast("string")
+    checked = F.when(F.coalesce(usable, F.lit(False)), F.col("filter_text")).otherwise(refused)
+    return rules.select("include_exclude", checked.alias("filter_text"), "match_type").distinct()
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """All different parts of a text that have one of the sizes."""
+    parts = [
+        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, F.lit(n))))  # noqa: B023
+        for n in sizes
+    ]
+    return F.array_distinct(F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull())))
+
+
+def filter_by_rules(frame: DataFrame, rules: DataFrame, base: str = "") -> DataFrame:
+    """Rows of ``frame`` whose ``path`` passes the rules (include_exclude, filter_text, match_type).
 
-def _join_rules(frame: DataFrame, rules: DataFrame, base: str) -> DataFrame:
-    """The same for any number of rules, with equality joins only.
+    A null path passes no rules, not even an empty table of them. A rule with a null, or with an action or match type
+    that does not exist, fails the job.
 
-    Of every path all prefixes, suffixes and parts are made that are as long as some
-    rule, and looked up.  The rules are copied ``_SALTS`` times and the parts spread
-    over the copies, so that a part found in many paths does not end in one task.
+    Rules are joined, however many there are: each is looked up by the part of ``_GRAM`` characters of its text (or
+    its whole text, if shorter) that the fewest paths have, and tested on the paths that have that part. So a path
+    gives one row for each of its positions and used part size, whatever the rules, and a part that most paths have
+    is used by a rule only if all its parts are like that. The rules are broadcast if their counted number allows it;
+    else both sides are shuffled, and Spark may split the parts that many paths have.
     """
-    lengths: dict[str, list[int]] = {STARTS_WITH: [], ENDS_WITH: [], CONTAINS: []}
-    sizes = rules.where(F.col("match_type") != EXACT).select("match_type", F.length("filter_text").alias("n")).distinct()
-    for row in sizes.collect():
-        lengths[row.match_type].append(row.n)
-    no_includes = rules.where(F.col("include_exclude") == INCLUDE).isEmpty()
-
+    table = kept(_checked(rules))
+    matches_all = (F.col("filter_text") == "") & (F.col("match_type") != EXACT)
+    is_of = lambda kind: F.col("include_exclude") == kind
+    known = table.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.bool_or(is_of(INCLUDE)), F.lit(False)).alias("includes"),
+        F.coalesce(F.bool_or(is_of(INCLUDE) & matches_all), F.lit(False)).alias("all_in"),
+        F.coalesce(F.bool_or(is_of(EXCLUDE) & matches_all), F.lit(False)).alias("all_out"),
+        F.collect_set(F.least(F.length("filter_text"), F.lit(_GRAM))).alias("sizes"),
+    ).first()
+    sizes = sorted(known.sizes)
     sub_path = paths.below(F.col("path"), base)
-
-    def as_long(kind: str) -> Column:
-        fitting = F.array(*(F.lit(n) for n in sorted(lengths[kind]))).cast("array<int>")
-        return F.filter(fitting, lambda n: n <= F.length(sub_path))
-
-    def parts(kind: str, texts: Column) -> Column:
-        return F.transform(
-            F.array_distinct(texts), lambda t: F.struct(F.lit(kind).alias("match_type"), t.alias("filter_text"))
-        )
-
-    last = F.length(sub_path) + 1
-    candidates = F.concat(
-        parts(EXACT, F.array(sub_path)),
-        parts(STARTS_WITH, F.transform(as_long(STARTS_WITH), lambda n: F.substring(sub_path, F.lit(1), n))),
-        parts(ENDS_WITH, F.transform(as_long(ENDS_WITH), lambda n: F.substring(sub_path, last - n, n))),
-        parts(
-            CONTAINS,
-            F.flatten(
-                F.transform(
-                    as_long(CONTAINS),
-                    lambda n: F.transform(
-                        F.sequence(F.lit(1), last - n), lambda at: F.substring(sub_path, at, n)
-                    ),
-                )
-            ),
-        ),
+    unique = frame.select("path").where("path is not null").distinct().select("path", sub_path.alias("sub_path"))
+    # The empty text is a part of no path but an empty one, so that rules for it are looked up as well.
+    own = F.when(F.col("sub_path") == "", F.array(F.lit(""))).otherwise(_grams(F.col("sub_path"), [n for n in sizes if n] or [1]))
+    looked_up = unique.select("path", "sub_path", F.explode(own).alias("part"))
+    counts = looked_up.groupBy("part").agg(F.count("*").alias("paths"))
+    size = F.least(F.length("filter_text"), F.lit(_GRAM))
+    parts = table.where(~matches_all).select(
+        *_RULE,
+        F.explode(
+            F.when(F.col("filter_text") == "", F.array(F.lit(""))).otherwise(
+                F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("filter_text") - size + 1), lambda at: F.substring(F.col("filter_text"), at, size)))
+            )
+        ).alias("part"),
     )
-    unique = frame.select("path").distinct()
-    looked_up = unique.select("path", F.inline(candidates)).withColumn(
-        "salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int")
+    # A part that no path has comes first: such a rule matches nothing.
+    keyed = parts.join(counts, "part", "left").groupBy(*_RULE).agg(F.min_by("part", F.coalesce("paths", F.lit(0))).alias("part"))
+    keyed = F.broadcast(keyed) if known.n <= _BROADCAST_RULES else keyed.hint("merge")
+    text, path = F.col("filter_text"), F.col("sub_path")
+    holds = (
+        F.when(F.col("match_type") == EXACT, path == text)
+        .when(F.col("match_type") == STARTS_WITH, F.startswith(path, text))
+        .when(F.col("match_type") == ENDS_WITH, F.endswith(path, text))
+        .otherwise(F.contains(path, text))
     )
-    salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     hits = (
-        looked_up.join(salted, ["match_type", "filter_text", "salt"])
+        looked_up.join(keyed, "part")
+        .where(holds)
         .groupBy("path")
-        .agg(
-            F.bool_or(F.col("include_exclude") == INCLUDE).alias("included"),
-            F.bool_or(F.col("include_exclude") == EXCLUDE).alias("excluded"),
-        )
+        .agg(F.bool_or(is_of(INCLUDE)).alias("included"), F.bool_or(is_of(EXCLUDE)).alias("excluded"))
     )
-    if no_includes:
-        return frame.join(hits.where("excluded"), "path", "left_anti")
-    return frame.join(hits.where("included and not excluded"), "path", "left_semi")
+    if known.all_out:
+        return frame.where("false")
+    passing = frame.where("path is not null")
+    if not known.includes or known.all_in:
+        return passing.join(hits.where("excluded"), "path", "left_anti")
+    return passing.join(hits.where("included and not excluded"), "path", "left_semi")

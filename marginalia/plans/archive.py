@@ -4,9 +4,13 @@ Tables below the archive root, one folder per run:
 
 ``code_archive``     rel_dir, name, text          the files as they were
 ``operation_index``  rel_path, label, line        what was done to each
-``summary``          rel_path, summary_name, json every removed comment
+``summary``          rel_path, json               every removed comment
+``summary_names``    rel_path, summary_name       the name of each file's summary
 ``changes``          path, html                   the files with their comments highlighted
 
+Names need the files of one stem together, comments do not: they are written apart, so that no comment text is
+shuffled, and ``read_summaries`` puts them together.
+
 Writing a run again replaces its folders, so a run that was cut short can be repeated.
 """
 
@@ -17,15 +21,17 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions import paths, preview, scan, times
+from marginalia.functions import paths, scan, times
 from marginalia.operators import files
-from marginalia.operators.naming import order_bounds, summary_names
-from marginalia.plans.workspace import shared_dir
+from marginalia.operators.naming import summary_names
+from marginalia.plans.preview import nothing_found
+from marginalia.plans.workspace import drop, shared_dir
 from marginalia.rules import JobConfig, root_path
 
 CODE_ARCHIVE = "code_archive"
 OPERATION_INDEX = "operation_index"
 SUMMARY = "summary"
+SUMMARY_NAMES = "summary_names"
 CHANGES = "changes"
 
 
@@ -68,22 +74,19 @@ def operation_index(run: DataFrame) -> DataFrame:
     return run.select("rel_path", "label", F.concat_ws(":", "rel_path", "label").alias("line"))
 
 
-def summary(run: DataFrame, bounds: list[str] | None = None) -> DataFrame:
-    """Names need the files of one stem together; the comments do not travel with them."""
-    names = summary_names(run.select("path"), bounds)
+def summary(run: DataFrame) -> DataFrame:
     items = scan.occurrences(F.col("segments"))
-    texts = run.select("path", "rel_path", summary_json(F.col("rel_path"), F.col("path"), items).alias("json"))
-    return texts.join(names, "path").select("rel_path", "summary_name", "json")
+    return run.select("rel_path", summary_json(F.col("rel_path"), F.col("path"), items).alias("json"))
+
+
+def named_summaries(run: DataFrame) -> DataFrame:
+    names = summary_names(run.select("path"))
+    return run.select("path", "rel_path").join(names, "path").select("rel_path", "summary_name")
 
 
 def changes(run: DataFrame) -> DataFrame:
     """Markup per file, or one row that says there is nothing."""
-    nothing = (
-        run.agg(F.count("*").alias("n"))
-        .where("n = 0")
-        .select(F.lit(None).cast("string").alias("path"), F.lit(preview.NO_COMMENTS).alias("html"))
-    )
-    return files.file_markup(run).unionByName(nothing)
+    return files.file_markup(run).unionByName(nothing_found(run))
 
 
 def snapshot(run: DataFrame) -> DataFrame:
@@ -92,13 +95,20 @@ def snapshot(run: DataFrame) -> DataFrame:
 
 
 def archive_run(
-    spark: SparkSession, sources: DataFrame, config: JobConfig, run_id: str | None = None, snapshot_path: str | None = None
+    spark: SparkSession,
+    sources: DataFrame,
+    config: JobConfig,
+    run_id: str | None = None,
+    snapshot_path: str | None = None,
+    whole_tree: bool = False,
 ) -> str:
     """Archive the selected files and write their cleaned texts below ``snapshot_path``; returns the run's name.
 
-    The corpus is read and scanned once.  Its commented files are written to a table in the
-    shared folder, and every output reads just the columns it needs from there: a lost
-    executor costs a piece of that table, never the scan.
+    With ``whole_tree`` the snapshot holds the files without comments and those that the rules leave out as well,
+    which takes a second pass over the sources.
+
+    The commented files are written to a table in the shared folder, which goes when the run is over, and every
+    output reads just the columns it needs from there: a lost executor costs a piece of that table, never the scan.
     """
     target = snapshot_path or f"{config.archive_root}/snapshot"
     if config.base and f"{root_path(target)}/".startswith(f"{config.base}/"):
@@ -115,17 +125,27 @@ def archive_run(
         CHANGES: changes(run),
         CODE_ARCHIVE: code_archive(run),
         OPERATION_INDEX: operation_index(run),
-        SUMMARY: summary(run, order_bounds(run, "path")),
+        SUMMARY: summary(run),
+        SUMMARY_NAMES: named_summaries(run),
     }
     # The tables do not depend on each other, so one may use the cores that another leaves idle.
     with ThreadPoolExecutor(len(outputs)) as pool:
         list(pool.map(write, outputs.values(), (f"{config.archive_root}/{table}" for table in outputs)))
     # Cleaned files come last: they exist only if the old ones are safe.
-    write(snapshot(run), target)
+    write(files.cleaned_tree(sources, config) if whole_tree else snapshot(run), target)
+    drop(spark, staging)
     return run_id
 
 
 def read_archive(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:
-    """A table of the archive; naming a run reads that run's folder only."""
-    frame = spark.read.parquet(f"{root}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
-    return frame if run_id is None else frame.where(F.col("run_id") == run_id)
+    """A table of the archive with the ``run_id`` of each row; naming a run opens that run's folder only."""
+    where = f"{root}/{table}" if run_id is None else f"{root}/{table}/run_id={run_id}"
+    frame = spark.read.option("basePath", f"{root}/{table}").parquet(where)
+    return frame.withColumn("run_id", F.col("run_id").cast("string"))
+
+
+def read_summaries(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """rel_path, summary_name, json and run_id."""
+    names = read_archive(spark, root, SUMMARY_NAMES, run_id)
+    texts = read_archive(spark, root, SUMMARY, run_id)
+    return names.join(texts, ["run_id", "rel_path"]).select("rel_path", "summary_name", "json", "run_id")

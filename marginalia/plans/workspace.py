@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _base(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return base.rstrip("/")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new, unused path in the folder named by ``spark.checkpoint.dir``.
+    """A new, unused path in the folder named by ``spark.checkpoint.dir``."""
+    return f"{_base(spark)}/marginalia-{uuid.uuid4().hex}"
 
-    Only a local session may go without that setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="marginalia-")
-    return f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder: whatever reads them sees the same ones."""
+    sc = frame.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(_base(frame.sparkSession))
+    return frame.checkpoint()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder through Spark's file systems."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

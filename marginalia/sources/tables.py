@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 
-def from_table(frame: DataFrame, path: Column, text: Column, *keep: str) -> DataFrame:
-    """``sources`` from a table: a unique path, the text, and columns to keep."""
-    return spread(frame, path).select(path.alias("path"), text.alias("text"), *keep)
+def from_table(frame: DataFrame, path: Column, text: Column, *keep: str, partitions: int | None = None) -> DataFrame:
+    """``sources`` from a table: a unique path, the text, and columns to keep.
 
-
-def spread(frame: DataFrame, key: Column) -> DataFrame:
-    """Share out the rows of a table that has fewer files than the cluster has cores.
-
-    A file with one row group is one task, so a small table would keep one core busy.
-    A table of many files is left as it is: its texts are never sent over the network.
+    Rows stay in the tasks that read them. ``partitions`` deals them out to so many tasks by their paths, which sends
+    all texts over the network: worth it only for a small table in a file with one row group.
     """
-    if frame.isStreaming:
-        return frame
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    files = len(frame.inputFiles())
-    return frame.repartition(cores, key) if 0 < files < cores else frame
+    sources = frame.select(path.alias("path"), text.alias("text"), *keep)
+    return sources if partitions is None else sources.repartition(partitions, "path")

@@ -11,23 +11,23 @@ from marginalia.rules import CommentRules, JobConfig, PathRules
 from marginalia.sources.tree import inventory, read_tree
 from marginalia.streaming.runs import archive_stream
 
-ROOT = "/myProjects/projectA"
+ROOT = "/depot/lab"
 RULES = {"remove_blocks": ["/*...*/"], "keep_blocks": ["/**...*/"], "remove_lines": ["//"], "keep_lines": ["//:", "//*"]}
-BODY = "package base\ndata class A(val x: Int)\nclass MyClassA{\n    val x = 5\n    val y = \"6\"\n}"
+REST = "module lab\nstore Shelf {\n    size = 12\n    tag = \"jars\"\n}"
 SOURCES = {
-    "/src/base/MyClassA.kt": '//comment"to"remove\n' + BODY,
-    "/src/base/MyClassB.kt": "//comment to remove\n//:comment to keep\n//second comment to remove\n" + BODY,
-    "/src/base/OldClass.kt": "//comment to remove",
-    "/src/other/MyClassA.java": '//comment"to"remove\n' + BODY,
-    "/src/other/Plain.java": BODY,
-    "/src/config.yaml": "//not looked at",
-    "/other/Outside.kt": "//not looked at",
+    "/kit/rack/Shelf.kt": "// say 'x', not \"y\"\n" + REST,
+    "/kit/rack/Drawer.kt": "/* gone */\n//: stays\n// gone as well\n" + REST,
+    "/kit/rack/Empty.kt": "/* nothing\n   else */",
+    "/kit/wall/Shelf.java": "// say 'x', not \"y\"\n" + REST,
+    "/kit/wall/Clean.java": REST,
+    "/kit/notes.yaml": "// endings leave this out",
+    "/barn/Cart.kt": "// paths leave this out",
 }
 
 
 @pytest.fixture
 def job(tmp_path):
-    return JobConfig.parse(ROOT, str(tmp_path / "archive"), ["/src/*"], ["*.kt", "*.java"], **RULES)
+    return JobConfig.parse(ROOT, str(tmp_path / "archive"), ["/kit/*"], ["*.kt", "*.java"], **RULES)
 
 
 @pytest.fixture(scope="module")
@@ -36,37 +36,58 @@ def sources(spark):
 
 
 def test_archive_run(spark, sources, job):
-    run_id = archive.archive_run(spark, sources, job, "2022-08-22T19-00-00_0123")
+    run_id = archive.archive_run(spark, sources, job, "2031-02-03T04-05-06_0078")
 
     def table(name):
         return archive.read_archive(spark, job.archive_root, name, run_id)
 
-    assert sorted(r.line for r in table("operation_index").collect()) == [
-        "src/base/MyClassA.kt:1 comment removed",
-        "src/base/MyClassB.kt:2 comments removed",
-        "src/base/OldClass.kt:file removed",
-        "src/other/MyClassA.java:1 comment removed",
-    ]
-    summaries = {r.summary_name: r.json for r in table("summary").collect()}
-    assert sorted(summaries) == ["MyClassA-1.json", "MyClassA.json", "MyClassB.json", "OldClass.json"]
-    assert summaries["MyClassA.json"] == (
-        '{"relativePath":"src/base/MyClassA.kt","items":[{"filePath":"/myProjects/projectA/src/base/MyClassA.kt",'
-        '"pos":{"first":0,"last":19},"lines":{"first":1,"last":1},"commentText":"//comment\\"to\\"remove\\n"}]}'
-    )
-    assert [i["pos"]["first"] for i in json.loads(summaries["MyClassB.json"])["items"]] == [0, 39]
-    kept = {(r.rel_dir, r.name): r.text for r in table("code_archive").collect()}
-    assert kept == {
-        (os.path.dirname(p)[1:], os.path.basename(p)): SOURCES[p]
-        for p in ("/src/base/MyClassA.kt", "/src/base/MyClassB.kt", "/src/base/OldClass.kt", "/src/other/MyClassA.java")
+    lines = {r.rel_path: r.line for r in table("operation_index").collect()}
+    assert lines == {
+        "kit/rack/Shelf.kt": "kit/rack/Shelf.kt:1 comment removed",
+        "kit/rack/Drawer.kt": "kit/rack/Drawer.kt:2 comments removed",
+        "kit/rack/Empty.kt": "kit/rack/Empty.kt:file removed",
+        "kit/wall/Shelf.java": "kit/wall/Shelf.java:1 comment removed",
     }
+    summaries = {r.summary_name: r for r in archive.read_summaries(spark, job.archive_root, run_id).collect()}
+    assert {n: r.rel_path for n, r in summaries.items()} == {
+        "Shelf.json": "kit/rack/Shelf.kt", "Shelf-1.json": "kit/wall/Shelf.java", "Drawer.json": "kit/rack/Drawer.kt", "Empty.json": "kit/rack/Empty.kt",
+    }
+    comment = SOURCES["/kit/rack/Shelf.kt"].removesuffix(REST)
+    fields = [("relativePath", "kit/rack/Shelf.kt"), ("items", [
+        dict([("filePath", ROOT + "/kit/rack/Shelf.kt"), ("pos", {"first": 0, "last": len(comment) - 1}), ("lines", {"first": 1, "last": 1}), ("commentText", comment)])
+    ])]
+    assert summaries["Shelf.json"].json == json.dumps(dict(fields), separators=(",", ":"))
+    assert len(json.loads(summaries["Drawer.json"].json)["items"]) == 2
+    kept = {(r.rel_dir, r.name): r.text for r in table("code_archive").collect()}
+    assert kept == {(os.path.dirname(p), os.path.basename(p)): SOURCES["/" + p] for p in lines}
     assert {r.rel_path: r.text for r in table("snapshot").collect()} == {
-        "src/base/MyClassA.kt": BODY,
-        "src/base/MyClassB.kt": "//:comment to keep\n" + BODY,
-        "src/other/MyClassA.java": BODY,
+        "kit/rack/Shelf.kt": REST,
+        "kit/rack/Drawer.kt": "\n//: stays\n" + REST,
+        "kit/wall/Shelf.java": REST,
+    }
+    assert sorted(r.path for r in table("changes").collect()) == sorted(f"{ROOT}/{p}" for p in lines)
+
+
+def test_whole_tree(spark, sources, job):
+    archive.archive_run(spark, sources, job, "whole", whole_tree=True)
+    tree = {r.rel_path: r.text for r in archive.read_archive(spark, job.archive_root, "snapshot", "whole").collect()}
+    assert tree == {
+        "kit/rack/Shelf.kt": REST,
+        "kit/rack/Drawer.kt": "\n//: stays\n" + REST,
+        **{p[1:]: SOURCES[p] for p in ("/kit/wall/Clean.java", "/kit/notes.yaml", "/barn/Cart.kt")},
+        "kit/wall/Shelf.java": REST,
     }
-    assert sorted(r.path for r in table("changes").collect()) == sorted(
-        ROOT + "/" + r.rel_path for r in table("operation_index").collect()
-    )
+    odd = spark.createDataFrame([(ROOT + "/kit/a.kt", ""), (ROOT + "/kit/b.kt", None), (ROOT + "/kit/c.kt", "// x")], "path string, text string")
+    assert sorted((r.rel_path, r.text) for r in files.cleaned_tree(odd, job).collect()) == [("kit/a.kt", ""), ("kit/b.kt", None)]
+
+
+def test_staging_goes_and_comments_are_not_shuffled(spark, sources, job):
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    archive.archive_run(spark, sources, job, "tidy")
+    assert {d for d in set(os.listdir(base)) - before if d.startswith("marginalia-")} == set()
+    run = archive.scanned_run(sources, job)
+    assert "Exchange" not in archive.summary(run)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_runs_stand_side_by_side_and_can_be_repeated(spark, sources, job):
@@ -77,12 +98,12 @@ def test_runs_stand_side_by_side_and_can_be_repeated(spark, sources, job):
     counts = archive.read_archive(spark, job.archive_root, "operation_index").groupBy("run_id").count().collect()
     assert {r.run_id: r["count"] for r in counts} == {"run-1": 1, "run-2": 3}
     one = archive.read_archive(spark, job.archive_root, "summary", "run-2")
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "run-2" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.run_id for r in one.collect()} == {"run-2"} and one.count() == 3
+    assert all("/run_id=run-2/" in f for f in one.inputFiles())
 
 
 def test_nothing_to_archive(spark, sources, job):
-    archive.archive_run(spark, sources.where("path like '%Plain%'"), job, "empty")
+    archive.archive_run(spark, sources.where("path like '%Clean%'"), job, "empty")
     rows = archive.read_archive(spark, job.archive_root, "changes", "empty").collect()
     assert [(r.path, r.html) for r in rows] == [(None, preview.NO_COMMENTS)]
     assert archive.read_archive(spark, job.archive_root, "operation_index", "empty").count() == 0
@@ -90,7 +111,7 @@ def test_nothing_to_archive(spark, sources, job):
 
 def test_source_tree_is_never_written(spark, sources, job):
     with pytest.raises(ValueError, match="source tree"):
-        archive.archive_run(spark, sources, job, "x", snapshot_path="file:" + ROOT + "/src")
+        archive.archive_run(spark, sources, job, "x", snapshot_path="file:" + ROOT + "/kit")
 
 
 def test_run_names(spark):
@@ -115,30 +136,32 @@ def test_cleaning_from_a_table_of_occurrences(spark, sources, job):
 
 def test_previews(spark, sources, job, tmp_path):
     lines = [r.line for r in preview_run(sources, job).orderBy("path", "first").collect()]
-    assert lines[0] == 'src/base/MyClassA.kt:1> //comment"to"remove\\n'
-    assert [line.split(">")[0] for line in lines[1:]] == [
-        "src/base/MyClassB.kt:1", "src/base/MyClassB.kt:3", "src/base/OldClass.kt:1", "src/other/MyClassA.java:1",
-    ]
+    assert [line.split(">")[0] for line in lines] == [
+        "kit/rack/Drawer.kt:1", "kit/rack/Drawer.kt:3", "kit/rack/Empty.kt:1", "kit/rack/Shelf.kt:1", "kit/wall/Shelf.java:1",
+    ]
+    assert lines[2] == "kit/rack/Empty.kt:1> /* nothing\\n   else */"
     target = str(tmp_path / "lines")
     write_preview(preview_run(sources, job), target)
     assert [r.value for r in spark.read.text(target).collect()] == lines
     assert preview_run(sources, job, "markup").count() == 4
     assert preview_run(sources, job, "multi_line").count() == 5
+    for some in (sources.where("path like '%Clean%'"), sources.limit(0)):
+        assert [(r.path, r.line) for r in preview_run(some, job, "markup").collect()] == [(None, preview.NO_COMMENTS)]
     with pytest.raises(ValueError):
         preview_run(sources, job, "other")
 
 
-def test_summary_names_do_not_depend_on_bounds(spark):
-    rows = [(f"/d{i:03d}/{'hot' if i % 3 else f's{i % 5}'}.kt",) for i in range(400)]
-    frame = spark.createDataFrame(rows, "path string")
-    plain = sorted(tuple(r) for r in naming.summary_names(frame).collect())
-    bounds = naming.order_bounds(frame, "path", rows_per_bucket=30)
-    assert 5 < len(bounds) < 20
-    for cut in (bounds, ["/d100/"], ["/a", "/z"]):
-        assert sorted(tuple(r) for r in naming.summary_names(frame, cut).collect()) == plain
-    hot = [name for path, name in plain if "/hot" in path]
-    assert hot[:3] == ["hot.json", "hot-1.json", "hot-2.json"] and len(set(hot)) == len(hot)
-    assert naming.order_bounds(frame, "path") == []
+def test_summary_names_in_a_group_that_has_most_files(spark):
+    rows = [f"/d{i:03d}/{'hot' if i % 3 else f's{i % 5}'}.kt" for i in range(400)]
+    want, seen = {}, {}
+    for path in sorted(rows):
+        stem = path.split("/")[-1].removesuffix(".kt")
+        want[path] = f"{stem}-{seen[stem]}.json" if stem in seen else f"{stem}.json"
+        seen[stem] = seen.get(stem, 0) + 1
+    frame = spark.createDataFrame([(r,) for r in rows], "path string").repartition(7)
+    assert {r.path: r.summary_name for r in naming.summary_names(frame).collect()} == want
+    ranged = frame.selectExpr("'hot' as g", "path").repartitionByRange(5, "g", "path")
+    assert len({r[0] for r in ranged.selectExpr("spark_partition_id()").collect()}) == 5, "a hot group lies in many ranges"
 
 
 def test_tree(spark, tmp_path):
@@ -147,6 +170,11 @@ def test_tree(spark, tmp_path):
         "src/a b/Mäin+1.kt": b"// caf\xc3\xa9\r\nx",
         "src/100%.kt": b"\xff // bad\n",
         "src/Other.txt": b"// no",
+        "src/__init__.kt": b"// under",
+        "src/_form.kt": b"//form",
+        "src/.hidden.kt": b"// dot",
+        "src/.config/_x/Deep.kt": b"// deep",
+        "src/Nothing.kt": b"",
         "gen/G.kt": b"// generated",
         "Top.kt": b"/* top */",
     }
@@ -154,21 +182,24 @@ def test_tree(spark, tmp_path):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
-    listed = inventory(spark, str(root))
-    assert {r.rel_path: r.length for r in listed.collect()} == {n: len(d) for n, d in contents.items()}
-    assert {r.path for r in listed.collect()} == {str(root / n) for n in contents}
-    assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    (root / "empty folder").mkdir()
+    listed = inventory(spark, str(root)).collect()
+    assert {r.rel_path: r.length for r in listed} == {n: len(d) for n, d in contents.items()}
+    assert {r.path for r in listed} == {str(root / n) for n in contents}
+    for r in listed:
+        assert abs(r.modified.timestamp() - (root / r.rel_path).stat().st_mtime) < 1e-3
     assert [r.rel_path for r in inventory(spark, str(root), recursive=False).collect()] == ["Top.kt"]
+    assert [(r.path, r.length) for r in inventory(spark, str(root / "Top.kt")).collect()] == [(str(root / "Top.kt"), 9)]
+    assert inventory(spark, str(root / "empty folder")).count() == 0
 
     config = JobConfig(f"file:{root}", "", CommentRules.parse(**RULES), PathRules.parse(["/src/*", "*Top*"], ["*gen*"]), (".kt",))
     chosen = read_tree(spark, str(root), config)
     texts = {r.rel_path: r.text for r in chosen.collect()}
-    assert texts == {"src/a b/Mäin+1.kt": "// café\r\nx", "src/100%.kt": "\ufffd // bad\n", "Top.kt": "/* top */"}
-    scanned = [r.comment_text for r in files.find_occurrences(files.select_files(chosen, config), config.comments).collect()]
-    assert sorted(scanned) == ["/* top */", "// bad\n", "// café\r\n"]
-    plan = chosen._jdf.queryExecution().executedPlan().toString()
-    assert "file_path" in plan
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    wanted = [n for n in contents if n.endswith(".kt") and not n.startswith("gen")]
+    assert texts == {n: contents[n].decode("utf-8", "replace") for n in wanted}
+    scanned = files.find_occurrences(files.select_files(chosen, config), config.comments).count()
+    assert scanned == len(wanted) - 1
+    with pytest.raises(Exception, match="missing"):
         read_tree(spark, str(tmp_path / "missing")).count()
 
 
@@ -181,7 +212,7 @@ def test_unwanted_files_are_not_opened(spark, tmp_path):
     everything = read_tree(spark, str(tmp_path))
     unwanted.unlink()
     assert [r.text for r in chosen.collect()] == ["// x"]
-    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+    with pytest.raises(Exception, match="other.txt"):
         everything.collect()
 
 
@@ -195,10 +226,10 @@ def test_stream_of_files(spark, tmp_path, sources, job):
         return sorted((r.run_id, r.rel_path) for r in rows)
 
     sources.where("path like '%.kt'").coalesce(1).write.parquet(inbox)
-    first = [("stream-000000", f"src/base/{n}.kt") for n in ("MyClassA", "MyClassB", "OldClass")]
+    first = [("stream-000000", f"kit/rack/{n}.kt") for n in ("Drawer", "Empty", "Shelf")]
     assert drain() == first
     sources.where("path like '%.java'").coalesce(1).write.mode("append").parquet(inbox)
-    assert drain() == [*first, ("stream-000001", "src/other/MyClassA.java")]
+    assert drain() == [*first, ("stream-000001", "kit/wall/Shelf.java")]
     assert len(drain()) == 4
 
 

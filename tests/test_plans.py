@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import scan, text
+from marginalia.functions import scan, spans, text
 from marginalia.operators import files
 from marginalia.plans.preview import preview_run
 from marginalia.rules import CommentRules, JobConfig, PathRules
@@ -32,7 +32,8 @@ JOBS = {
     "emptied": lambda s: files.clean_files(files.commented_files(s, RULES)).where("cleaned = ''").select("path"),
     "cleaned whole": lambda s: files.clean_all(s, RULES),
     "sections": lambda s: files.file_sections(files.commented_files(s, RULES)),
-    "markup": lambda s: preview_run(s, CONFIG, "markup"),
+    "markup": lambda s: files.file_markup(files.commented_files(files.select_files(s, CONFIG), RULES)),
+    "cleaned tree": lambda s: files.cleaned_tree(s, CONFIG),
     "one line": lambda s: preview_run(s, CONFIG, "one_line"),
     "multi line": lambda s: preview_run(s, CONFIG, "multi_line"),
     "contexts": lambda s: files.commented_files(s, RULES).select(
@@ -60,11 +61,23 @@ def test_totals_are_added_up_before_the_exchange(sources):
     assert tuple(files.run_totals(sources, CONFIG).first()) == (320, 320, 320)
 
 
-def test_small_tables_are_spread_and_large_ones_are_not(spark, sources, tmp_path):
+def test_tables_are_dealt_out_only_if_asked(spark, sources, tmp_path):
     assert "Exchange" not in plan_of(sources)
     folder = str(tmp_path / "one")
     spark.range(100).selectExpr("string(id) as name", "'// x' as body", "id as other").coalesce(1).write.parquet(folder)
-    small = from_table(spark.read.parquet(folder), F.col("name"), F.col("body"))
-    plan = plan_of(small)
-    assert plan.count("Exchange hashpartitioning") == 1 and "other" not in plan
-    assert small.count() == 100
+    table = spark.read.parquet(folder)
+    assert "Exchange" not in plan_of(from_table(table, F.col("name"), F.col("body")))
+    dealt = from_table(table, F.col("name"), F.col("body"), partitions=5)
+    assert plan_of(dealt).count("Exchange hashpartitioning") == 1 and "other" not in plan_of(dealt)
+    assert dealt.count() == 100
+
+
+def test_spans_are_extracted_once(spark):
+    frame = spark.range(3).selectExpr("concat('a<b>c', id) as t")
+    for column in (spans.extract_spans(F.col("t"), {"<": ">"}), spans.mask_spans(F.col("t"), {"<": ">"}, "#")):
+        assert plan_of(frame.select(column.alias("x"))).count("regexp_extract_all") == 1
+
+
+def test_message_of_an_empty_preview_is_found_by_the_first_hit(sources):
+    plan = plan_of(preview_run(sources, CONFIG, "markup"))
+    assert "LocalLimit 1" in plan or "CollectLimit 1" in plan or "GlobalLimit 1" in plan

@@ -87,6 +87,26 @@ def test_start_tags_must_be_unique(spark):
     assert [(r.start_tag, r["count"]) for r in rule_tables.duplicate_start_tags(united).collect()] == [("/*", 2)]
 
 
+def test_strict_parsing_fails_the_job(spark):
+    for parse, bad, good in ((rule_tables.parse_ending, ".meta", "*.md"), (rule_tables.parse_block, "a...b...c", "a...b")):
+        assert spark.createDataFrame([(good,)], "r string").select(parse(F.col("r"), strict=True)).first()[0] is not None
+        for rule in (bad, None):
+            with pytest.raises(Exception, match="not allowed"):
+                spark.createDataFrame([(rule,)], "r string").select(parse(F.col("r"), strict=True)).collect()
+
+
+def test_comment_rules_from_a_table(spark):
+    schema = "action string, start_tag string, end_tag string"
+    rows = [("remove", "/*", "*/"), ("keep", "/**", "*/"), ("remove", "//", "\n")]
+    got = rule_tables.comment_rules(spark.createDataFrame(rows, schema))
+    assert set(got.remove) == {("/*", "*/"), ("//", "\n")} and got.keep == (("/**", "*/"),)
+    for bad in (("drop", "x", "y"), ("remove", None, "y"), ("remove", "x", None), ("keep", "//", "z"), ("keep", "", "z")):
+        with pytest.raises(RuleError):
+            rule_tables.comment_rules(spark.createDataFrame([*rows, bad], schema))
+    with pytest.raises(RuleError, match="more than 2"):
+        rule_tables.comment_rules(spark.createDataFrame(rows, schema), most=2)
+
+
 def test_config():
     config = JobConfig.parse(
         "file:/users/a\\b/", "/archive/", ["\\src\\*"], ["*.kt"], ["*gen*"], remove_lines=["//"], keep_blocks=["/**...*/"]

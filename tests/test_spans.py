@@ -42,6 +42,12 @@ def test_end_tag_stays_when_stripping(spark):
     assert row[0] == "a>c"
 
 
+def test_a_mask_is_one_character():
+    for mask in ("", "##"):
+        with pytest.raises(ValueError, match="one character"):
+            spans.mask_spans(None, {"<": ">"}, mask)
+
+
 def test_tags_that_would_never_end_are_refused():
     for pairs in ({"'": "'"}, {"<": "</"}, {"<<": "<"}):
         with pytest.raises(ValueError):

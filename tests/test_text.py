@@ -1,5 +1,8 @@
 import datetime
+import random
+import time
 
+import brute
 from pyspark.sql import functions as F
 
 from marginalia.functions import preview, rewrite, scan, text, times
@@ -21,54 +24,72 @@ def test_positions(spark):
         assert values(spark, [(content,)], "t string", text.positions(F.col("t"), needle)) == [(expected,)]
 
 
-def test_line_numbers(spark):
-    content = "line 1\nline 2\nline 3"
-    for pos, line in ((0, 1), (5, 1), (6, 1), (7, 2), (13, 2), (14, 3)):
-        number = text.line_number(F.lit(pos), text.positions(F.col("t"), "\n"))
-        assert values(spark, [(content,)], "t string", number) == [(line,)]
-
-
-def test_text_around_an_offset(spark):
-    before = [("abc", 3, "abc"), ("abc", 1, "a"), ("abc", 0, ""), ("abc\nxyz", 3, "abc"), ("abc\nxyz", 4, ""), ("abc\nxyz", 7, "xyz"), ("", 0, "")]
-    after = [("abc", 0, "bc"), ("abc", 2, ""), ("abc", 3, ""), ("abc\nxyz", 1, "c"), ("abc\nxyz", 2, ""), ("abc\nxyz", 3, ""),
-             ("abc\nxyz", 4, "yz"), ("abc\nxyz\n123", 3, ""), ("abc\nxyz\n123", 5, "z"), ("abc\nxyz\n123", 6, "")]
+def test_line_numbers_and_text_around_an_offset(spark):
+    contents = ["", "\n", "one\ntwo", "é😀\n\n\nlast\n", "no end", "a\r\nb\r\n"]
+    rows = [(c, p) for c in contents for p in range(len(c) + 1)]
     t, p = F.col("t"), F.col("p")
-    assert values(spark, [b[:2] for b in before], "t string, p int", text.line_before(t, p)) == [(b[2],) for b in before]
-    assert values(spark, [a[:2] for a in after], "t string, p int", text.line_after(t, p)) == [(a[2],) for a in after]
+    got = values(spark, rows, "t string, p int", text.line_number(t, p), text.line_before(t, p), text.line_after(t, p))
+    for (c, at), row in zip(rows, got, strict=True):
+        after = "" if c[at : at + 1] == "\n" else c[at + 1 :].split("\n")[0]
+        assert row == (c[:at].count("\n") + 1, c[:at].split("\n")[-1], after), (c, at)
 
 
 ITEM = "struct<pos:struct<first:int,last:int>,lines:struct<first:int,last:int>,comment_text:string>"
 
 
 def test_removal_of_one_comment(spark):
-    # (text, range, has several lines, comment, result); some ranges run past the comment, which is allowed.
-    cases = [
-        ("//hi", (0, 3), False, "//hi", ""),
-        ("//hi\n", (0, 4), False, "//hi\n", ""),
-        ("/*hi\nabc*/", (0, 10), True, "/*hi\nabc*/", ""),
-        ("/*hi\nabc*/\n", (0, 11), True, "/*hi\nabc*/\n", ""),
-        ("abc\n  //xy\nbla", (6, 10), False, "//xy\n", "abc\nbla"),
-        ("abc\n  //xy\n", (6, 11), False, "//xy\n", "abc\n"),
-        ("//xy\nabc\n", (0, 4), False, "//xy\n", "abc\n"),
-        ("abc/*c1\n c2*/xyz", (3, 12), True, "/*c1\n c2*/", "abc\nxyz"),
-        ("abc\n/*c1\n c2*/\nxyz", (4, 13), True, "/*c1\n c2*/", "abc\nxyz"),
-        ("abc\n/*c1\n c2*/\nxyz", (4, 14), True, "/*c1\n c2*/", "abc\nxyz"),
-        ("abc /*c1\n c2*/ xyz", (4, 13), True, "/*c1\n c2*/", "abc\n xyz"),
-        ("abc\n /*c1\n c2*/ \nxyz", (5, 14), True, "/*c1\n c2*/", "abc\nxyz"),
-        ("abc\n /*c1\n c2*/ \nxyz", (5, 16), True, "/*c1\n c2*/", "abc\nxyz"),
-        ("abc\n /*c1\n c2*/xyz", (5, 14), True, "/*c1\n c2*/", "abc\nxyz"),
-        ("/*c1\n c2*/xyz", (0, 9), True, "/*c1\n c2*/", "xyz"),
-        ("abc/*c1\n c2*/", (3, 14), True, "/*c1\n c2*/", "abc"),
-        ("abc\n/*c1\n c2*/", (4, 15), True, "/*c1\n c2*/", "abc\n"),
-        ("  /* x */\nb", (2, 8), False, "/* x */", "\nb"),
-        ("//a\n//b\n\nx", (0, 7), True, "//a\n//b\n", "x"),
-        ("a //c\r\nb", (2, 6), False, "//c\r\n", "a\nb"),
-        ("a /* c */ b", (2, 8), False, "/* c */", "a b"),
-        ("a/* c */b", (1, 7), False, "/* c */", "a b"),
-    ]
-    rows = [(t, ((a, b), (1, 2 if multi else 1), c)) for t, (a, b), multi, c, _ in cases]
+    """Every kind of text before and after every kind of comment."""
+    befores, afters = ["", "k", "k ", "k\n", "k\n\t", "  ", "\u3000"], ["", "z", " z", "\nz", " \nz", "\r\nz", "\t", "\n\n z"]
+    comments = ["/* c */", "/* c\n d */", "// c\n", "// c", "// c\n// d\n"]
+    cases = [(b + c + a, len(b), c) for b in befores for c in comments for a in afters if c != "// c" or not a or a[0] == "\n"]
+    found = [(s, s + len(c) - 1, 1, 1 + c.rstrip("\n").count("\n"), c) for _, s, c in cases]
+    rows = [(t, ((f[0], f[1]), (f[2], f[3]), f[4])) for (t, _, _), f in zip(cases, found, strict=True)]
     got = values(spark, rows, f"t string, item {ITEM}", rewrite.remove_comment(F.col("t"), F.col("item")))
-    assert got == [(c[4],) for c in cases]
+    assert [g[0] for g in got] == [brute.without(t, f) for (t, _, _), f in zip(cases, found, strict=True)]
+
+
+def test_removal_of_listed_ranges(spark):
+    """Random ranges, neighbouring ones and such that overlap, and blocks of the text that they cross."""
+    rng = random.Random(4)
+    rows, want = [], []
+    for k in range(60):
+        content = "".join(rng.choice(["ab", " ", "\n", "\t", "é", "x\n", "\u3000"]) for _ in range(rng.choice([5, 40, 3000])))
+        at = sorted(rng.sample(range(len(content) + 1), min(len(content), rng.choice([2, 4, 8]))))
+        pairs = [(a, b) for a, b in zip(at[::2], at[1::2], strict=False) if b > a]
+        if k % 9 == 0 and len(pairs) > 1:
+            pairs.append((pairs[0][0] + 1, pairs[1][1]))  # overlaps
+            pairs = [p for p in pairs if p[1] > p[0]]
+        items = [(a, b - 1, content[:a].count("\n") + 1, content[:b].rstrip("\n").count("\n") + 1, content[a:b]) for a, b in pairs]
+        items = [(a, z, f, f + c.removesuffix("\n").count("\n"), c) for a, z, f, _, c in items]
+        rng.shuffle(items)
+        rows.append((content, [((a, z), (f, last), c) for a, z, f, last, c in items]))
+        want.append(brute.cleaned(content, items))
+    got = values(spark, rows, f"t string, items array<{ITEM}>", rewrite.remove_comments(F.col("t"), F.col("items")))
+    assert [g[0] for g in got] == want
+
+
+def test_removal_is_linear_in_the_text(spark):
+    """One no-break space between two of many comments, and listed comments, cost what the others do."""
+
+    def seconds(n):
+        content = "x /* c */ y\n" * n + "/* a */\u00a0/* b */\n" + "z // d\n" * n
+        frame = spark.createDataFrame([("p", content)], "path string, text string").cache()
+        frame.count()
+        found = files.find_occurrences(frame, CODE).cache()
+        found.count()
+        start = time.perf_counter()
+        direct = files.clean_all(frame, CODE).first().cleaned
+        listed = files.clean_listed(frame, found).first().cleaned
+        took = time.perf_counter() - start
+        assert direct == listed == "x y\n" * n + "\u00a0\n" * 0 + direct[len("x y\n") * n :]
+        assert direct.endswith("z\n" * n) and "/*" not in direct
+        frame.unpersist()
+        found.unpersist()
+        return took
+
+    seconds(100)
+    few, many = seconds(4_000), seconds(40_000)
+    assert many < 25 * max(few, 0.5)
 
 
 def test_line_contexts(spark):

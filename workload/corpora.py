@@ -38,7 +38,8 @@ class Corpus:
 
     def read(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
-        return from_table(frame, F.expr(self.path), F.expr(self.text))
+        # Every given table is one file with one row group, which one task would read and scan alone.
+        return from_table(frame, F.expr(self.path), F.expr(self.text), partitions=spark.sparkContext.defaultParallelism)
 
     @property
     def sql(self) -> str:
@@ -55,6 +56,13 @@ ANNOTATED = Corpus(
     CODE_RULES,
 )
 SCRIPTS = Corpus("customer", "'/home/' || c_nationkey || '/' || c_custkey || '.sh'", _SCRIPT, CODE_RULES, "/home")
+# Raw strings, constructs that never close, and white space that only Unicode knows, between and behind comments.
+_ODD = """case doc_id % 4 when 0 then replace(text, '. ', '. \"\"\" // not \" one \"\"\" // real' || chr(10))
+    when 1 then replace(text, '. ', '. // one' || chr(10) || chr(160) || chr(10) || '/* two */ ') || '/* open ' || lang
+    when 2 then replace(text, ', ', ' /* a */' || chr(12) || '/* b */, ') || chr(34) || ' // in a string'
+    else '/* x */' || chr(8195) || '// y' || chr(13) || chr(10) || text || chr(10) || '//: keep' || chr(10) || '/** open' end"""
+
+ODD = Corpus("documents", "'/odd/' || source || '/' || doc_id || '.kt'", _ODD, CODE_RULES, "/odd")
 # File names that occur in many directories.
 NAMED = Corpus(
     "part",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +27,23 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _with_shared_folder(function: Query) -> Query:
+    """Sessions of a single machine may come without ``spark.checkpoint.dir``; they get a folder of their own."""
+
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sc = spark.sparkContext
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not named and (sc.master == "local" or sc.master.startswith("local[")):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
+        return function(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        QUERIES[name] = _with_shared_folder(function)
         if sql is not None:
             ORACLES[name] = sql
         return function
@@ -59,6 +76,7 @@ for _name, _corpus in (
     ("prose", c.PROSE),
     ("annotated", c.ANNOTATED),
     ("scripts", c.SCRIPTS),
+    ("odd", c.ODD),
 ):
     _register_occurrences(f"occurrences_{_name}", _corpus)
 
@@ -106,9 +124,8 @@ def positions_of_phrase(spark, sf_dir):
     FROM (SELECT path, text, (length(text) // 2)::int AS pos FROM ({c.PROSE.sql}))""",
 )
 def line_numbers(spark, sf_dir):
-    breaks = text.positions(F.col("text"), "\n")
     middle = F.floor(F.length("text") / 2).cast("int")
-    return c.PROSE.read(spark, sf_dir).select("path", text.line_number(middle, breaks).alias("line"))
+    return c.PROSE.read(spark, sf_dir).select("path", text.line_number(F.col("text"), middle).alias("line"))
 
 
 # --- paths -----------------------------------------------------------------------------------
@@ -221,6 +238,31 @@ def path_rules_table(spark, sf_dir):
     return rule_tables.filter_by_rules(_paths(spark, sf_dir), table)
 
 
+@query(
+    "path_patterns_applied",
+    f"""WITH patterns AS (SELECT DISTINCT 'INCLUDE' AS include_exclude, '*/' || source || '/*' AS pattern FROM documents WHERE source < 'src15'
+        UNION SELECT DISTINCT 'EXCLUDE', '*' || lang || chr(92) || 'doc1*' FROM documents WHERE lang <> 'en'
+        UNION SELECT DISTINCT 'EXCLUDE', '/' || source || '/en*' FROM documents WHERE source > 'src8'
+        UNION SELECT 'EXCLUDE', 'a*b' UNION SELECT 'INCLUDE', 'plain'),
+    rules AS (SELECT include_exclude, replace(replace(pattern, chr(92), '/'), '*', '') AS filter_text,
+        CASE WHEN starts_with(pattern, '*') THEN 'CONTAINS' ELSE 'STARTS_WITH' END AS match_type FROM patterns
+        WHERE pattern NOT IN ('a*b', 'plain')), files AS ({_PATHS})
+    SELECT path FROM files WHERE EXISTS (SELECT 1 FROM rules WHERE include_exclude = 'INCLUDE' AND {_RULE_HOLDS})
+    AND NOT EXISTS (SELECT 1 FROM rules WHERE include_exclude = 'EXCLUDE' AND {_RULE_HOLDS})""",
+)
+def path_patterns_applied(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    patterns = (
+        documents.where("source < 'src15'").selectExpr("'INCLUDE' as include_exclude", "'*/' || source || '/*' as pattern")
+        .union(documents.where("lang <> 'en'").selectExpr("'EXCLUDE'", "'*' || lang || chr(92) || 'doc1*'"))
+        .union(documents.where("source > 'src8'").selectExpr("'EXCLUDE'", "'/' || source || '/en*'"))
+        .union(documents.limit(1).selectExpr("'EXCLUDE'", "'a*b'"))
+        .union(documents.limit(1).selectExpr("'INCLUDE'", "'plain'"))
+    )
+    rules = rule_tables.parse_patterns(patterns.distinct(), strict=False).where("match_type is not null")
+    return rule_tables.filter_by_rules(_paths(spark, sf_dir), rules)
+
+
 # --- rule tables -----------------------------------------------------------------------------
 
 _ACTION = "case when p_size % 2 = 0 then 'INCLUDE' else 'EXCLUDE' end"
@@ -300,6 +342,16 @@ def rule_union(spark, sf_dir):
     return rule_tables.unite_rules(blocks, part.selectExpr("'keep' as action", "'//' || p_partkey as start_tag"))
 
 
+@query("occurrences_of_rule_table", f"{o.occurrences(c.CODE)} SELECT {_RANGES} FROM occ")
+def occurrences_of_rule_table(spark, sf_dir):
+    """The rules of the code corpus, from tables of block and line rules."""
+    blocks = spark.createDataFrame([("remove", "/*...*/"), ("keep", "/**...*/")], "action string, rule string")
+    lines = spark.createDataFrame([("remove", "//"), ("keep", "//:"), ("keep", "//*")], "action string, start_tag string")
+    tags = blocks.select("action", rule_tables.parse_block(F.col("rule"), strict=True).alias("tags")).select("action", "tags.*")
+    rules = rule_tables.comment_rules(rule_tables.unite_rules(tags, lines))
+    return files.flatten(files.find_occurrences(c.CODE.read(spark, sf_dir), rules))
+
+
 # --- path projections ------------------------------------------------------------------------
 
 
@@ -401,6 +453,39 @@ def fully_commented(spark, sf_dir):
     return files.clean_files(found).select("path", "cleaned").where(files.is_emptied(F.col("cleaned"))).select("path")
 
 
+# Rules and endings that each leave out some files.
+_BITING = JobConfig(
+    c.ANNOTATED.base, "", c.ANNOTATED.rules, PathRules.parse(["/src1*", "*/de/*"], ["*/es/*", "/src13/*"]), (".kt", "7.txt")
+)
+_BITES = """((starts_with(path, '/src1') OR contains(path, '/de/')) AND NOT (contains(path, '/es/') OR starts_with(path, '/src13/'))
+    AND (ends_with(path, '.kt') OR ends_with(path, '7.txt')))"""
+
+
+@query(
+    "cleaned_tree",
+    f"""{o.cleaned(c.ANNOTATED)} SELECT path, {o.relative(c.ANNOTATED)} AS rel_path,
+    CASE WHEN {_BITES} THEN coalesce(done.cleaned, corpus.text) ELSE corpus.text END AS text FROM corpus LEFT JOIN done USING (path)
+    WHERE NOT ({_BITES} AND coalesce(done.cleaned, 'kept') = '')""",
+)
+def cleaned_tree(spark, sf_dir):
+    return files.cleaned_tree(c.ANNOTATED.read(spark, sf_dir), _BITING)
+
+
+@query("preview_selected", f"{o.occurrences(c.ANNOTATED)} SELECT {{}} FROM occ WHERE {_BITES}")
+def preview_selected(spark, sf_dir):
+    return preview_run(c.ANNOTATED.read(spark, sf_dir), _BITING)
+
+
+@query(
+    "markup_of_nothing",
+    """SELECT NULL::varchar AS path, 0 AS first, '<span class="plain">(No comments to be removed)</span>' AS line
+    WHERE (SELECT count(*) FROM documents WHERE contains(text, '<!--')) = 0""",
+)
+def markup_of_nothing(spark, sf_dir):
+    plain = c.Corpus("documents", c.PROSE.path, c.PROSE.text, c.MARKUP_RULES, c.PROSE.base)
+    return preview_run(plain.read(spark, sf_dir), _config(plain), "markup")
+
+
 # --- grouping, labels, totals ----------------------------------------------------------------
 
 _ITEMS_SQL = "string_agg(first || '-' || last || ':' || line_first || '-' || line_last, ',' ORDER BY first)"
@@ -456,8 +541,7 @@ _NAMES_SQL = f"""SELECT path, stem || CASE WHEN k > 0 THEN '-' || k ELSE '' END
 
 @query("summary_names", _NAMES_SQL)
 def summary_names(spark, sf_dir):
-    named = c.NAMED.read(spark, sf_dir).select("path")
-    return naming.summary_names(named, naming.order_bounds(named, "path", rows_per_bucket=500))
+    return naming.summary_names(c.NAMED.read(spark, sf_dir))
 
 
 # --- previews --------------------------------------------------------------------------------
@@ -485,6 +569,7 @@ def _preview(corpus: c.Corpus, fmt: str) -> Query:
     return lambda spark, sf_dir: preview_run(corpus.read(spark, sf_dir), _config(corpus), fmt)
 
 
+ORACLES["preview_selected"] = ORACLES["preview_selected"].format(_ONE_LINE.format(rel=o.relative(c.ANNOTATED)))
 query("preview_line", _one_line_sql(c.CODE))(_preview(c.CODE, "one_line"))
 query("preview_line_html", _one_line_sql(c.HTML))(_preview(c.HTML, "one_line"))
 query("preview_multiline", _multi_line_sql(c.ANNOTATED))(_preview(c.ANNOTATED, "multi_line"))
@@ -548,7 +633,7 @@ _JSON = f"""to_json(struct_pack(relativePath := {_REL}, items := list(struct_pac
 )
 def summary_json(spark, sf_dir):
     root = _archived(spark, sf_dir, c.NAMED, _RUN)
-    return archive.read_archive(spark, root, archive.SUMMARY, _RUN).drop("run_id")
+    return archive.read_summaries(spark, root, _RUN).drop("run_id")
 
 
 @query(
@@ -570,6 +655,37 @@ def code_archive(spark, sf_dir):
     return archive.read_archive(spark, root, archive.CODE_ARCHIVE, _RUN).drop("run_id")
 
 
+@query(
+    "archive_selected",
+    f"""{o.cleaned(c.ANNOTATED)} SELECT {o.relative(c.ANNOTATED)} AS rel_path, label, text, cleaned FROM done WHERE {_BITES}""",
+)
+def archive_selected(spark, sf_dir):
+    """Old and new text of every file of a run whose rules and endings leave out files."""
+    root = shared_dir(spark)
+    config = replace(_BITING, archive_root=root)
+    archive.archive_run(spark, c.ANNOTATED.read(spark, sf_dir), config, _RUN)
+    table = lambda name: archive.read_archive(spark, root, name, _RUN).drop("run_id")
+    old = table(archive.CODE_ARCHIVE).select(F.concat_ws("/", F.nullif("rel_dir", F.lit("")), "name").alias("rel_path"), "text")
+    new = table("snapshot").select("rel_path", F.col("text").alias("cleaned"))
+    return table(archive.OPERATION_INDEX).select("rel_path", "label").join(old, "rel_path").join(new, "rel_path", "left").select(
+        "rel_path", "label", "text", F.coalesce("cleaned", F.lit("")).alias("cleaned")
+    )
+
+
+@query(
+    "archive_whole_tree",
+    f"""{o.cleaned(c.ANNOTATED)} SELECT {o.relative(c.ANNOTATED)} AS rel_path,
+    md5(CASE WHEN {_BITES} THEN coalesce(done.cleaned, corpus.text) ELSE corpus.text END) AS text_md5 FROM corpus LEFT JOIN done USING (path)
+    WHERE NOT ({_BITES} AND coalesce(done.cleaned, 'kept') = '')""",
+)
+def archive_whole_tree(spark, sf_dir):
+    root = shared_dir(spark)
+    config = replace(_BITING, archive_root=root)
+    archive.archive_run(spark, c.ANNOTATED.read(spark, sf_dir), config, _RUN, whole_tree=True)
+    tree = archive.read_archive(spark, root, "snapshot", _RUN)
+    return tree.select("rel_path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("changes", f"{o.markup(c.SCRIPTS)} SELECT path, html FROM markup")
 def changes(spark, sf_dir):
     root = _archived(spark, sf_dir, c.SCRIPTS, _RUN)
@@ -730,38 +846,59 @@ def local_offset(spark, sf_dir):
 
 # --- directory trees -------------------------------------------------------------------------
 
+# Names as they are in real trees: with dots and underscores in front, and files without a byte.
+_TREE_NAME = """c_nationkey || '/' || case c_custkey % 5 when 0 then '__init__' when 1 then '.hidden' when 2 then '_form' else 'plain' end
+    || c_custkey || case when c_custkey % 2 = 0 then '.sh' else '.txt' end"""
+_TREE_TEXT = f"case when c_custkey % 7 = 0 then '' else {c.SCRIPTS.text} end"
+
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:
-    """Scripts of the customers as text files, a folder per nation, in a new tree."""
+    """Scripts of the customers as files of a new tree, a folder per nation."""
     root = shared_dir(spark)
-    scripts = _table(spark, sf_dir, "customer").select("c_nationkey", F.expr(c.SCRIPTS.text).alias("text"))
-    scripts.write.partitionBy("c_nationkey").option("maxRecordsPerFile", 100).text(root)
-    return root
+    local = root.removeprefix("file://")
+    scripts = _table(spark, sf_dir, "customer").select(F.expr(_TREE_NAME).alias("name"), F.expr(_TREE_TEXT).alias("text"))
+
+    def write(batches):
+        import os
 
+        for b in batches:
+            for name, text_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = f"{local}/{name}"
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as f:
+                    f.write(text_)
+            yield b.select([0])
 
-def _nation(path: str = "rel_path"):
-    return F.regexp_extract(path, r"c_nationkey=(\d+)/", 1).cast("int").alias("nation")
+    scripts.mapInArrow(write, "name string").count()
+    return root
 
 
 @query(
     "inventory",
-    f"""SELECT c_nationkey AS nation, sum(strlen({c.SCRIPTS.text}) + 1)::bigint AS bytes FROM customer GROUP BY c_nationkey""",
+    f"""SELECT {_TREE_NAME} AS rel_path, strlen({_TREE_TEXT})::bigint AS length, true AS fresh FROM customer""",
 )
 def inventory_(spark, sf_dir):
     found = inventory(spark, _tree(spark, sf_dir))
-    return found.groupBy(_nation()).agg(F.sum("length").alias("bytes"))
+    fresh = F.col("modified").between(F.current_timestamp() - F.expr("interval 1 hour"), F.current_timestamp() + F.expr("interval 1 hour"))
+    return found.select("rel_path", "length", fresh.alias("fresh"))
 
 
 @query(
     "tree_scan",
-    f"""{o.occurrences(c.SCRIPTS)}, own AS (SELECT string_split(path, '/')[3]::int AS nation, path, first, text, comment_text FROM occ)
-    SELECT nation, sum(length(regexp_replace(comment_text, '\\s+', '', 'g')))::bigint AS chars FROM own GROUP BY nation""",
+    f"""SELECT {_TREE_NAME} AS rel_path, strlen({_TREE_TEXT})::bigint AS length, {_TREE_TEXT} AS text FROM customer
+    WHERE contains('/' || {_TREE_NAME}, '/1') AND NOT contains({_TREE_NAME}, '/_') AND ends_with({_TREE_NAME}, '.sh')""",
 )
 def tree_scan(spark, sf_dir):
     root = _tree(spark, sf_dir)
-    config = JobConfig(root, "", c.SCRIPTS.rules, PathRules.parse(["/c_nationkey=*"], ["*_SUCCESS"]), (".txt",))
-    found = files.find_occurrences(read_tree(spark, root, config), config.comments)
-    # Neighbouring scripts of a file are merged over the line feed between them, which is not counted.
-    return found.groupBy(_nation("path")).agg(
-        F.sum(F.length(F.regexp_replace("comment_text", r"\s+", ""))).alias("chars")
-    )
+    config = JobConfig(root.removeprefix("file://"), "", c.SCRIPTS.rules, PathRules.parse(["*/1*"], ["*/_*"]), (".sh",))
+    return read_tree(spark, root, config).select("rel_path", "length", "text")
+
+
+@query(
+    "tree_occurrences",
+    f"""{o.occurrences(c.Corpus("customer", "'/' || " + _TREE_NAME, _TREE_TEXT, c.CODE_RULES))} SELECT {_RANGES} FROM occ""",
+)
+def tree_occurrences(spark, sf_dir):
+    sources = read_tree(spark, _tree(spark, sf_dir))
+    found = files.find_occurrences(sources.withColumn("path", F.concat(F.lit("/"), "rel_path")), c.SCRIPTS.rules)
+    return files.flatten(found)
