@@ -7,6 +7,7 @@ of documents at a time, whatever the size of its input.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,30 +27,64 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Sequences in a window.
 WINDOW = 256
 #: Words whose ids a worker keeps, and the longest of them in bytes.
-_WORDS_KEPT, _LONGEST_KEPT = 300_000, 128
+_WORDS_KEPT, _LONGEST_KEPT = 400_000, 128
+
+
+#: Texts of these characters alone are lower-cased and cut into words here, as the tokenizer would.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_CUT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 class Encoder:
-    """Ids of whole texts by a ``tokenizers`` file whose words never cross white space; words already met are looked up."""
+    """Ids of whole texts by a ``tokenizers`` file that lower-cases, cuts at white space, letters, digits and symbols, and
+    ends every word with a marked piece. Words already met are looked up; new ones are encoded together and told
+    apart by their last pieces. Texts with other than plain characters go to the tokenizer a blank-parted word at a time."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str | bytes, bytes] = {}
+
+    def _words(self, text: str | None) -> list[str | bytes]:
+        """Words to look up: text for words cut here, bytes for those that the tokenizer cuts."""
+        text = text or ""
+        if any(s in text for s in self.special):
+            return utf8(text).split()  # at \x20 and \x09-\x0D only
+        if _PLAIN.fullmatch(text):
+            return _CUT.findall(text.lower())
+        out: list[str | bytes] = []
+        for w in utf8(text).split():
+            plain = w.decode("utf-8", "replace")
+            out.extend(_CUT.findall(plain.lower()) if _PLAIN.fullmatch(plain) else [w])
+        return out
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: set[str | bytes]) -> dict[str | bytes, bytes]:
         """Ids of at least these words."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > _WORDS_KEPT:
-            self.known.clear()
+            self.known = {}
             new = list(words)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        plain = [w for w in new if isinstance(w, str)]
+        for lo in range(0, len(plain), 8192):
+            part = plain[lo : lo + 8192]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):
+                raise ValueError("words do not end with a marked piece: another kind of tokenizer")
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops.tolist(), strict=True):
+                self.known[w] = raw[start:stop]
+                start = stop
+        for w in new:
+            if isinstance(w, bytes):
+                ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+                self.known[w] = np.array(ids, dtype="<u4").tobytes()
         out = self.known
         if any(len(w) > _LONGEST_KEPT for w in new):
             self.known = {w: x for w, x in out.items() if len(w) <= _LONGEST_KEPT}
@@ -57,7 +92,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [utf8(t).split() for t in texts]  # at \x20 and \x09-\x0D only
+        split = [self._words(t) for t in texts]
         known = self.learn(set().union(*split))
         end = np.array([END_ID], dtype="<u4").tobytes()
         return [b"".join([known[w] for w in words]) + end for words in split]

@@ -60,12 +60,23 @@ def test_empty_table(nothing):
 
 def test_words_are_encoded_as_whole_texts_are(tokenizer):
     encoder = packing.Encoder(PATH)
-    texts = ["It's A test of <|endoftext|>x", "Ünḯ  cöde\x1c\x85é", "a" * 5000, "1234 ... !!??", "日本語 テスト", "ΣΑΣ σας", None, " "]
+    texts = ["It's A test of <|endoftext|>x", "Ünḯ  cöde\x1c\x85é", "a" * 5000, "1234 ... !!??", "日本語 テスト", "ΣΑΣ σας", None, " ", "Straße ÀÉÎ x÷y×z µ ª º İ Ÿ",
+             "e\u0301 é “quoted” we'll WE'VE can't'd ''s '!s", "a\x0bb\x1dc\u2028d\xa0e", "<|startoftext|> x", "１２ Ⅷ ½ 3²", "_under_score__ a_b"]
     got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     assert max(map(len, encoder.known)) <= 128
 
 
+def test_random_words_are_encoded_as_whole_texts_are(tokenizer):
+    encoder = packing.Encoder(PATH)
+    rng = np.random.default_rng(4)
+    parts = ["a", "B", "é", "É", "'s", "'", "1", ".", "!", " ", "\n", "the", "ß", "日", "“", "\u0301", "_", "'LL", "\xa0", "\x1c", "÷", "😀"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(1500)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids + [1], repr(text)
+
+
 def test_assignment_balances_costs_and_fills():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 700, 200).tolist()
