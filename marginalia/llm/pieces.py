@@ -10,7 +10,6 @@ forth a pair of a rank as small, which the library would take next.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 #: Words whose pieces a worker keeps, and the longest of them in characters.
 _WORDS_KEPT, _LONGEST_KEPT = 300_000, 64
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WIDE = 0x250
 
 
 class Pieces:
@@ -86,6 +85,13 @@ class Pieces:
         raw = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else b" \xe2\x81\x87 " if model.is_unknown(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(text)]
         self.raw = raw
         self.is_byte = np.array([model.is_byte(i) for i in range(size)])
+        # Neighbouring characters that some piece holds; between others a text can be cut. Characters from _WIDE on
+        # count as one that may stand beside any other; blanks, which never need that, stand in their code.
+        self.joined = np.zeros((_WIDE + 1, _WIDE + 1), bool)
+        self.joined[_WIDE, :] = self.joined[:, _WIDE] = True
+        for p in own:
+            at = self._classes(p)
+            self.joined[at[:-1], at[1:]] = True
         self.known: dict[str, tuple[bytes, int, bytes]] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -228,9 +234,19 @@ class Pieces:
         out[np.repeat(odd, lengths)] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         return out, home
 
+    @staticmethod
+    def _classes(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(codes == ord(SPACE), ord(" "), np.minimum(codes, _WIDE)).astype(np.uint16)
+
     def words(self, text: str) -> list[str]:
-        """The words of a normalised text, cut before every run of blanks; no piece reaches over a cut."""
-        return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """A normalised text cut wherever no piece holds the characters on both sides; no merge reaches over a cut."""
+        if not text:
+            return []
+        text = SPACE + text.replace(" ", SPACE)
+        at = self._classes(text)
+        cuts = [0, *(np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null counts as empty."""
