@@ -28,7 +28,7 @@ MEDIAN = 3.3567
 #: Groups with fewer texts have no estimate, and none of their texts is rejected.
 LEAST_TEXTS = 50
 #: Standard deviations that an estimate never goes below, by statistic.
-FLOOR = (0.10, 0.05, 0.08, 0.08)
+FLOOR = (0.10, 0.035, 0.08, 0.08)
 #: Estimates of at most so many groups are broadcast; more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
 STATISTICS = ("s0", "s1", "s2", "s3")
