@@ -19,6 +19,8 @@ LG_K = 12
 MARGIN = 0.25
 #: Tables of at most so many line hashes (24 bytes each) are broadcast; larger ones are joined by shuffling.
 BROADCAST_LINES = 100_000
+#: The same for the removed lines' positions by text (under 100 bytes each, with the key of their text).
+BROADCAST_POSITIONS = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -91,7 +93,7 @@ def remove_spread_lines(
     found = _small(spread_lines(docs, text, site, doc_id, min_sites, lg_k))
     k1, k2, gone, lines, stay, own = (fresh(docs, n) for n in ("k1", "k2", "gone", "lines", "stay", "owner"))
     key = [c.alias(n) for c, n in zip(hash_pair(F.col(text)), (k1, k2), strict=True)]
-    hits = (
+    hits = kept(
         docs.where(F.col(text).isNotNull())
         .select(*key, F.posexplode(_lines(F.col(text))).alias("at", "line"))
         .select(k1, k2, "at", _bare(F.col("line")).alias("line"))
@@ -103,6 +105,9 @@ def remove_spread_lines(
         .groupBy(k1, k2)
         .agg(F.collect_list(F.struct("at", "owner")).alias(gone))
     )
+    positions = hits.agg(F.sum(F.size(gone))).first()[0] or 0
+    # beyond the bound both sides are shuffled by text, and Spark may split the copies of a text
+    hits = F.broadcast(hits) if positions <= BROADCAST_POSITIONS else hits
     joined = docs.select("*", *key).join(hits, [k1, k2], "left")
     mine = F.filter(F.col(gone), lambda x: ~F.coalesce(x["owner"] == F.col(doc_id), F.lit(False)))
     joined = joined.withColumn(own, F.transform(mine, lambda x: x["at"])).withColumn(

@@ -45,6 +45,7 @@ def test_counts_and_sketch_far_from_the_threshold(spark):
 def test_shuffled_joins_give_the_same(awkward, monkeypatch):
     want = sorted(map(str, lines.remove_spread_lines(awkward).select("doc_id", "text").collect()))
     monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(lines, "BROADCAST_POSITIONS", 0)
     assert sorted(map(str, lines.remove_spread_lines(awkward).select("doc_id", "text").collect())) == want
 
 
