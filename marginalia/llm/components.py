@@ -18,7 +18,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
 
     def star(edges: DataFrame, larger: bool) -> DataFrame:
-        # edges: (u, v), u > v, distinct
+        # edges: (u, v), u > v
         turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         both = edges.unionAll(turned) if larger else edges
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,18 +29,21 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
                 least.select("u", F.col("m").alias("v"))
             )
-        return out.where("u > v").distinct()
+        return out.where("u > v")
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     edges = kept(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    before = None
+    before = state(edges)
     for _ in range(max_rounds):
-        edges = kept(star(star(edges, True), False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if state[0] == state[2] and state == before:  # every node has one link, to the same root as a round ago
+        edges = kept(star(star(edges, True), False).distinct())
+        now = state(edges)
+        if now == before:  # links that neither step changes go from every node to the root
             break
-        before = state
+        before = now
     else:
         raise RuntimeError("links did not settle")
     roots = edges.select("v").distinct()
