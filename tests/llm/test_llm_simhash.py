@@ -109,3 +109,75 @@ def test_components_of_chains_stars_and_repeats(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1200), 1000), 5000: 5000, 5001: 5000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def variants(rng, words, share):
+    """A text and a copy with about ``share`` of its words replaced."""
+    return " ".join(words), " ".join(f"z{rng.getrandbits(40)}" if rng.random() < share else w for w in words)
+
+
+def plain_shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} or {tuple(words)}
+
+
+def jaccard(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_by_jaccard_that_differ_in_more_than_four_bits(spark):
+    rng = random.Random(5)
+    rows, wanted, others = [], [], []
+    for k in range(150):
+        a, b = variants(rng, [f"w{rng.getrandbits(30)}" for _ in range(300)], rng.choice([0.005, 0.015, 0.02, 0.05]))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        (wanted if jaccard(a, b) >= 0.8 else others).append(2 * k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8).collect()}
+    narrow = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert wanted and others and len(got) == len(rows)
+    assert sum(got[k + 1] == k for k in wanted) >= 0.95 * len(wanted) > sum(narrow[k + 1] == k for k in wanted)
+    assert all(got[k + 1] == k + 1 for k in others)
+
+
+def test_jaccard_forest_is_exact():
+    rng = np.random.default_rng(6)
+    for own in (None, np.arange(60) % 2):
+        sets = [np.unique(rng.choice(40, rng.integers(1, 30))).astype(np.uint64) for _ in range(30)]
+        sets += [np.setdiff1d(s, s[:1]) for s in sets]
+        a, b = simhash.jaccard_forest(sets, 0.8, own)
+        root = list(range(60))
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for i in range(60):
+            for j in range(i):
+                if len(sets[i]) and len(sets[j]) and (own is None or own[i] != own[j]):
+                    if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                        x, y = find(i), find(j)
+                        root[max(x, y)] = min(x, y)
+        got = dict(zip(a.tolist(), b.tolist(), strict=True))
+        assert [got.get(k, k) for k in range(60)] == [find(k) for k in range(60)]
+
+
+def test_crowds_in_chunks_and_awkward_rows(spark, awkward, nothing):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, variants(rng, base, 0.01)[1]) for k in range(80)] + [(None, " ".join(base)), (90, "a b"), (91, "A  b"), (92, "a c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, simhash.near_duplicates(docs, width=5, similarity=0.8).collect()))
+    parted = simhash.similar_texts(docs, "text", "doc_id", 0.8, 5, chunk=8, crowd=3000).collect()
+    assert sorted(map(str, parted)) == whole
+    alone = {i for i, x in rows[:80] if max(jaccard(x, y) for j, y in rows if j != i) < 0.8}
+    group = {r.doc_id: r.component_id for r in parted}
+    assert group == {**{k: k if k in alone else 0 for k in range(80)}, None: 0, 90: 90, 91: 90, 92: 92} and 0 not in alone
+    got = simhash.near_duplicates(awkward, width=5, similarity=0.8).collect()
+    assert len(got) == awkward.count()
+    by_words = {}
+    for r in awkward.where("doc_id is not null").collect():
+        by_words.setdefault(" ".join((r.text or "").lower().split()), set()).add(r.doc_id)
+    group = {r.doc_id: r.component_id for r in got}
+    assert all(len({group[i] for i in same}) == 1 for same in by_words.values())
+    assert simhash.one_of_each(nothing, width=5, similarity=0.8).count() == 0
