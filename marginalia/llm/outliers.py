@@ -1,31 +1,36 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions alone.
 
 Each text is described by a vector of transformed statistics. For each language and source, a minimum-covariance-
-determinant estimate of centre and covariance is worked out by concentration steps: of all texts of the group, the
-three quarters that are nearest by Mahalanobis distance give the next estimate. Texts far from the final estimate
-are rejected.
+determinant estimate of centre and covariance is worked out over the group's distinct vectors (so copies count once)
+by concentration steps: the half that is nearest by Mahalanobis distance gives the next estimate. Of a few starts the
+one with the smallest determinant is taken, and the vectors near it give the final estimate. Texts far from that are
+rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import kept
+from marginalia.llm.common import fresh, kept
 
 GRAM = 5
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-STEPS = 3
-CENTRAL = 0.75
+STEPS = 4
+#: The quantiles at which the starts are centred.
+STARTS = (0.5, 0.25, 0.75)
 #: Squared distances above this are rejected: far beyond any usual quantile of 4 degrees of freedom (18.5 has one
 #: text in a thousand), as statistics of clean texts have longer tails than a normal distribution.
 CUT = 60.0
 #: Median of the chi-square distribution with 4 degrees of freedom, to which distances are scaled.
 MEDIAN = 3.3567
-#: Groups with fewer texts have no estimate, and none of their texts is rejected.
+#: Scaled squared distances up to this (the 97.5 % quantile of that distribution) give the final estimate.
+NEAR = 11.1433
+#: Groups with fewer distinct vectors have no estimate.
 LEAST_TEXTS = 50
 #: Standard deviations that an estimate never goes below, by statistic.
 FLOOR = (0.10, 0.035, 0.08, 0.08)
@@ -106,7 +111,7 @@ def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
     p = range(len(STATISTICS))
     means = [F.avg(f"s{j}").alias(f"m{j}") for j in p]
     covariances = [F.covar_pop(f"s{j}", f"s{k}").alias(f"c{j}{k}") for j in p for k in range(j + 1)]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *covariances).where(F.col("n") >= LEAST_TEXTS * CENTRAL)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *covariances).where(F.col("n") >= LEAST_TEXTS / 2)
     floor = {j: F.lit(FLOOR[j] ** 2) for j in p}
     for j in p:  # Cholesky factor l_jk, row by row
         for k in range(j):
@@ -123,14 +128,62 @@ def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    right = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    on = [rows[k].eqNullSafe(right[k]) for k in keys]
-    joined = rows.join(right, on[0] & on[1], how)
-    for k in keys:
-        joined = joined.drop(right[k])
+    names = {k: fresh(rows, f"{k}_beside") for k in keys}
+    right = groups.withColumnsRenamed(names)
+    right = F.broadcast(right) if groups.count() <= BROADCAST_GROUPS else right
+    on = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    joined = rows.join(right, reduce(Column.__and__, on), how).drop(*names.values())
     return joined
 
 
+def _scaled() -> Column:
+    """The distance from the estimate beside a row, scaled so that the median of the group is that of the chi-square
+    distribution, unless the floors keep it below that. This makes up for what the nearest half lacks in spread."""
+    return _distance() * F.least(F.lit(1.0), MEDIAN / F.col("half"))
+
+
+def _halves(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimates with the median of the distances from them."""
+    return kept(placed.groupBy(*keys).agg(F.greatest(F.percentile_approx("d", 0.5, 1000), F.lit(1e-6)).alias("half")))
+
+
+def _robust(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """The estimate of each group of distinct vectors, with the median of its distances as ``half``."""
+    p = range(len(STATISTICS))
+    middle = kept(
+        vectors.groupBy(*keys)
+        .agg(F.count("*").alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q{j}") for j, s in enumerate(STATISTICS)])
+        .where(F.col("n") >= LEAST_TEXTS)
+    )
+    # Less than half of the vectors, all on one side, cannot widen the narrower of both quarters beside the median.
+    spread = [F.greatest(F.least(F.col(f"q{j}")[2] - F.col(f"q{j}")[1], F.col(f"q{j}")[1] - F.col(f"q{j}")[0]) / 0.6745, F.lit(FLOOR[j])) for j in p]
+    at = {0.25: 0, 0.5: 1, 0.75: 2}
+    starts = F.array(*[
+        F.struct(F.lit(k).alias("start"), sum((((F.col(s) - F.col(f"q{j}")[at[q]]) / spread[j]) ** 2 for j, s in enumerate(STATISTICS)), F.lit(0.0)).alias("d"))
+        for k, q in enumerate(STARTS)
+    ])
+    beside = _beside(vectors, middle, keys)
+    placed = beside.select(*keys, "n", *STATISTICS, F.explode(starts).alias("x")).select(*keys, "n", *STATISTICS, "x.start", "x.d")
+    trial = [*keys, "start"]
+    everyone = beside.select(*keys, "n", *STATISTICS, F.explode(F.array(*[F.lit(k) for k in range(len(STARTS))])).alias("start"))
+    # (n + p + 1) / 2 of n, in steps of half a hundredth
+    shares = [0.5 + k / 200 for k in range(12)]
+    step = F.ceil(100 * (len(STATISTICS) + 1) / F.first("n")).cast("int")
+    for _ in range(STEPS):
+        limits = kept(placed.groupBy(*trial).agg(F.get(F.percentile_approx("d", shares, 1000), F.least(step, F.lit(11))).alias("limit")))
+        estimate = _estimate(_beside(placed, limits, trial).where("d <= limit"), trial)
+        placed = _beside(everyone, estimate, trial).select(*trial, "n", *STATISTICS, _distance().alias("d"))
+    # the inverse factor's diagonal is the greater, the smaller the determinant
+    size = sum((F.log(F.col(f"f{j}{j}")) for j in p), F.lit(0.0))
+    best = kept(estimate.groupBy(*keys).agg(F.max_by("start", F.struct(size, -F.col("start"))).alias("start")))
+    halves = _halves(_beside(placed, best, trial), keys)
+    chosen = kept(_beside(_beside(estimate, best, trial).drop("start"), halves, keys))
+    near = _beside(vectors, chosen, keys).where(_scaled() <= NEAR).select(*keys, *STATISTICS)
+    final = _estimate(near, keys)
+    halves = _halves(_beside(vectors, final, keys).select(*keys, _distance().alias("d")), keys)
+    return kept(_beside(final, halves, keys))
+
+
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id", cut: float = CUT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance), a row for
     every row of ``docs``.
@@ -139,8 +192,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     them lie in 5-word windows that occur twice or more. Those that pass are kept unless their scaled squared
     distance from their language's and source's estimate is above ``cut``; null languages and sources are values of
     their own. ``distance`` is null for texts of groups too small for an estimate (kept if they pass the base rules).
-    Estimates use the texts that pass the base rules. Null texts have no words. Rows do not depend on their number
-    of copies but through the estimates; an empty table gives no rows; other columns play no part.
+    Estimates use the distinct vectors of the texts that pass the base rules. Null texts have no words. Rows do not depend on their number
+    of copies; an empty table gives no rows; other columns play no part.
     """
     stats = statistics(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), *[c.alias(n) for n, c in stats.items()])
@@ -151,25 +204,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = kept(rows.select("*", failed.alias("base_failed"), *[c.alias(s) for c, s in zip(_vector(), STATISTICS, strict=True)]))
     keys = ["lang", "source"]
-    passed = rows.where("not base_failed").select(*keys, *STATISTICS)
-    # The start: each statistic's median, and its spread about it.
-    middle = kept(
-        passed.groupBy(*keys)
-        .agg(F.count("*").alias("n"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q{j}") for j, s in enumerate(STATISTICS)])
-        .where(F.col("n") >= LEAST_TEXTS)
-        .drop("n")
-    )
-    spread = [F.greatest((F.col(f"q{j}")[2] - F.col(f"q{j}")[0]) / 1.349, F.lit(FLOOR[j])) for j in range(len(STATISTICS))]
-    start = sum((((F.col(s) - F.col(f"q{j}")[1]) / spread[j]) ** 2 for j, s in enumerate(STATISTICS)), F.lit(0.0))
-    placed = _beside(passed, middle, keys).select(*keys, *STATISTICS, start.alias("d"))
-    for _ in range(STEPS):
-        limits = kept(placed.groupBy(*keys).agg(F.percentile_approx("d", CENTRAL, 1000).alias("limit")))
-        central = _beside(placed, limits, keys).where("d <= limit")
-        estimate = _estimate(central, keys)
-        placed = _beside(passed, estimate, keys).select(*keys, *STATISTICS, _distance().alias("d"))
-    medians = placed.groupBy(*keys).agg(F.greatest(F.percentile_approx("d", 0.5, 1000), F.lit(1e-6)).alias("half"))
-    scaled = kept(_beside(estimate, kept(medians), keys))
-    far = _beside(rows, scaled, keys, "left").withColumn("distance", _distance() * F.least(F.lit(1.0), MEDIAN / F.col("half")))
+    passed = kept(rows.where("not base_failed").select(*keys, *STATISTICS).distinct())
+    scaled = _robust(passed, keys)
+    far = _beside(rows, scaled, keys, "left").withColumn("distance", _scaled())
     fine = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"), "distance"

@@ -54,3 +54,21 @@ def test_empty_table_and_native_plan(nothing, awkward):
     assert outliers.judged(nothing).count() == 0
     plan = outliers.judged(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_a_third_of_a_group_as_copies_of_junk_and_almost_half_as_varied_junk(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def junk():
+        return " ".join(w + "#" * len(w) for w in prose(rng.randint(80, 300)).split())
+
+    same = junk()
+    rows = [(k, prose(rng.randint(50, 600)), "en", "copies") for k in range(600)] + [(1000 + k, same, "en", "copies") for k in range(300)]
+    rows += [(2000 + k, prose(rng.randint(50, 600)), "en", "varied") for k in range(220)] + [(3000 + k, junk(), "en", "varied") for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in outliers.judged(docs).collect()}
+    assert all(kept[k] == (k // 1000 in (0, 2)) for k in kept)
