@@ -30,13 +30,15 @@ CUT = 60.0
 MEDIAN = 3.3567
 #: Scaled squared distances up to this (the 97.5 % quantile of that distribution) give the final estimate.
 NEAR = 11.1433
-#: Groups with fewer distinct vectors have no estimate.
+#: Groups with fewer distinct vectors have no estimate of their own, and are judged by the next wider group's.
 LEAST_TEXTS = 50
 #: Standard deviations that an estimate never goes below, by statistic.
 FLOOR = (0.10, 0.035, 0.08, 0.08)
 #: Estimates of at most so many groups are broadcast; more are joined by shuffling.
 BROADCAST_GROUPS = 20_000
 STATISTICS = ("s0", "s1", "s2", "s3")
+#: What the texts of an estimate have in common, from the narrowest to the whole table.
+LEVELS = (("lang", "source"), ("lang",), ())
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -191,7 +193,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     Words are ``[^\\x20\\x09-\\x0D]+``. A text fails the base rules with fewer than 10 words or if more than 20 % of
     them lie in 5-word windows that occur twice or more. Those that pass are kept unless their scaled squared
     distance from their language's and source's estimate is above ``cut``; null languages and sources are values of
-    their own. ``distance`` is null for texts of groups too small for an estimate (kept if they pass the base rules).
+    their own. A group too small for an estimate is judged by its language's over all sources, and if that is too
+    small as well by the whole table's; ``distance`` is null in the last case, as it is no distance among texts of the
+    same language. Only a table too small as a whole is judged by the base rules alone.
     Estimates use the distinct vectors of the texts that pass the base rules. Null texts have no words. Rows do not depend on their number
     of copies; an empty table gives no rows; other columns play no part.
     """
@@ -204,10 +208,19 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = kept(rows.select("*", failed.alias("base_failed"), *[c.alias(s) for c, s in zip(_vector(), STATISTICS, strict=True)]))
     keys = ["lang", "source"]
-    passed = kept(rows.where("not base_failed").select(*keys, *STATISTICS).distinct())
-    scaled = _robust(passed, keys)
-    far = _beside(rows, scaled, keys, "left").withColumn("distance", _scaled())
-    fine = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
+    levels = F.array(*[
+        F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in own else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in keys])
+        for k, own in enumerate(LEVELS)
+    ])
+    passed = rows.where("not base_failed").select(F.explode(levels).alias("g"), *STATISTICS).select("g.*", *STATISTICS)
+    scaled = _robust(kept(passed.distinct()), ["level", *keys])
+    far = rows
+    for k, own in enumerate(LEVELS):
+        groups = scaled.where(F.col("level") == k).drop(*set(keys) - set(own))
+        far = _beside(far.withColumn("level", F.lit(k)), groups, ["level", *own], "left").select(*far.columns, _scaled().alias(f"d{k}"))
+    far = far.withColumn("distance", F.coalesce("d0", "d1"))
+    measured = F.coalesce("distance", "d2")
+    fine = ~F.col("base_failed") & (measured.isNull() | (measured <= cut))
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"), "distance"
     )

@@ -72,3 +72,23 @@ def test_a_third_of_a_group_as_copies_of_junk_and_almost_half_as_varied_junk(spa
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in outliers.judged(docs).collect()}
     assert all(kept[k] == (k // 1000 in (0, 2)) for k in kept)
+
+
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def junk():
+        return " ".join(w + "#" * len(w) for w in prose(rng.randint(80, 300)).split())
+
+    rows = [(k, prose(rng.randint(50, 600)), "en", f"s{k % 20}") for k in range(300)]
+    rows += [(1000 + k, junk(), "en", f"s{k}") for k in range(20)]  # by the language's estimate
+    rows += [(2000, prose(200), "xx", "s0"), (1100, junk(), "xx", "s0"), (1101, junk(), None, None)]  # by the table's
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judged(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].kept == (k // 1000 != 1) for k in got)
+    assert all((got[k].distance is None) == (got[k].doc_id in (2000, 1100, 1101)) for k in got)
