@@ -44,15 +44,32 @@ def spread_lines(
     doc_id: str = "doc_id",
     min_sites: int = MIN_SITES,
     lg_k: int = LG_K,
+    long_words: int | None = None,
 ) -> DataFrame:
     """(h1, h2, owner): the lines found at ``min_sites`` or more distinct sites, as two hashes each. ``owner`` is
-    the smallest id of a document with that line. Blank lines are no lines; a null site is no site."""
-    rows = (
-        docs.select(F.col(site).cast("string").alias("site"), F.col(doc_id).alias("id"), F.explode(_lines(F.col(text))).alias("line"))
-        .select("site", "id", _bare(F.col("line")).alias("line"))
+    the smallest id of a document with that line. Blank lines are no lines; a null site is no site.
+
+    With ``long_words``, lines of more words than that are there from two sites on if two different texts have them,
+    and ``owner_text`` is a hash of the owner's text (null for other lines)."""
+    lines = (
+        docs.select(
+            F.col(site).cast("string").alias("site"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.explode(_lines(F.col(text))).alias("line")
+        )
+        .select("site", "id", "t", _bare(F.col("line")).alias("line"))
         .where("line <> ''")
-        .select(*hash_pair(F.col("line")), "site", "id")
     )
+    if long_words is not None:
+        long = F.size(F.filter(F.split("line", "[ \t\r]+"), lambda w: w != "")) > long_words
+        passages = (
+            lines.where(long)
+            .select(*hash_pair(F.col("line")), "site", "id", "t")
+            .groupBy("h1", "h2")
+            .agg(F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("first"))
+            .where("s0 < s1 and t0 <> t1")
+            .select("h1", "h2", F.col("first.id").alias("owner"), F.col("first.t").alias("owner_text"))
+        )
+        lines = lines.where(~long)
+    rows = lines.select(*hash_pair(F.col("line")), "site", "id")
     sketched = rows.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.min("id").alias("owner")
     )
@@ -70,7 +87,10 @@ def spread_lines(
         .agg(F.count("site").alias("sites"))
         .where(F.col("sites") >= min_sites)
     )
-    return kept(sure.unionAll(exact.select("h1", "h2", "owner")))
+    found = sure.unionAll(exact.select("h1", "h2", "owner"))
+    if long_words is not None:
+        found = found.withColumn("owner_text", F.lit(None).cast("long")).unionAll(passages)
+    return kept(found)
 
 
 def remove_spread_lines(
@@ -81,6 +101,7 @@ def remove_spread_lines(
     min_sites: int = MIN_SITES,
     lg_k: int = LG_K,
     counts: tuple[str, str] | None = None,
+    long_words: int | None = None,
 ) -> DataFrame:
     """``docs`` without the lines that ``min_sites`` or more distinct sites have.
 
@@ -89,9 +110,15 @@ def remove_spread_lines(
     carriage returns around them; blank lines stay. No row goes: a text may become empty. Null texts stay null.
     Rows with the same text and id come out alike. ``counts`` names two columns to add: the lines of a text (0 for
     null and empty texts) and how many went.
+
+    With ``long_words``, lines of more words than that (separated by blanks, tabs and carriage returns) go from two
+    sites on if different texts have them. They stay in every copy of their owner's text, so that copies of a whole
+    text stay copies.
     """
-    found = _small(spread_lines(docs, text, site, doc_id, min_sites, lg_k))
+    found = _small(spread_lines(docs, text, site, doc_id, min_sites, lg_k, long_words))
+    found = found if long_words is not None else found.withColumn("owner_text", F.lit(None).cast("long"))
     k1, k2, gone, lines, stay, own = (fresh(docs, n) for n in ("k1", "k2", "gone", "lines", "stay", "owner"))
+    # the first hash of the pair is that of owner_text
     key = [c.alias(n) for c, n in zip(hash_pair(F.col(text)), (k1, k2), strict=True)]
     hits = kept(
         docs.where(F.col(text).isNotNull())
@@ -100,6 +127,7 @@ def remove_spread_lines(
         .where("line <> ''")
         .select(k1, k2, "at", *hash_pair(F.col("line")))
         .join(found, ["h1", "h2"])
+        .where(F.col("owner_text").isNull() | (F.col("owner_text") != F.col(k1)))
         .select(k1, k2, "at", "owner")
         .distinct()  # equal texts have equal lines: copies are put together before they meet
         .groupBy(k1, k2)

@@ -58,3 +58,17 @@ def test_empty_table_and_nulls_only(nothing, awkward):
 def test_native_plan(awkward):
     plan = lines.remove_spread_lines(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_long_passages_go_from_two_sites_on(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    once = " ".join(f"v{k}" for k in range(60))
+    short = " ".join(f"u{k}" for k in range(50))
+    copy = " ".join(f"x{k}" for k in range(60))
+    rows = [(1, f"{passage}\none\n{short}", "a"), (2, f"two\n {passage}\r\n{short}", "b"), (3, f"{passage}\none\n{short}", "c")]
+    rows += [(4, once, "a"), (5, f"{once}\nmore", "a"), (6, copy, "a"), (7, copy, "b"), (None, passage, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in lines.remove_spread_lines(docs, long_words=50).collect()]
+    want = [(i, {2: f"two\n{short}", None: ""}.get(i, x)) for i, x, _ in rows]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert lines.remove_spread_lines(docs).where("doc_id = 2").first().text == rows[1][1]
