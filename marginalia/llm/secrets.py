@@ -3,7 +3,7 @@
 The forest sees the length of a candidate, its character classes and how they follow each other, how likely its
 character transitions are in ordinary words, how much of it dictionary words cover, the path it was found at and
 the words beside it. It is trained by Spark's RandomForestClassifier from labelled findings, of which there is a
-bounded number; dictionary, transitions and word odds come from the same findings' documents. The trees are then
+bounded number, as do the word odds; dictionary and transitions are counted over all documents. The trees are then
 sent to the tasks as arrays, so a scan is one pass over the texts without a shuffle.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ship
+from marginalia.llm.common import kept, ship
 
 MASK = "[SECRET]"
 THRESHOLD = 0.5
@@ -188,8 +188,9 @@ def _odds(pairs: list[tuple[str, int]]) -> dict[str, float]:
     return {w: float(np.log((b + 1) / (a + 1))) for w, (a, b) in seen.items() if a + b >= 5}
 
 
-def fit(spark: SparkSession, labelled: list[Row], words: Counter, max_findings: int = MAX_FINDINGS) -> Model:
+def fit(spark: SparkSession, labelled: list[Row], words: Counter, max_findings: int = MAX_FINDINGS, transitions: Counter | None = None) -> Model:
     """Train from labelled findings (path, value, before, after, label) and the counts of ordinary words, both bounded.
+    ``transitions`` counts pairs of letters; without it they are those of the words.
 
     At most ``max_findings`` are used. The neighbours' and paths' odds are worked out on the other half of the
     findings than the one that the forest sees with them, so that they do not give the label away.
@@ -198,7 +199,9 @@ def fit(spark: SparkSession, labelled: list[Row], words: Counter, max_findings:
     labelled = [labelled[k] for k in order[:max_findings]]
     top = [w for w, n in words.most_common(MAX_DICTIONARY) if 3 <= len(w) <= 14]
     pairs = np.ones((256, 256))
-    for w in top:
+    for pair, n in (transitions or {}).items():
+        pairs[tuple(pair.encode())] += n
+    for w in top if transitions is None else []:
         codes = np.frombuffer(w.encode(), np.uint8)
         np.add.at(pairs, (codes[:-1], codes[1:]), min(words[w], 100))
     model = Model(set(top), np.log(pairs / pairs.sum(axis=1, keepdims=True)), {}, {}, [])
@@ -246,7 +249,8 @@ def fit_on(docs: DataFrame, text: str = "text", path: str = "source", doc_id: st
     """A model for a corpus without a table of labelled findings.
 
     The labelled findings are the candidates of the ``max_documents`` documents whose ids have the smallest hashes,
-    labelled by ``presumed``, and as many again (2,000 at least) that are planted with known answers.
+    labelled by ``presumed``, and as many again (2,000 at least) that are planted with known answers. Words and pairs
+    of letters are counted over all documents.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).distinct()
@@ -269,11 +273,14 @@ def fit_on(docs: DataFrame, text: str = "text", path: str = "source", doc_id: st
                 c.update(w for w in re.findall(r"[a-z]{3,14}", (t or "").lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
 
-    rows = sample.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(MAX_DICTIONARY).collect()
+    counted = kept(slim.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"))
+    rows = counted.orderBy(F.desc("n"), "w").limit(MAX_DICTIONARY).collect()
     words = Counter({r["w"]: r["n"] for r in rows})
+    at = F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("at")
+    pairs = counted.select("w", "n", at).groupBy(F.expr("substring(w, at, 2)").alias("pair")).agg(F.sum("n").alias("n")).collect()
     rng = np.random.default_rng(11)
     extra = planted(rng, list(words)[:5000], [r.path for r in natural] or [None], min(MAX_FINDINGS // 2, max(2000, len(natural))))
-    return fit(spark, natural + extra, words)
+    return fit(spark, natural + extra, words, transitions=Counter({r["pair"]: r["n"] for r in pairs}))
 
 
 def scan(

@@ -69,3 +69,11 @@ def test_candidates_in_long_texts():
     assert len(secrets.candidates("k9" * 100_000)) == 1
     assert secrets.candidates(None) == secrets.candidates("") == []
     assert secrets.candidates('password: "hunterhunter"') == [(11, 23)]
+
+
+def test_words_are_counted_over_all_documents(spark):
+    rows = [(k, f"common words everywhere and quxword{chr(97 + k % 26)}{chr(97 + k // 26)} quxword{chr(97 + k % 26)}{chr(97 + k // 26)}", "s") for k in range(300)]
+    model = secrets.fit_on(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_documents=5)
+    assert sum(w.startswith("quxword") for w in model.dictionary) == 300
+    row = model.transitions[ord("q")]
+    assert row.argmax() == ord("u") and row[ord("u")] > np.log(0.6)
