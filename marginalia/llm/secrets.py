@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import kept, ship
+from marginalia.llm.common import kept, ship, utf8
 
 MASK = "[SECRET]"
 THRESHOLD = 0.5
@@ -38,7 +38,15 @@ CANDIDATE = re.compile(
     r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
     r"|(?:(?<=[=:][\"'])|(?<=[=:] [\"']))[A-Za-z0-9+/_\-]{8,}={0,2}(?=[\"']))"
 )
+#: After a credential's name and in addresses, any run of 6 or more characters without blanks; in quotes up to the quote.
+_NAMED = re.compile(
+    r"(?i:tok(?:en)?|secret|pass(?:w(?:or)?d)?|pwd|key|auth|cred(?:ential)?s?|bearer)[\w\-]{0,40}[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*"
+    r"(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"'<>]{6,}))"
+    r"|://[^\s/:@]{0,200}:([^\s/@]{6,200})@"
+)
 _ASSIGNED = re.compile(r"([\w\-]+)[\"']?\s*(?:=|:|=>)\s*[\"']?$")
+_ADDRESS = re.compile(r"://[^\s/:@]*:$")
+_PASSWORD = re.compile(r"(?i)pass|pwd|secret")
 _CREDENTIAL = re.compile(r"(?i)tok(en)?|secret|pass(w(or)?d)?|pwd|key|auth|cred|bearer")
 #: Published shapes of keys that need no name beside them.
 _SHAPED = re.compile(r"AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9\-]{20,}|AIza[A-Za-z0-9_\-]{35}")
@@ -48,12 +56,22 @@ _CLASSES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c
 FEATURES = (
     "length", "digits", "upper", "lower", "symbols", "entropy", "distinct", "class_changes", "transition_odds",
     "dictionary", "hex", "assigned", "quoted", "credential_near", "neighbour_odds", "path_odds",
+    "in_address", "password_near",
 )
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Ranges (start, end) of all candidates in the whole text; none in null and empty texts."""
-    return [m.span() for m in CANDIDATE.finditer(text or "")]
+    text = text or ""
+    named = [m.span(m.lastindex) for m in _NAMED.finditer(text)]
+    # punctuation that ends a clause is no part of an unquoted value
+    named = [(s, s + len(text[s:e].rstrip(".,;)]}"))) for s, e in named]
+    found = sorted([x for x in named if x[1] - x[0] >= 6] + [m.span() for m in CANDIDATE.finditer(text)], key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, int]] = []
+    for s, e in found:  # of two that overlap, the one that begins first
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
 
 
 @dataclass
@@ -68,7 +86,7 @@ class Model:
 
     def features(self, value: str, before: str, after: str, path: str | None) -> list[float]:
         n = len(value)
-        kinds = value.translate(_CLASSES)
+        kinds = re.sub(r"[^aA0]", "-", value.translate(_CLASSES))
         counts = np.array(list(Counter(value).values()), float) / n
         assigned = _ASSIGNED.search(before)
         near = _WORD.findall(before)[-3:]
@@ -79,7 +97,7 @@ class Model:
                 size = next((k for k in range(min(14, len(run) - at), 2, -1) if run[at : at + k] in self.dictionary), 0)
                 covered += size
                 at += size or 1
-        codes = np.frombuffer(value.lower().encode(), np.uint8)
+        codes = np.frombuffer(utf8(value.lower()), np.uint8)
         return [
             float(n), kinds.count("0") / n, kinds.count("A") / n, kinds.count("a") / n, kinds.count("-") / n,
             float(-(counts * np.log2(counts)).sum()), len(counts) / n,
@@ -90,6 +108,7 @@ class Model:
             float(bool(_CREDENTIAL.search((assigned[1] if assigned else "") + " " + " ".join(near)))),
             sum(self.odds.get(w.lower(), 0.0) for w in near) / max(1, len(near)),
             self.path_odds.get(path or "", 0.0),
+            float(bool(_ADDRESS.search(before)) and after[:1] == "@"), float(bool(assigned and _PASSWORD.search(assigned[1]))),
         ]
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
@@ -130,25 +149,61 @@ def findings(docs: DataFrame, text: str = "text", path: str = "source", doc_id:
 
 
 def presumed(value: str, before: str) -> int:
-    """The label of a natural finding: 1 if a credential's name is assigned a mixed value of 16 or more characters,
-    or if the value has the shape of a key that a provider marks."""
+    """The label of a natural finding: 1 if a credential's name is assigned a mixed value of 16 or more characters, a
+    password's name one of 6 or more, or if the value has the shape of a key that a provider marks."""
     if _SHAPED.fullmatch(value):
         return 1
     named = _ASSIGNED.search(before)
-    mixed = len(value) >= 16 and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
+    mixed = len(value) >= (6 if named and _PASSWORD.search(named[1]) else 16) and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
     return int(bool(named and mixed and _CREDENTIAL.search(named[1])))
 
 
 def planted(rng: np.random.Generator, words: list[str], paths: list[str | None], n: int) -> list[Row]:
-    """Labelled findings with known answers: random keys of usual shapes as secrets; numbers, dates, versions, joined
-    words and file names as false positives; each between words of the corpus."""
+    """Labelled findings with known answers: random keys of usual shapes and passwords as secrets; numbers, dates,
+    versions, joined words, file names, and words and placeholders after a credential's name as false positives; each
+    between words of the corpus."""
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     some = lambda k: " ".join(rng.choice(words, k)) if words else "x"
     names = ["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "TOKEN", "Secret"]
     neutral = ["ref", "page", "order", "file", "name", "version", "phone", "card", "date", "id"]
     out = []
+    signs = "!@#$%&*?.^~"
+    word = lambda: str(rng.choice(words)) if words else "horse"
+
+    def password() -> str:
+        kind = int(rng.integers(4))
+        base = word().capitalize() if rng.random() < 0.5 else word()
+        spelled = "".join({"a": "4", "e": "3", "o": "0", "i": "1", "s": "5"}.get(c, c) if rng.random() < 0.6 else c for c in base)
+        value = [
+            lambda: base + str(rng.integers(10, 10_000)),
+            lambda: spelled + pick(signs, 1) + str(rng.integers(100)),
+            lambda: pick(alnum + signs, int(rng.integers(8, 20))),
+            lambda: base + pick(signs, 1) + word() + str(rng.integers(100)),
+        ][kind]()
+        return value if len(value) >= 6 and re.search(r"\d", value) else value + pick("0123456789", 4)
+
+    def harmless() -> str:
+        value = [
+            word, lambda: word() + word(), lambda: "${" + word().upper() + "}", lambda: "*" * int(rng.integers(6, 12)), lambda: f"{word()}.{word()}()",
+            lambda: f"{word()}-{word()}",
+        ][int(rng.integers(6))]()
+        return value if len(value) >= 6 else value + "_" + word() + "_value"
+
     for k in range(n):
+        if rng.random() < 0.25:  # what only a name or an address makes a candidate
+            quote = str(rng.choice(["", "", '"', "'"]))
+            name = str(rng.choice(["password", "passwd", "pwd", "db_password", "secret", "Password", "PASSWORD"]))
+            head = f"{name}{rng.choice(['=', ': ', ' = ', ':'])}{quote}"
+            value, tail = (password() if k % 2 else harmless()), quote
+            if k % 2 and rng.random() < 0.3:
+                head, tail = f"{rng.choice(['https', 'ftp', 'mysql', 'amqp', 'redis'])}://{word()}:", f"@{word()}.example/{word()}"
+                value = password().replace("@", "!")
+            elif not k % 2 and rng.random() < 0.5:
+                head = f"{rng.choice(['key', 'token', 'Schlüssel-Key', 'auth', 'author', 'keyword'])}{rng.choice(['=', ': ', ' = '])}{quote}"
+            path = paths[int(rng.integers(len(paths)))] if paths else None
+            out.append(Row(path=path, value=value, before=(some(4) + " " + head)[-CONTEXT:], after=tail + " " + some(3), label=k % 2))
+            continue
         if k % 2:
             shape = int(rng.integers(5))
             value = [

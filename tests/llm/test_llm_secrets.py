@@ -77,3 +77,25 @@ def test_words_are_counted_over_all_documents(spark):
     assert sum(w.startswith("quxword") for w in model.dictionary) == 300
     row = model.transitions[ord("q")]
     assert row.argmax() == ord("u") and row[ord("u")] > np.log(0.6)
+
+
+def test_short_and_odd_passwords(spark, model, words):
+    a, b, c = [w for w in words if 8 <= len(w) <= 14][:3]
+    texts = {
+        "password=hunter2024 here": "hunter2024", 'password: "Tr0ub4dor&3" and': "Tr0ub4dor&3", "pwd = p@ssw0rd!23, then": "p@ssw0rd!23",
+        "see https://user:s3cr3t!pw9@host.example/x": "s3cr3t!pw9",
+    }
+    clean = [f"password: {a}", f"the key: {b}", f'token = "{c}"', "at https://host.example:8080/a@b", f"password: ${{{a.upper()}}}"]
+    rows = [(k, t, "a/b") for k, t in enumerate([*texts, *clean])]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), model).collect()}
+    for k, (t, value) in enumerate(texts.items()):
+        assert [t[s:e] for s, e in secrets.candidates(t)] == [value]
+        assert got[k].redacted == t.replace(value, "[SECRET]"), t
+    assert [got[len(texts) + k].redacted for k in range(len(clean))] == clean
+
+
+def test_named_candidates_in_long_texts():
+    for unit in ("key=", "key", "pass:", "://a:", "token ", "://", "a:", "passwd-"):
+        secrets.candidates(unit * 100_000)
+    found = secrets.candidates('{"api_key": "9f8a77c1d2e3b4a59687", "ref": "abcdefghijk1"}')
+    assert [b - a for a, b in found] == [20, 12]
