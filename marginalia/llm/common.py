@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -67,6 +68,12 @@ def ship(spark: SparkSession) -> None:
         sc._marginalia_sent = True
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new, unused path in the shared folder, for a table that is read again."""
+    ready_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared folder through Spark's file systems."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ann, licenses, lines, outliers, packing, pieces, secrets, shards, simhash, toxicity
+from marginalia.llm import alignment, ann, licenses, lines, outliers, packing, phrases, pieces, secrets, shards, simhash, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +82,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between two tokenizers."""
+    return alignment.aligned(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_toxicity, op3_licenses, op4_shards, op5_nearest, op6_outliers, op7_pieces, op8_lines, op9_packing, op10_simhash,
+        op11_phrases, op12_alignment,
     )
 }
 
@@ -112,5 +124,47 @@ select d.doc_id,
        length(c.text)::bigint as n_chars,
        md5(c.text) as text_md5
 from documents d left join cleaned c using (doc_id)
+""",
+    "op11_phrases": """
+with pieces as (
+  select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), lists as (
+  select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as ws from pieces
+), words as (
+  select lang, ws, unnest(range(1, len(ws) + 1)) as i from lists
+), spots as (
+  select lang, ws[i] as w1, ws[i + 1] as w2, ws[i + 2] as w3 from words
+), one as (
+  select lang, w1, count(*) as f from spots group by all
+), two as (
+  select lang, w1, w2, count(*) as f from spots where w2 is not null group by all
+), three as (
+  select lang, w1, w2, w3, count(*) as f from spots where w3 is not null group by all having count(*) >= 10
+), sizes as (
+  select lang, sum(f)::bigint as n from one group by lang
+), cuts as (
+  select t.lang, t.w1, t.w2, null as w3, t.f as a, 1 as k, l.f as l, r.f as r
+  from two t join one l on l.lang = t.lang and l.w1 = t.w1 join one r on r.lang = t.lang and r.w1 = t.w2 where t.f >= 10
+  union all
+  select t.lang, t.w1, t.w2, t.w3, t.f, 1, l.f, r.f
+  from three t join one l on l.lang = t.lang and l.w1 = t.w1 join two r on r.lang = t.lang and r.w1 = t.w2 and r.w2 = t.w3
+  union all
+  select t.lang, t.w1, t.w2, t.w3, t.f, 2, l.f, r.f
+  from three t join two l on l.lang = t.lang and l.w1 = t.w1 and l.w2 = t.w2 join one r on r.lang = t.lang and r.w1 = t.w3
+), scored as (
+  select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts
+), weakest as (
+  select * from scored qualify row_number() over (partition by lang, w1, w2, w3 order by score, k) = 1
+), inside as (
+  select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from three union all select lang, w2, w3, f from three) group by all
+), kept as (
+  select c.* from weakest c left join inside x on x.lang = c.lang and x.w1 = c.w1 and x.w2 = c.w2
+  where c.w3 is not null or x.f is null or 100 * x.f < 50 * c.a
+), named as (
+  select k.lang, concat_ws(' ', w1, w2, w3) as phrase, a, l, r, n, score from kept k join sizes s on s.lang = k.lang
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from named qualify rank <= 2000
 """,
 }
