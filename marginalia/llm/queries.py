@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import alignment, ann, licenses, lines, outliers, packing, phrases, pieces, secrets, shards, simhash, toxicity
+from marginalia.llm import alignment, ann, licenses, lines, minhash, outliers, packing, phrases, pieces, secrets, shards, simhash, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,11 +92,16 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by Jaccard 0.85 of three-word shingles."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_toxicity, op3_licenses, op4_shards, op5_nearest, op6_outliers, op7_pieces, op8_lines, op9_packing, op10_simhash,
-        op11_phrases, op12_alignment,
+        op11_phrases, op12_alignment, op13_minhash,
     )
 }
 
