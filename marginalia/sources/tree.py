@@ -1,79 +1,26 @@
 """Texts from a directory tree.
 
-The tree is listed by tasks, a level at a time: each lists some directories and hands on those it finds. No name is
-left out, whatever it begins with, and no empty file. Path rules are applied to the list; only what passes is opened.
+The tree is listed by tasks (see ``listing``). No name is left out, whatever it begins with, and no empty file; links are
+not followed. Path rules are applied to the list; only what passes is opened.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import paths
 from marginalia.operators.files import wanted
-from marginalia.plans.workspace import kept
 from marginalia.rules import JobConfig, root_path
+from marginalia.sources.listing import file_system, listed, local
 
-_LISTED = "place string, rel_path string, is_dir boolean, length long, modified timestamp"
 #: Bytes that a task reads, about, and bytes that it holds at a time (at least one file).
 _TASK_BYTES, _BATCH_BYTES = 128 << 20, 16 << 20
 
 
-def _local(root: str) -> str:
-    """``file:/a`` and ``file:///a`` -> ``/a``; other roots stay as they are."""
-    return unquote(root_path(root)) if root.startswith("file:") else root
-
-
-def _file_system(root: str):
-    """The file system of a root, and the root's place in it."""
-    from pyarrow import fs
-
-    return (fs.LocalFileSystem(), root) if root.startswith("/") else fs.FileSystem.from_uri(root)
-
-
-def _listed(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    """Files below the root: place, rel_path, length, modified. A root that does not exist is an error."""
-    root = _local(root)
-    open_fs = _file_system
-
-    def list_directories(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyarrow import fs
-
-        names = ["place", "rel_path", "is_dir", "length", "modified"]
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")]
-        system, _ = open_fs(root)
-        for b in batches:
-            for place, rel in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                own = system.get_file_info(place)
-                if own.type == fs.FileType.NotFound:
-                    raise FileNotFoundError(place)
-                found = [own] if own.is_file else system.get_file_info(fs.FileSelector(place))
-                for x in found:
-                    name = "" if x is own else x.base_name
-                    is_dir = x.type == fs.FileType.Directory
-                    rows.append((x.path, f"{rel}/{name}" if rel and name else rel or name, is_dir, None if is_dir else x.size, x.mtime))
-                cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    _, start = _file_system(root)
-    level = spark.createDataFrame([(start.rstrip("/") or "/", "")], "place string, rel_path string")
-    files = None
-    while True:
-        tasks = max(1, min(level.count(), spark.sparkContext.defaultParallelism * 4))
-        found = kept(level.repartition(tasks, "place").mapInArrow(list_directories, _LISTED))
-        own = found.where("not is_dir").drop("is_dir")
-        files = own if files is None else files.unionAll(own)
-        level = found.where("is_dir").select("place", "rel_path")
-        if not recursive or level.isEmpty():
-            return files
-
-
 def _named(files: DataFrame, root: str) -> DataFrame:
     path = F.when(F.col("rel_path") == "", F.lit(root_path(root))).otherwise(F.concat(F.lit(root_path(root) + "/"), "rel_path"))
     return files.select("place", path.alias("path"), "rel_path", "length", "modified")
@@ -84,7 +31,7 @@ def inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
 
     With ``recursive=False`` only the direct children.
     """
-    return _named(_listed(spark, root, recursive), root).drop("place")
+    return _named(listed(spark, root, recursive), root).drop("place")
 
 
 def read_tree(spark: SparkSession, root: str, config: JobConfig | None = None) -> DataFrame:
@@ -93,12 +40,12 @@ def read_tree(spark: SparkSession, root: str, config: JobConfig | None = None) -
     Bytes that are not UTF-8 become U+FFFD; line ends stay as they are.  With ``config``
     only files that pass its rules are opened.  A file that is gone when it is read fails the job.
     """
-    files = _named(_listed(spark, root, recursive=True), root)
+    files = _named(listed(spark, root), root)
     if config is not None:
         files = files.where(wanted(F.col("path"), config))
     known = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
     tasks = max(1, min(known.n, max(spark.sparkContext.defaultParallelism, ceil(known.bytes / _TASK_BYTES))))
-    root, open_fs, batch_bytes = _local(root), _file_system, _BATCH_BYTES
+    root, open_fs, batch_bytes = local(root), file_system, _BATCH_BYTES
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
