@@ -10,58 +10,56 @@ group, and the shift becomes the difference of the pointers there.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import drop, kept, scratch, ship
+from marginalia.llm.common import kept, scratch, ship
 
 #: Pairs of ids whose counts are sent to every task, at most; the rarer ones beyond are joined.
 HEAD_PAIRS = 1 << 20
-#: Characters encoded at a time.
-_PORTION = 1 << 20
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int]]:
-    """(i, j, length) of stretches and groups, in order: ``length`` one-to-one groups that begin behind token i of A and
-    token j of B, or, with length 0, one irregular group up to where the next entry begins.
+#: Tokens that a first probe compares.
+_PROBE = 8
 
-    Both arrays ascend and have the same last value.
+
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
+    """(stretches, left, right) of two ascending arrays of ends with the same last value.
+
+    A stretch is (i, j, length): ``length`` one-to-one groups that begin with token i of A and token j of B, or, with
+    length 0, one irregular group up to where the next stretch begins. ``left`` and ``right`` are the places of the
+    tokens of A and of B whose bytes overlap, for every pair that does.
     """
-    out: list[tuple[int, int, int]] = []
-    n, m = len(ends_a), len(ends_b)
-    i, shift = 0, 0
+    stretches: list[tuple[int, int, int]] = []
+    left: list[int] = []
+    right: list[int] = []
+    n, i, shift = len(ends_a), 0, 0
     while i < n:
-        j = i + shift
-        # double while whole blocks agree, then halve to the first difference
-        run, step = 0, 1
-        while True:
-            a, b = i + run, j + run
-            block = ends_a[a : a + step]
-            if block and block == ends_b[b : b + step]:
-                run += len(block)
-                if len(block) < step:
-                    break
-                step += step
-            else:
-                break
+        # double while whole blocks agree, then halve down to the first difference
+        start, step = i, _PROBE
+        while (block := ends_a[i : i + step]) and block == ends_b[i + shift : i + shift + step]:
+            i += len(block)
+            step += step
         while step > 1:
             step >>= 1
-            a, b = i + run, j + run
-            block = ends_a[a : a + step]
-            if len(block) == step and block == ends_b[b : b + step]:
-                run += step
-        if run:
-            out.append((i, j, run))
-            i += run
-            j += run
+            block = ends_a[i : i + step]
+            if block and block == ends_b[i + shift : i + shift + step]:
+                i += len(block)
+        j = i + shift
+        if i > start:
+            stretches.append((start, start + shift, i - start))
+            left += range(start, i)
+            right += range(start + shift, j)
             if i == n:
                 break
-        out.append((i, j, 0))
+        stretches.append((i, j, 0))
         end_a, end_b = ends_a[i], ends_b[j]
+        left.append(i)
+        right.append(j)
         while end_a != end_b:
             if end_a < end_b:
                 i += 1
@@ -69,41 +67,40 @@ def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int]]:
             else:
                 j += 1
                 end_b = ends_b[j]
+            left.append(i)
+            right.append(j)
         i += 1
         shift = j + 1 - i
-    assert i == n and i + shift == m, "the ends of both sides differ"
-    return out
+    if i + shift != len(ends_b):
+        raise ValueError("the ends of both sides differ")
+    return stretches, left, right
 
 
-def links(stretches: list[tuple[int, int, int]], ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """Places of the tokens of A and of B whose bytes overlap, for every pair that does."""
-    left: list[int] = []
-    right: list[int] = []
-    n, m = len(ends_a), len(ends_b)
-    for k, (i, j, run) in enumerate(stretches):
-        if run:
-            left += range(i, i + run)
-            right += range(j, j + run)
-            continue
-        to_i, to_j = stretches[k + 1][:2] if k + 1 < len(stretches) else (n, m)
-        while i < to_i and j < to_j:
-            left.append(i)
-            right.append(j)
-            a, b = ends_a[i], ends_b[j]
-            i += a <= b
-            j += b <= a
-    return left, right
+class _Written(dict):
+    """Pairs of ids, as one number, the way a group of one token on each side is written."""
+
+    def __init__(self, size_b: int) -> None:
+        self.size_b = size_b
 
+    def __missing__(self, pair: int) -> str:
+        text = f"{pair // self.size_b}|{pair % self.size_b}"
+        if len(self) < 1_000_000:
+            self[pair] = text
+        return text
 
-def written(stretches: list[tuple[int, int, int]], a: list[str], b: list[str]) -> str:
-    """The groups as text: ``a1,a2|b1;a3|b2,b3``."""
-    out = []
+
+def written(stretches: list[tuple[int, int, int]], a: list[int], b: list[int], pairs: list[int], known: _Written) -> str:
+    """The groups as text: ``a1,a2|b1;a3|b2,b3``. ``pairs`` has the links' pairs of ids in order."""
+    out: list[str] = []
+    at = 0
     for k, (i, j, run) in enumerate(stretches):
         if run:
-            out += [f"{x}|{y}" for x, y in zip(a[i : i + run], b[j : j + run], strict=True)]
+            out += map(known.__getitem__, pairs[at : at + run])
+            at += run
         else:
             to_i, to_j = stretches[k + 1][:2] if k + 1 < len(stretches) else (len(a), len(b))
-            out.append(f"{','.join(a[i:to_i])}|{','.join(b[j:to_j])}")
+            out.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
+            at += to_i - i + to_j - j - 1
     return ";".join(out)
 
 
@@ -115,74 +112,79 @@ def _byte_of_character() -> dict[str, int]:
 
 
 class Tokenizers:
-    """A byte-level tokenizer (A) and a piece model (B) with the bytes of each of their tokens."""
+    """A byte-level tokenizer (A) and a piece model (B) with the bytes of each of their tokens.
+
+    A is run from the ranks of its vocabulary, which is the same if merges stand in the order of the ids they make.
+    """
 
-    def __init__(self, byte_level: str, pieces: str) -> None:
+    def __init__(self, byte_level: str, pieces: str, pattern: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        with open(byte_level, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         byte_of = _byte_of_character()
-        size_a, self.size_b = self.a.get_vocab_size(), self.b.vocab_size()
-        tokens = [self.a.id_to_token(i) or "" for i in range(size_a)]
-        self.bytes_a = [bytes([byte_of[c] for c in t]) if all(c in byte_of for c in t) else t.encode() for t in tokens]
+        vocabulary = {bytes([byte_of[c] for c in t]): i for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made):
+            raise ValueError("merges in another order than their ids")
+        merged = set(made)
+        ranks = {t: i for t, i in vocabulary.items() if len(t) == 1 or i in merged}
+        self.a = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.size_b = self.b.vocab_size()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = t
         own = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(own)]
-        self.length_a, self.length_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.text = [str(i) for i in range(max(size_a, self.size_b))]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both sides for each text; none if the text is empty or one side does not give its bytes back."""
-        # the library's own threads stay out of a task: one text after the other
-        for text in texts:
-            if not text:
-                yield [], []
-                continue
-            try:
-                a = self.a.encode(" " + text, add_special_tokens=False).ids
-                b = self.b.encode(text)
-                whole = (" " + text).encode()
-            except UnicodeEncodeError:  # half of a surrogate pair has no bytes
-                yield [], []
-                continue
-            same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-            yield (a, b) if same else ([], [])
-
-
-_loaded: dict[tuple[str, str], Tokenizers] = {}
-
-
-def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
+        self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.known = _Written(self.size_b)
+
+    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Ids of both sides; none if the text is empty or one side does not give its bytes back."""
+        if not text:
+            return [], []
+        try:
+            whole = (" " + text).encode()
+        except UnicodeEncodeError:  # half of a surrogate pair has no bytes
+            return [], []
+        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+        return (a, b) if same else ([], [])
+
+    def row(self, text: str | None) -> tuple:
+        """n_a, n_b, n_groups, n_links, the digest of the groups, the different pairs of ids and how often each is linked."""
+        a, b = self.encode(text)
+        if not a:
+            return 0, 0, 0, 0, "", b"", b""
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        stretches, left, right = align(np.cumsum(self.length_a[ids_a]).tolist(), np.cumsum(self.length_b[ids_b]).tolist())
+        pairs = ids_a[left] * self.size_b + ids_b[right]
+        digest = hashlib.sha256(written(stretches, a, b, pairs.tolist(), self.known).encode()).hexdigest()
+        pair, often = np.unique(pairs, return_counts=True)
+        return len(a), len(b), sum([run or 1 for _, _, run in stretches]), len(left), digest, pair.tobytes(), often.tobytes()
+
+
+_loaded: dict[tuple[str, str, str], Tokenizers] = {}
+
+
+def tokenizers(*files: str) -> Tokenizers:
     """Both tokenizers, read once in each worker."""
-    if (byte_level, pieces) not in _loaded:
-        _loaded[byte_level, pieces] = Tokenizers(byte_level, pieces)
-    return _loaded[byte_level, pieces]
+    if files not in _loaded:
+        _loaded[files] = Tokenizers(*files)
+    return _loaded[files]
 
 
-def _aligned(batches: Iterator, byte_level: str, pieces: str) -> Iterator:
+def _aligned(batches: Iterator, files: tuple[str, str, str]) -> Iterator:
     """Of rows (row, doc_id, text): the numbers of each text, its groups' digest, and its different pairs of ids."""
     import pyarrow as pa
 
-    both = tokenizers(byte_level, pieces)
+    both = tokenizers(*files)
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
+    names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "often"]
     for batch in batches:
-        rows: list[tuple] = []
-        for a, b in both.encode(batch.column(2).to_pylist()):
-            if not a:
-                rows.append((0, 0, 0, 0, "", b"", b""))
-                continue
-            ends_a = list(accumulate([both.length_a[i] for i in a]))
-            ends_b = list(accumulate([both.length_b[i] for i in b]))
-            found = groups(ends_a, ends_b)
-            left, right = links(found, ends_a, ends_b)
-            text = written(found, [both.text[i] for i in a], [both.text[i] for i in b])
-            pair = np.array(a, np.int64)[left] * both.size_b + np.array(b, np.int64)[right]
-            pair, often = np.unique(pair, return_counts=True)
-            rows.append((len(a), len(b), sum(run or 1 for _, _, run in found), len(left), hashlib.sha256(text.encode()).hexdigest(), pair.tobytes(), often.tobytes()))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
-        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "often"]
+        cols = list(zip(*[both.row(t.as_py()) for t in batch.column(2)], strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
 
@@ -223,10 +225,10 @@ def _head(pairs: DataFrame, most: int) -> tuple[int, DataFrame]:
     return total, pairs.where(F.col("n") >= least) if least is not None else pairs.where("false")
 
 
-def aligned(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", doc_id: str = "doc_id", head_pairs: int = HEAD_PAIRS) -> DataFrame:
+def aligned(docs: DataFrame, byte_level: str, pieces: str, pattern: str, text: str = "text", doc_id: str = "doc_id", head_pairs: int = HEAD_PAIRS) -> DataFrame:
     """For every row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
-    A encodes a blank and the text, B the text; tokens are compared as bytes. ``n_links`` counts pairs of tokens whose
+    A (a byte-level vocabulary with its splitting pattern) encodes a blank and the text, B the text; tokens are compared as bytes. ``n_links`` counts pairs of tokens whose
     bytes overlap, a pair of ids counts as often as it is linked in the corpus, ``n_best`` counts links whose pair has the
     highest count of its id of B (ties included), ``count_sum`` adds the counts up over the links. Null and empty
     texts, and texts that one side does not give back byte for byte, have no tokens: zeros and an empty digest. Rows
@@ -242,9 +244,9 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", d
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, often binary"
     folder = scratch(spark)
-    slim.mapInArrow(lambda it: _aligned(it, byte_level, pieces), schema).write.parquet(folder)
+    slim.mapInArrow(lambda it: _aligned(it, (byte_level, pieces, pattern)), schema).write.parquet(folder)
     texts = spark.read.parquet(folder)
-    size_b = tokenizers(byte_level, pieces).size_b
+    size_b = tokenizers(byte_level, pieces, pattern).size_b
     counted = texts.select("pairs", "often").mapInArrow(lambda it: _summed(it, size_b), "pair long, b long, n long")
     counted = counted.groupBy("pair", "b").agg(F.sum("n").alias("n"))
     counted = kept(counted)
@@ -262,16 +264,11 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", d
             sums, bests, rest, rest_often = [], [], [], []
             for p, c in zip(batch.column("pairs").to_pylist(), batch.column("often").to_pylist(), strict=True):
                 own, often = np.frombuffer(p, np.int64), np.frombuffer(c, np.int64)
-                if not len(pair):
-                    there = np.zeros(len(own), bool)
-                else:
-                    at = np.minimum(np.searchsorted(pair, own), len(pair) - 1)
-                    there = pair[at] == own
-                    sums.append(int((n[at][there] * often[there]).sum()))
-                    bests.append(int(often[there][best[at][there]].sum()))
-                if not len(pair):
-                    sums.append(0)
-                    bests.append(0)
+                at = np.searchsorted(pair, own)
+                there = np.append(pair, -1)[at] == own
+                at, seen = at[there], often[there]
+                sums.append(int((n[at] * seen).sum()))
+                bests.append(int(seen[best[at]].sum()))
                 rest.append(own[~there])
                 rest_often.append(often[~there])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (rest, rest_often)]

@@ -89,7 +89,7 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's groups and links between two tokenizers."""
-    return alignment.aligned(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+    return alignment.aligned(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL, public_tokenizers.PATTERN)
 
 
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
