@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,11 @@ from marginalia.llm.common import kept, scratch, ship
 
 #: Pairs of ids whose counts are sent to every task, at most; the rarer ones beyond are joined.
 HEAD_PAIRS = 1 << 20
-
-
 #: Tokens that a first probe compares.
 _PROBE = 8
+#: Parts of texts whose ids a worker keeps, and the longest of them in characters.
+_PARTS_KEPT, _LONGEST_KEPT = 300_000, 64
+_LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
@@ -139,19 +141,43 @@ class Tokenizers:
         own = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(own)]
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        if any("▁" in p.lstrip("▁") for p in own):
+            raise ValueError("pieces that go on after a blank are not supported")
         self.known = _Written(self.size_b)
+        self.parts: dict[str, tuple[list[int], list[int]] | None] = {}
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none if the text is empty or one side does not give its bytes back."""
-        if not text:
-            return [], []
+    def _learn(self, part: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides for a part of a text; none if one side does not give its bytes back."""
         try:
-            whole = (" " + text).encode()
+            whole = (" " + part).encode()
         except UnicodeEncodeError:  # half of a surrogate pair has no bytes
-            return [], []
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-        return (a, b) if same else ([], [])
+            return None
+        a, b = self.a.encode_ordinary(" " + part), self.b.encode(part)
+        same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
+        found = (a, b) if same else None
+        if len(part) <= _LONGEST_KEPT:
+            if len(self.parts) >= _PARTS_KEPT:
+                self.parts.clear()
+            self.parts[part] = found
+        return found
+
+    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Ids of both sides; none if the text is empty or one side does not give its bytes back.
+
+        Neither side has a token across a lone blank between other characters, where A's pattern and B's pieces begin
+        anew, so texts are encoded part by part, and parts that were met before are looked up.
+        """
+        a: list[int] = []
+        b: list[int] = []
+        if text:
+            known = self.parts
+            for part in _LONE_BLANK.split(text):
+                found = known[part] if part in known else self._learn(part)
+                if found is None:
+                    return [], []
+                a += found[0]
+                b += found[1]
+        return a, b
 
     def row(self, text: str | None) -> tuple:
         """n_a, n_b, n_groups, n_links, the digest of the groups, the different pairs of ids and how often each is linked."""
