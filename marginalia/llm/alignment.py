@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +23,8 @@ from marginalia.llm.common import kept, scratch, ship
 HEAD_PAIRS = 1 << 20
 #: Tokens that a first probe compares.
 _PROBE = 8
-#: Parts of texts whose ids a worker keeps, and the longest of them in characters.
-_PARTS_KEPT, _LONGEST_KEPT = 300_000, 64
-_LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Texts encoded at a time.
+_TEXTS = 200
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
@@ -141,47 +139,27 @@ class Tokenizers:
         own = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(own)]
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
-        if any("▁" in p.lstrip("▁") for p in own):
-            raise ValueError("pieces that go on after a blank are not supported")
         self.known = _Written(self.size_b)
-        self.parts: dict[str, tuple[list[int], list[int]] | None] = {}
-
-    def _learn(self, part: str) -> tuple[list[int], list[int]] | None:
-        """Ids of both sides for a part of a text; none if one side does not give its bytes back."""
-        try:
-            whole = (" " + part).encode()
-        except UnicodeEncodeError:  # half of a surrogate pair has no bytes
-            return None
-        a, b = self.a.encode_ordinary(" " + part), self.b.encode(part)
-        same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-        found = (a, b) if same else None
-        if len(part) <= _LONGEST_KEPT:
-            if len(self.parts) >= _PARTS_KEPT:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none if the text is empty or one side does not give its bytes back.
-
-        Neither side has a token across a lone blank between other characters, where A's pattern and B's pieces begin
-        anew, so texts are encoded part by part, and parts that were met before are looked up.
-        """
-        a: list[int] = []
-        b: list[int] = []
-        if text:
-            known = self.parts
-            for part in _LONE_BLANK.split(text):
-                found = known[part] if part in known else self._learn(part)
-                if found is None:
-                    return [], []
-                a += found[0]
-                b += found[1]
-        return a, b
-
-    def row(self, text: str | None) -> tuple:
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both sides for each text; none if it is empty or one side does not give its bytes back."""
+        whole: dict[int, bytes] = {}
+        for k, text in enumerate(texts):
+            try:
+                if text:
+                    whole[k] = (" " + text).encode()
+            except UnicodeEncodeError:  # half of a surrogate pair has no bytes
+                continue
+        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
+        sides = self.b.encode([texts[k] for k in whole], num_threads=1) if whole else []
+        for (k, own), b in zip(whole.items(), sides, strict=True):
+            # A cuts the bytes and nothing else; B may know another form of a character
+            if b"".join(map(self.bytes_b.__getitem__, b)) == own:
+                out[k] = (self.a.encode_ordinary(" " + texts[k]), b)
+        return out
+
+    def row(self, a: list[int], b: list[int]) -> tuple:
         """n_a, n_b, n_groups, n_links, the digest of the groups, the different pairs of ids and how often each is linked."""
-        a, b = self.encode(text)
         if not a:
             return 0, 0, 0, 0, "", b"", b""
         ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
@@ -210,8 +188,10 @@ def _aligned(batches: Iterator, files: tuple[str, str, str]) -> Iterator:
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "often"]
     for batch in batches:
-        cols = list(zip(*[both.row(t.as_py()) for t in batch.column(2)], strict=True)) or [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+        for lo in range(0, batch.num_rows, _TEXTS):
+            some = batch.slice(lo, _TEXTS)
+            cols = list(zip(*[both.row(a, b) for a, b in both.encode(some.column(2).to_pylist())], strict=True))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
 
 def _summed(batches: Iterator, size_b: int) -> Iterator:
