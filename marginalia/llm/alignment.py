@@ -77,14 +77,17 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, in
 
 
 class _Written(dict):
-    """Pairs of ids, as one number, the way a group of one token on each side is written."""
+    """The way groups are written: a pair of ids, as one number, or the ids of both sides, as two tuples."""
 
     def __init__(self, size_b: int) -> None:
         self.size_b = size_b
 
-    def __missing__(self, pair: int) -> str:
-        text = f"{pair // self.size_b}|{pair % self.size_b}"
-        if len(self) < 1_000_000:
+    def __missing__(self, pair: int | tuple[tuple[int, ...], tuple[int, ...]]) -> str:
+        if isinstance(pair, tuple):
+            text = f"{','.join(map(str, pair[0]))}|{','.join(map(str, pair[1]))}"
+        else:
+            text = f"{pair // self.size_b}|{pair % self.size_b}"
+        if len(self) < 200_000 and (not isinstance(pair, tuple) or len(pair[0]) + len(pair[1]) < 12):
             self[pair] = text
         return text
 
@@ -93,13 +96,13 @@ def written(stretches: list[tuple[int, int, int]], a: list[int], b: list[int], p
     """The groups as text: ``a1,a2|b1;a3|b2,b3``. ``pairs`` has the links' pairs of ids in order."""
     out: list[str] = []
     at = 0
-    for k, (i, j, run) in enumerate(stretches):
+    for (i, j, run), (to_i, to_j, _) in zip(stretches, [*stretches[1:], (len(a), len(b), 0)], strict=True):
         if run:
             out += map(known.__getitem__, pairs[at : at + run])
             at += run
         else:
-            to_i, to_j = stretches[k + 1][:2] if k + 1 < len(stretches) else (len(a), len(b))
-            out.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
+            own = tuple(a[i:to_i]), tuple(b[j:to_j])
+            out.append(known[own])
             at += to_i - i + to_j - j - 1
     return ";".join(out)
 
