@@ -199,8 +199,8 @@ def _schema(frame: DataFrame) -> str:
 
 def finished_runs(spark: SparkSession, root: str) -> DataFrame:
     """run_id, files, matching_files and occurrences of every finished run."""
-    frame = spark.read.option("basePath", f"{root}/{RUNS}").parquet(f"{root}/{RUNS}")
-    return frame.select(F.col("run_id").cast("string").alias("run_id"), "files", "matching_files", "occurrences")
+    rows = spark.read.schema("run_id string, files long, matching_files long, occurrences long").parquet(f"{root}/{RUNS}")
+    return rows.select("run_id", "files", "matching_files", "occurrences")
 
 
 def _is_finished(spark: SparkSession, root: str, run_id: str) -> bool:

@@ -1,13 +1,16 @@
 import json
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.functions import preview
 from marginalia.operators import files, naming
 from marginalia.plans import archive, workspace
 from marginalia.plans.preview import preview_run, write_preview
 from marginalia.rules import CommentRules, JobConfig, PathRules
+from marginalia.sources import listing
 from marginalia.sources.tree import inventory, read_tree
 from marginalia.streaming.runs import archive_stream
 
@@ -164,6 +167,114 @@ def test_summary_names_in_a_group_that_has_most_files(spark):
     assert len({r[0] for r in ranged.selectExpr("spark_partition_id()").collect()}) == 5, "a hot group lies in many ranges"
 
 
+def sequential_names(rows):
+    taken, want = set(), {}
+    for path in sorted(rows):
+        stem, k = path.split("/")[-1].removesuffix(".kt"), 0
+        while (name := f"{stem}-{k}.json" if k else f"{stem}.json") in taken:
+            k += 1
+        taken.add(name)
+        want[path] = name
+    return want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_two_summaries_share_a_name(spark, seed):
+    rng = random.Random(seed)
+    ends = ["0", "01", "1", "2", "3", "4", "5", "11", "30", str(10**19)]
+    stems = ["-".join([rng.choice("XY"), *rng.choices(ends, k=rng.choice([0, 0, 1, 1, 2, 3]))]) for _ in range(300)]
+    rows = [f"/d{rng.randrange(1000):04d}/{i}/{s}.kt" for i, s in enumerate(stems)]
+    frame = spark.createDataFrame([(r,) for r in [*rows, None, None]], "path string").repartition(5)
+    got = naming.summary_names(frame).collect()
+    assert len(got) == len(rows) + 2
+    names = {r.path: r.summary_name for r in got}
+    assert names.pop(None) is None
+    assert names == sequential_names(rows)
+    assert naming.summary_names(frame.limit(0)).count() == 0
+
+
+def test_names_of_three_files_that_clash(spark, job):
+    paths = [f"{ROOT}/kit/{d}" for d in ("a/X.kt", "b/X.kt", "c/X-1.kt")]
+    archive.archive_run(spark, spark.createDataFrame([(p, "// c") for p in paths], "path string, text string"), job, "clash")
+    names = {r.rel_path: r.summary_name for r in archive.read_summaries(spark, job.archive_root, "clash").collect()}
+    assert names == {"kit/a/X.kt": "X.json", "kit/b/X.kt": "X-1.json", "kit/c/X-1.kt": "X-1-1.json"}
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name in ("a/b/One.kt", "a/Two.kt", "Three.kt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("// x")
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "Far.kt").write_text("// far")
+    (root / "a/b/up").symlink_to(root)
+    (root / "a/b/self").symlink_to(root / "a/b")
+    (root / "far").symlink_to(outside)
+    (root / "Same.kt").symlink_to(root / "Three.kt")
+    (root / "broken").symlink_to(root / "nowhere")
+    assert sorted(r.rel_path for r in inventory(spark, str(root)).collect()) == ["Three.kt", "a/Two.kt", "a/b/One.kt"]
+    assert sorted(r.rel_path for r in inventory(spark, str(root), recursive=False).collect()) == ["Three.kt"]
+    # the root itself may be a link
+    (tmp_path / "link").symlink_to(root)
+    assert inventory(spark, str(tmp_path / "link")).count() == 3
+
+
+def test_a_flat_directory_is_listed_by_several_tasks(spark, tmp_path):
+    for k in range(900):
+        (tmp_path / f"f{k:04d}.kt").touch()
+    found = listing.listed(spark, str(tmp_path), page=50)
+    assert sorted(r.rel_path for r in found.collect()) == [f"f{k:04d}.kt" for k in range(900)]
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+
+
+def test_a_run_cut_short_is_not_seen(spark, sources, job, monkeypatch):
+    archive.archive_run(spark, sources, job, "good")
+    seen = archive.read_archive(spark, job.archive_root, "operation_index").count()
+
+    def broken(run):
+        raise RuntimeError("no room")
+
+    with monkeypatch.context() as m:
+        m.setattr(archive, "snapshot", broken)
+        with pytest.raises(RuntimeError):
+            archive.archive_run(spark, sources, job, "bad")
+    assert os.path.isdir(f"{job.archive_root}/operation_index/run_id=bad")
+    assert archive.read_archive(spark, job.archive_root, "operation_index").count() == seen
+    assert {r.run_id for r in archive.read_summaries(spark, job.archive_root).collect()} == {"good"}
+    assert {r.run_id for r in archive.finished_runs(spark, job.archive_root).collect()} == {"good"}
+    with pytest.raises(LookupError):
+        archive.read_archive(spark, job.archive_root, "operation_index", "bad")
+    # a repeat of a finished run that is cut short takes the run away, a further one brings it back
+    with monkeypatch.context() as m:
+        m.setattr(archive, "snapshot", broken)
+        with pytest.raises(RuntimeError):
+            archive.archive_run(spark, sources, job, "good")
+    assert archive.finished_runs(spark, job.archive_root).count() == 0
+    archive.archive_run(spark, sources, job, "good")
+    archive.archive_run(spark, sources, job, "bad")
+    assert archive.read_archive(spark, job.archive_root, "operation_index").count() == 2 * seen
+
+
+@pytest.mark.parametrize("whole_tree", [False, True])
+def test_totals_come_from_the_run(spark, sources, job, whole_tree):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    result = archive.archive(spark, sources.mapInArrow(counted, sources.schema), job, "totals", whole_tree=whole_tree)
+    totals = files.run_totals(sources, job).first()
+    assert (result.files, result.matching_files, result.occurrences) == tuple(totals)
+    assert read.value == sources.count(), "every source is read once"
+    stored = archive.finished_runs(spark, job.archive_root).where("run_id = 'totals'").first()
+    assert tuple(stored)[1:] == tuple(totals)
+    nothing = archive.archive(spark, sources.limit(0), job, "nothing", whole_tree=whole_tree)
+    assert (nothing.files, nothing.matching_files, nothing.occurrences) == (0, 0, 0)
+
+
 def test_tree(spark, tmp_path):
     root = tmp_path / "my tree"
     contents = {

@@ -544,6 +544,25 @@ def summary_names(spark, sf_dir):
     return naming.summary_names(c.NAMED.read(spark, sf_dir))
 
 
+# Stems that end like numbers of other families, in chains, with zeros that no number has, and paths that are null.
+_CLASHING = """case when p_partkey % 97 = 0 then null else '/src/' || p_brand || '/' || p_partkey || '/N' || p_partkey % 25
+    || case p_size % 5 when 0 then '' when 1 then '-' || p_size % 9 when 2 then '-' || p_size % 6 || '-' || p_partkey % 4
+    when 3 then '-0' || p_size % 3 else '' end || '.kt' end"""
+_CLASHING_SQL = f"""WITH files AS (SELECT {_CLASHING} AS path FROM part),
+    stems AS (SELECT path, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM files WHERE path IS NOT NULL),
+    roots AS (SELECT path, stem, regexp_replace(stem, '(-[1-9][0-9]*)+$', '') AS root FROM stems),
+    lists AS (SELECT list(path ORDER BY path) AS paths, list([stem] ORDER BY path) AS stems FROM roots GROUP BY root),
+    named AS (SELECT paths, list_reduce(stems, lambda done, own: list_append(done, list_filter(list_transform(range(0, len(done) + 1),
+        lambda k: own[1] || CASE WHEN k = 0 THEN '' ELSE '-' || k END), lambda c: NOT list_contains(done, c))[1]), []::VARCHAR[]) AS names FROM lists)
+    SELECT unnest(paths) AS path, unnest(names) || '.json' AS summary_name FROM named
+    UNION ALL SELECT path, NULL FROM files WHERE path IS NULL"""
+
+
+@query("summary_names_clashing", _CLASHING_SQL)
+def summary_names_clashing(spark, sf_dir):
+    return naming.summary_names(_table(spark, sf_dir, "part").select(F.expr(_CLASHING).alias("path")))
+
+
 # --- previews --------------------------------------------------------------------------------
 
 _SHORT = "replace(replace(comment_text, chr(13), ''), chr(10), chr(92) || 'n')"
@@ -883,6 +902,24 @@ def inventory_(spark, sf_dir):
     return found.select("rel_path", "length", fresh.alias("fresh"))
 
 
+@query(
+    "inventory_links",
+    f"SELECT {_TREE_NAME} AS rel_path, strlen({_TREE_TEXT})::bigint AS length FROM customer",
+)
+def inventory_links(spark, sf_dir):
+    """A tree whose folders link to each other, to the root and to files: links are neither entered nor listed."""
+    import os
+
+    root = _tree(spark, sf_dir)
+    local = root.removeprefix("file://")
+    folders = sorted(os.listdir(local))
+    for folder, other in zip(folders, [*folders[1:], folders[0]], strict=True):
+        os.symlink(f"{local}/{other}", f"{local}/{folder}/next")
+        os.symlink(local, f"{local}/{folder}/top")
+        os.symlink(f"{local}/{folder}/{min(os.listdir(f'{local}/{folder}'))}", f"{local}/{folder}/copy.sh")
+    return inventory(spark, root).select("rel_path", "length")
+
+
 @query(
     "tree_scan",
     f"""SELECT {_TREE_NAME} AS rel_path, strlen({_TREE_TEXT})::bigint AS length, {_TREE_TEXT} AS text FROM customer
