@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import kept, ship
+from marginalia.llm.common import first_rows, kept, ship
 
 #: Bounds: vectors that the centres are fitted on, and the number of lists.
 SAMPLE, MAX_LISTS = 20_000, 1024
@@ -76,9 +76,15 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its squares neither overflow nor vanish; directions stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def scan_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, cosine) of each query's k best in a cell."""
     turn = rotation(x.shape[1])
+    x, queries = scaled(x), scaled(queries)
     blocks = [np.ascontiguousarray(b) for b in np.array_split(unit(x) @ turn, range(COLUMNS, x.shape[1], COLUMNS), axis=1)]
     asked = np.array_split(unit(queries) @ turn, range(COLUMNS, x.shape[1], COLUMNS), axis=1)
     long_x, long_q = np.sqrt((x * x).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
@@ -140,7 +146,9 @@ def nearest(
     sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
     size, n = (sizes[0]["size"], sizes[0]["count"]) if sizes else (1, 0)
     rows = rows.where(F.size("v") == size)
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()]
+    order = F.xxhash64("vec_id")
+    drawn = first_rows(rows.select("vec_id", "v"), SAMPLE, order, F.col("vec_id")).select(order.alias("order"), "vec_id", "v").collect()
+    sample = [r["v"] for r in sorted(drawn, key=lambda r: (r["order"], r["vec_id"]))]
     lists = max(1, min(MAX_LISTS, round(n**0.5)))
     seen = unit(np.array(sample)) if sample else np.ones((1, size))
     centres = fit_centres(seen, lists)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import kept, ship, utf8
+from marginalia.llm.common import first_rows, kept, ship, utf8
 
 MASK = "[SECRET]"
 THRESHOLD = 0.5
@@ -308,17 +308,17 @@ def fit_on(docs: DataFrame, text: str = "text", path: str = "source", doc_id: st
     of letters are counted over all documents.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).distinct()
+    known = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null")
+    ids = first_rows(known, max_documents, F.xxhash64("doc_id"), F.col("doc_id")).distinct()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     sample = slim.join(F.broadcast(ids), "doc_id", "left_semi")
+    fields = ["value", "before", "after", "path"]
+    order = F.xxhash64(*fields)
+    found = findings(sample, "text", "path", "doc_id").select(*fields).distinct()
+    drawn = first_rows(found, MAX_FINDINGS // 2, order, *map(F.col, fields)).withColumn("order", order).collect()
     natural = [
         Row(path=r.path, value=r.value, before=r.before, after=r.after, label=presumed(r.value, r.before))
-        for r in findings(sample, "text", "path", "doc_id")
-        .select("path", "value", "before", "after")
-        .distinct()
-        .orderBy(F.xxhash64("value", "before", "after", "path"), "value", "before", "after", "path")
-        .limit(MAX_FINDINGS // 2)
-        .collect()
+        for r in sorted(drawn, key=lambda r: (r["order"], *[(r[f] is not None, r[f]) for f in fields]))
     ]
 
     def count(batches: Iterator) -> Iterator:
@@ -329,7 +329,7 @@ def fit_on(docs: DataFrame, text: str = "text", path: str = "source", doc_id: st
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
 
     counted = kept(slim.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"))
-    rows = counted.orderBy(F.desc("n"), "w").limit(MAX_DICTIONARY).collect()
+    rows = sorted(first_rows(counted, MAX_DICTIONARY, F.desc("n"), F.col("w")).collect(), key=lambda r: (-r["n"], r["w"].encode()))
     words = Counter({r["w"]: r["n"] for r in rows})
     at = F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("at")
     pairs = counted.select("w", "n", at).groupBy(F.expr("substring(w, at, 2)").alias("pair")).agg(F.sum("n").alias("n")).collect()

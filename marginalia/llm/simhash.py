@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations
 
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from marginalia.llm.common import fresh, kept, ship, utf8
 from marginalia.llm.components import components
+from marginalia.llm.setlinks import linked_sets
 
 SEED = 42
 PIVOTS = 16
@@ -41,7 +43,7 @@ DEVIATIONS = 3.0
 #: Share of the pairs at the wanted similarity that all samples of bits may miss, by expectation.
 MISSED = 0.005
 #: Distinct fingerprints that a sample of bits leaves together by chance, about.
-BESIDE = 4
+BESIDE = 64
 #: A crowd with more shingles than this is dealt out as pairs of chunks.
 CROWD_SHINGLES = 4_000_000
 
@@ -318,46 +320,14 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float, own: np.ndarray |
     """Links (a, b) that keep together exactly the sets which pairs at ``similarity`` or more connect; with ``own``,
     only pairs of different chunks count.
 
-    Each set's shingles are taken from the rarest on. Two sets can only be similar if the first of them, one more
-    than may be missing, have one in common.
+    The work is that of ``linked_sets``, which bounds pairs by bitmaps and compares what is left.
     """
-    sizes = np.array([len(x) for x in sets])
-    n = len(sets)
-    _, codes, often = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(often), np.int64)
-    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
-    ends = np.cumsum(sizes)
-    ranked = [np.sort(rank[codes[e - k : e]]) for e, k in zip(ends, sizes, strict=True)]
-    heads = [r[: k - math.ceil(similarity * k - 1e-9) + 1] for r, k in zip(ranked, sizes, strict=True)]
-    lists: dict[int, list[int]] = {}
-    root = np.arange(n)  # always the least member
-    mine = np.zeros(len(often), bool)
-    for i in range(n):
-        near = sorted({j for x in heads[i].tolist() for j in lists.get(x, ())})
-        for x in heads[i].tolist():
-            lists.setdefault(x, []).append(i)
-        js = np.array(near, dtype=np.int64)
-        if not len(js):
-            continue
-        js = js[(np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-9)]
-        if own is not None:
-            js = js[own[js] != own[i]]
-        mine[ranked[i]] = True
-        for once in (True, False):  # one of each group first: most groups are settled by it
-            js = js[root[js] != root[i]]
-            some = js[np.unique(root[js], return_index=True)[1]] if once else js
-            for part in np.array_split(some, max(1, int(sizes[some].sum()) >> 22)):
-                if not len(part):
-                    continue
-                starts = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
-                common = np.add.reduceat(mine[np.concatenate([ranked[j] for j in part])].astype(np.int64), starts)
-                similar = common >= similarity * (sizes[part] + sizes[i] - common) - 1e-9
-                for r in np.unique(root[part[similar]]):
-                    low, high = min(r, root[i]), max(r, root[i])
-                    root[root == high] = low
-        mine[ranked[i]] = False
-    nodes = np.flatnonzero(root != np.arange(n))
-    return nodes, root[nodes]
+    exact = Fraction(similarity).limit_denominator(1000)
+    a, b = linked_sets(sets, (exact.numerator, exact.denominator), own)
+    empty = np.flatnonzero([not len(x) for x in sets])
+    if len(empty) > 1 and (own is None or len(np.unique(own[empty])) > 1):  # sets without shingles are alike
+        a, b = np.r_[a, empty[1:]], np.r_[b, np.full(len(empty) - 1, empty[0])]
+    return a, b
 
 
 def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ship, words_of
+from marginalia.llm.common import first_rows, ship, words_of
 
 #: Bounds of the model, and so of what is broadcast.
 MAX_EXAMPLES = 20_000
@@ -182,9 +182,8 @@ def fit(
         .where(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1)
         .groupBy(F.col(doc_id).alias("id"))
         .agg(F.max(F.col(label).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_examples)
     )
+    known = first_rows(known, max_examples, F.xxhash64("id"), F.col("id"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
 
     def met(batches: Iterator) -> Iterator:
