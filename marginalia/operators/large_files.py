@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.chunks import PLAIN, Lexer
 from marginalia.functions.text import count_newlines
 from marginalia.operators.files import wanted
-from marginalia.plans.workspace import kept
+from marginalia.plans.workspace import kept, ship
 from marginalia.rules import CommentRules, JobConfig, root_path
 from marginalia.sources.listing import file_system, listed, local
 
@@ -26,6 +26,7 @@ def cut_texts(sources: DataFrame, rules: CommentRules, size: int = CHUNK) -> Dat
 
     A text of nothing but characters of tags is one chunk. A null text has none.
     """
+    ship(sources.sparkSession)
     tight = Lexer(rules).tight
 
     def cut(batches: Iterator) -> Iterator:
@@ -117,6 +118,7 @@ def find_occurrences(chunks: DataFrame, rules: CommentRules) -> DataFrame:
     file's are put in order by one task (100 bytes for each chunk, so 10 MB for a file of 100 GB). Occurrences that
     meet a cut are put together from their parts, two for each chunk at most.
     """
+    ship(chunks.sparkSession)
     chunks = kept(chunks)
 
     def steps(batches: Iterator) -> Iterator:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import paths
-from marginalia.plans.workspace import kept
+from marginalia.plans.workspace import kept, ship
 from marginalia.rules import CONTAINS, ENDS_WITH, EXACT, LINE_END, STARTS_WITH, CommentRules, RuleError
 
 INCLUDE = "INCLUDE"
@@ -15,6 +18,10 @@ EXCLUDE = "EXCLUDE"
 _RULE = ("include_exclude", "filter_text", "match_type")
 _GRAM = 4
 _BROADCAST_RULES = 20_000
+#: Rules and characters of rules that are made into one automaton, which every task gets; more are joined.
+_AUTOMATON_RULES, _AUTOMATON_CHARS = 200_000, 16 << 20
+#: What stands in front of and behind a path while it is searched.
+_EDGE = "\0"
 
 
 def pattern_match_type(pattern: Column) -> Column:
@@ -115,17 +122,65 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull())))
 
 
+def _automaton(rules: list[tuple[str, str, str]]):
+    """A trie with failure links over the rules' texts, tied to the path's edges where their match type says so.
+
+    A text's value is whether it starts at the path's start, whether it ends at its end, its length, whether it
+    includes and whether it excludes.
+    """
+    import ahocorasick
+
+    found: dict[str, tuple[bool, bool, int, bool, bool]] = {}
+    for action, text, kind in rules:
+        first, last = kind in (EXACT, STARTS_WITH), kind in (EXACT, ENDS_WITH)
+        own = (_EDGE if first else "") + text + (_EDGE if last else "")
+        included, excluded = found[own][3:] if own in found else (False, False)
+        found[own] = (first, last, len(own), included or action == INCLUDE, excluded or action == EXCLUDE)
+    out = ahocorasick.Automaton()
+    for own, value in found.items():
+        out.add_word(own, value)
+    out.make_automaton()
+    return out
+
+
+def _passing(rules: list[tuple[str, str, str]], includes: bool):
+    """A function of paths: whether each passes the rules. ``includes``: a path has to be included by one."""
+    held: list = []
+
+    def passes(paths_: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if not held:
+            held.append(_automaton(rules))
+        automaton = held[0]
+        for some in paths_:
+            out = []
+            for path in some:
+                if path is None:
+                    out.append(False)
+                    continue
+                included, excluded, size = not includes, False, len(path) + 2
+                for end, (first, last, length, has_in, has_out) in automaton.iter(_EDGE + path + _EDGE) if len(automaton) else ():
+                    if (first and end + 1 != length) or (last and end + 1 != size):  # the edge character inside a path
+                        continue
+                    included = included or has_in
+                    if has_out:
+                        excluded = True
+                        break
+                out.append(included and not excluded)
+            yield pd.Series(out, dtype=bool)
+
+    return F.pandas_udf(passes, "boolean")
+
+
 def filter_by_rules(frame: DataFrame, rules: DataFrame, base: str = "") -> DataFrame:
     """Rows of ``frame`` whose ``path`` passes the rules (include_exclude, filter_text, match_type).
 
     A null path passes no rules, not even an empty table of them. A rule with a null, or with an action or match type
     that does not exist, fails the job.
 
-    Rules are joined, however many there are: each is looked up by the part of ``_GRAM`` characters of its text (or
-    its whole text, if shorter) that the fewest paths have, and tested on the paths that have that part. So a path
-    gives one row for each of its positions and used part size, whatever the rules, and a part that most paths have
-    is used by a rule only if all its parts are like that. The rules are broadcast if their counted number allows it;
-    else both sides are shuffled, and Spark may split the parts that many paths have.
+    Up to 200,000 rules (counted, with their characters) become one automaton that every task gets: a path is read once,
+    whatever the rules, gives no rows but its own, and nothing is shuffled. More are joined: each is looked up by the
+    part of ``_GRAM`` characters of its text (or its whole text, if shorter) that the fewest paths have, and tested on
+    the paths that have that part.
     """
     table = kept(_checked(rules))
     matches_all = (F.col("filter_text") == "") & (F.col("match_type") != EXACT)
@@ -136,7 +191,16 @@ def filter_by_rules(frame: DataFrame, rules: DataFrame, base: str = "") -> DataF
         F.coalesce(F.bool_or(is_of(INCLUDE) & matches_all), F.lit(False)).alias("all_in"),
         F.coalesce(F.bool_or(is_of(EXCLUDE) & matches_all), F.lit(False)).alias("all_out"),
         F.collect_set(F.least(F.length("filter_text"), F.lit(_GRAM))).alias("sizes"),
+        F.coalesce(F.sum(F.length("filter_text") + 2), F.lit(0)).alias("chars"),
+        F.coalesce(F.bool_or(F.contains("filter_text", F.lit(_EDGE))), F.lit(False)).alias("edges"),
     ).first()
+    if known.all_out:
+        return frame.where("false")
+    if known.n <= _AUTOMATON_RULES and known.chars <= _AUTOMATON_CHARS and not known.edges:
+        rows = [tuple(r) for r in table.where(~matches_all).select(*_RULE).collect()]
+        ship(frame.sparkSession)
+        passes = _passing(rows, known.includes and not known.all_in)
+        return frame.where(passes(paths.below(F.col("path"), base)))
     sizes = sorted(known.sizes)
     sub_path = paths.below(F.col("path"), base)
     unique = frame.select("path").where("path is not null").distinct().select("path", sub_path.alias("sub_path"))
@@ -169,8 +233,6 @@ def filter_by_rules(frame: DataFrame, rules: DataFrame, base: str = "") -> DataF
         .groupBy("path")
         .agg(F.bool_or(is_of(INCLUDE)).alias("included"), F.bool_or(is_of(EXCLUDE)).alias("excluded"))
     )
-    if known.all_out:
-        return frame.where("false")
     passing = frame.where("path is not null")
     if not known.includes or known.all_in:
         return passing.join(hits.where("excluded"), "path", "left_anti")

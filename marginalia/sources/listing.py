@@ -16,7 +16,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans.workspace import kept
+from marginalia.plans.workspace import kept, ship
 from marginalia.rules import root_path
 
 #: Names in a page.
@@ -79,6 +79,7 @@ def listed(spark: SparkSession, root: str, recursive: bool = True, page: int = P
     The root itself may be a link or a single file. Below it links are left out, to files as well as to directories. A
     directory that is gone when it is looked into counts as empty.
     """
+    ship(spark)
     root = local(root)
     open_fs = file_system
 

@@ -142,3 +142,30 @@ def test_the_paths_are_never_the_broadcast_side(spark, monkeypatch):
         assert "Cartesian" not in plan and "NestedLoop" not in plan
         assert plan.count("Generate explode(CASE") <= 3, "a path gives rows for one size of parts only"
         assert not any("BuildLeft, false" in x and "Inner" in x for x in joins)
+
+
+@pytest.mark.parametrize("automaton", [0, 10**6])
+@pytest.mark.parametrize("actions", [("INCLUDE", "EXCLUDE"), ("EXCLUDE",)])
+def test_rules_in_an_automaton_and_in_a_join(spark, monkeypatch, automaton, actions):
+    """Paths with the character that marks a path's edges, rules with it, and all match types for the same texts."""
+    monkeypatch.setattr(rule_tables, "_AUTOMATON_RULES", automaton)
+    rng = random.Random(12)
+    pieces = ["a", "b/", "\0", "é_", "/x.kt"]
+    files = sorted({"".join(rng.choices(pieces, k=rng.randint(0, 5))) for _ in range(300)})
+    for texts in (["a", "b/", "a\0b/", "", "/x.kt"], ["a", "b/a", "ab/", "é_/x.kt"]):
+        listed = [(rng.choice(actions), t, m) for t in texts for m in ("EXACT", "STARTS_WITH", "ENDS_WITH", "CONTAINS") if (t or m == "EXACT") and rng.random() < 0.7]
+        of = lambda kind: tuple(PathRule(t, m) for a, t, m in listed if a == kind)  # noqa: B023, E731
+        want = sorted(f for f in files if passing(f, PathRules(of("INCLUDE"), of("EXCLUDE"))))
+        frame = spark.createDataFrame([(f,) for f in [*files, None]], "path string")
+        got = rule_tables.filter_by_rules(frame, spark.createDataFrame(listed, RULE_TABLE))
+        assert sorted(r.path for r in got.collect()) == want
+
+
+def test_an_automaton_gives_no_rows_and_no_exchange(spark):
+    frame = spark.range(3000).selectExpr("concat('/src/dir', id % 700, '/File', id, '.kt') as path")
+    for n in (10, 100_000):
+        rules = spark.range(n).selectExpr("'EXCLUDE' as include_exclude", "concat('/dir', id, '/') as filter_text", "'CONTAINS' as match_type")
+        left = rule_tables.filter_by_rules(frame, rules)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" not in plan and "Join" not in plan
+        assert left.count() == sum(k % 700 >= n for k in range(3000))
