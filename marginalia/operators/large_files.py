@@ -112,7 +112,8 @@ def _begins(frame: pd.DataFrame, lexer: Lexer) -> pd.DataFrame:
 
 
 def find_occurrences(chunks: DataFrame, rules: CommentRules) -> DataFrame:
-    """One row per occurrence: path, pos, lines, comment_text, as ``files.find_occurrences`` has them for whole texts.
+    """One row per occurrence: path, pos, lines, comment_text, as ``files.find_occurrences`` has them for whole texts, but
+    with places as longs.
 
     Chunks are looked at twice, each by itself. In between only numbers are shuffled, a few for each chunk, and one
     file's are put in order by one task (100 bytes for each chunk, so 10 MB for a file of 100 GB). Occurrences that
@@ -166,11 +167,11 @@ def find_occurrences(chunks: DataFrame, rules: CommentRules) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda p: p["text"]), "").alias("text"),
     )
     found = whole.unionByName(joined.drop("run"))
-    first, text = F.col("first").cast("int"), F.col("text")
+    first, text = F.col("first"), F.col("text")
     inside = count_newlines(text) - F.endswith(text, F.lit("\n")).cast("int")
     return found.select(
         "path",
         F.struct(first.alias("first"), (first + F.length(text) - 1).alias("last")).alias("pos"),
-        F.struct(F.col("line").cast("int").alias("first"), (F.col("line").cast("int") + inside).alias("last")).alias("lines"),
+        F.struct(F.col("line").alias("first"), (F.col("line") + inside).alias("last")).alias("lines"),
         text.alias("comment_text"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import paths, preview, scan, spans, text, times
-from marginalia.operators import files, naming, rule_tables
+from marginalia.operators import files, large_files, naming, rule_tables
 from marginalia.plans import archive
 from marginalia.plans.preview import preview_run, write_preview
 from marginalia.plans.workspace import shared_dir
@@ -902,6 +902,17 @@ def inventory_(spark, sf_dir):
     return found.select("rel_path", "length", fresh.alias("fresh"))
 
 
+@query(
+    "occurrences_in_chunks",
+    f"{o.occurrences(c.ODD)} SELECT {_RANGES} FROM occ",
+)
+def occurrences_in_chunks(spark, sf_dir):
+    """Texts cut into chunks of some hundred characters, which several rows of a text hold."""
+    chunks = large_files.cut_texts(c.ODD.read(spark, sf_dir), c.ODD.rules, 400)
+    found = files.flatten(large_files.find_occurrences(chunks, c.ODD.rules))
+    return found.select("path", *[F.col(n).cast("int").alias(n) for n in ("first", "last", "line_first", "line_last")], "comment_text")
+
+
 @query(
     "inventory_links",
     f"SELECT {_TREE_NAME} AS rel_path, strlen({_TREE_TEXT})::bigint AS length FROM customer",
