@@ -32,7 +32,7 @@ Z, LEAST_SHARE = 2.0, 0.5
 #: Strengths of the prior that leave-one-out chooses from.
 PRIORS = (0.25, 0.5, 1.0)
 EVIDENCE = 3
-_CACHE = 1 << 16
+_CACHE = 1 << 13
 
 
 @dataclass
