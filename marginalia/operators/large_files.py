@@ -24,7 +24,8 @@ _CHUNKS = "path string, seq long, text string"
 def cut_texts(sources: DataFrame, rules: CommentRules, size: int = CHUNK) -> DataFrame:
     """Chunks (path, seq, text) of ``sources`` (path, text), of ``size`` characters and the few up to where a cut may stand.
 
-    A text of nothing but characters of tags is one chunk. A null text has none.
+    Paths are unique. A text of nothing but characters of tags is one chunk. A null text has none, and rows without a path
+    are left out.
     """
     ship(sources.sparkSession)
     tight = Lexer(rules).tight
@@ -45,7 +46,7 @@ def cut_texts(sources: DataFrame, rules: CommentRules, size: int = CHUNK) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([seq], pa.int64()), pa.array([text[begin:end]], pa.string())], names=["path", "seq", "text"])
                     begin, seq = end, seq + 1
 
-    return sources.select("path", "text").mapInArrow(cut, _CHUNKS)
+    return sources.where("path is not null").select("path", "text").mapInArrow(cut, _CHUNKS)
 
 
 def read_chunks(spark: SparkSession, root: str, config: JobConfig, size: int = CHUNK) -> DataFrame:
