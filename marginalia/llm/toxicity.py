@@ -1,36 +1,39 @@
 """Toxicity by the nearest labelled examples.
 
-Texts become TF-IDF vectors over the words that go with the label, the 10 labelled examples with the largest cosine
-are found exactly with a block-max inverted index, and vote with their cosine as weight. All words of a text would
-drown the few that matter in nearness of topic, so the vocabulary holds the words of which at least half of the
-training texts with them are toxic by the lower end of a confidence interval.
+Texts become TF-IDF vectors over all words of the labelled examples. The 10 examples with the largest cosine are found
+exactly with a block-max inverted index and vote with their cosine as weight; a logistic curve fitted by leave-one-out
+turns the votes into a score. So that nearness is not nearness of topic alone, a word's weight grows, by a bounded
+factor, with the share of toxic ones among the training texts that have it. No word is left out.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import first_rows, ship, words_of
+from marginalia.llm.common import first_rows, kept, ship, utf8, words_of
 
-#: Bounds of the model, and so of what is broadcast.
-MAX_EXAMPLES = 20_000
-MAX_WORDS = 8_192
+#: Bounds of the model, and so of what is broadcast: examples, and their words, each counted once an example.
+MAX_EXAMPLES = 4_096
+MAX_POSTINGS = 2_000_000
 NEIGHBOURS = 10
 BLOCK = 32
 THRESHOLD = 0.7
-#: For the vocabulary: how sure, and the least share of toxic texts among those with the word.
-Z, LEAST_SHARE = 2.0, 0.5
-#: Strengths of the prior that leave-one-out chooses from.
-PRIORS = (0.25, 0.5, 1.0)
+#: A word weighs up to 1 + CLASS_WEIGHT times its inverse document frequency; Z is how sure its share has to be.
+CLASS_WEIGHT, Z = 30.0, 2.0
+#: Strength of the prior among the votes.
+STRENGTH = 0.5
+#: Examples that stand in one block should be alike: they are laid out by which of so many frequent words they have.
+SIGNATURE = 24
 EVIDENCE = 3
 _CACHE = 1 << 13
 
@@ -41,7 +44,7 @@ class Examples:
     are its postings (example, weight) by example, and the largest weight in each block that has it."""
 
     words: dict[bytes, int]
-    idf: np.ndarray
+    factor: np.ndarray  # inverse document frequency times class weight
     labels: np.ndarray
     ids: np.ndarray
     starts: np.ndarray  # postings of word w: starts[w] to starts[w + 1]
@@ -52,17 +55,18 @@ class Examples:
     tops: np.ndarray
     block_at: np.ndarray  # where the block's postings begin
     prior: float
-    strength: float
-    unknown: float  # score of a text without a word of the vocabulary
+    slope: float
+    shift: float
+    unknown: float  # score of a text that shares no word with an example
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of a text: word numbers and weights, empty without words of the vocabulary."""
+        """The unit vector of a text: word numbers and weights, empty if it shares none with an example."""
         known = self.words
         counts = Counter([known[w] for w in words_of(text) if w in known])
         if not counts:
             return np.empty(0, np.int64), np.empty(0)
         at = np.array(sorted(counts))
-        x = (1 + np.log([counts[k] for k in at])) * self.idf[at]
+        x = (1 + np.log([counts[k] for k in at])) * self.factor[at]
         return at, x / np.sqrt((x * x).sum())
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -70,54 +74,88 @@ class Examples:
 
         Bounds of blocks are summed from the words' block maxima; blocks are scored in falling order of their bounds,
         some at a time, until no bound is above the k-th best cosine found."""
-        part = [slice(self.block_starts[w], self.block_starts[w + 1]) for w in at]
-        block = np.concatenate([self.blocks[s] for s in part]) if part else np.empty(0, np.int64)
-        if not len(block):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = np.concatenate([self.tops[s] * v for s, v in zip(part, x, strict=True)])
-        places = np.concatenate([np.arange(s.start, s.stop) for s in part])
-        value = np.repeat(x, [s.stop - s.start for s in part])
-        order = np.argsort(block, kind="stable")
-        block, places, value = block[order], places[order], value[order]
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        total = np.add.reduceat(bound[order], first)
-        ends = np.r_[first[1:], len(block)]
+        found, cosines = np.empty(0, np.int64), np.empty(0)
+        places, size = _spread(self.block_starts[at], self.block_starts[at + 1])
+        if not len(places):
+            return found, cosines
+        block, value = self.blocks[places], np.repeat(x, size)
+        total = np.bincount(block, self.tops[places] * value)
         falling = np.argsort(-total, kind="stable")
-        found, cosines, least, step, done = np.empty(0, np.int64), np.empty(0), 0.0, 4, 0
+        falling = falling[total[falling] > 0]
+        least, step, done = 0.0, 8, 0
         while done < len(falling) and (len(found) < k or total[falling[done]] >= least - 1e-9):
-            take = falling[done : done + step]
-            done, step = done + step, step * 2
-            entries = np.concatenate([np.arange(first[b], ends[b]) for b in take])
-            lo = self.block_at[places[entries]]
-            size = self.block_at[places[entries] + 1] - lo
-            spots = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            who, where = np.unique(self.rows[spots], return_inverse=True)
-            score = np.bincount(where, self.weights[spots] * np.repeat(value[entries], size))
-            if but >= 0:
-                who, score = who[who != but], score[who != but]
-            found, cosines = np.concatenate([found, who]), np.concatenate([cosines, np.minimum(score, 1.0).round(9)])
+            wanted = np.zeros(len(total), bool)
+            wanted[falling[done : done + step]] = True
+            wanted &= total >= least - 1e-9
+            done, step = done + step, step * 4
+            entries = np.flatnonzero(wanted[block])
+            spots, size = _spread(self.block_at[places[entries]], self.block_at[places[entries] + 1])
+            score = np.bincount(self.rows[spots], self.weights[spots] * np.repeat(value[entries], size))
+            if 0 <= but < len(score):
+                score[but] = 0.0
+            who = np.flatnonzero(score)
+            new = np.minimum(score[who], 1.0).round(9)
+            if len(who) > k:
+                best = new >= np.partition(new, len(new) - k)[len(new) - k]
+                who, new = who[best], new[best]
+            found, cosines = np.concatenate([found, who]), np.concatenate([cosines, new])
             best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
             least = cosines[-1] if len(found) == k else 0.0
         return found, cosines
 
     def score(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic votes, drawn to the prior where the neighbours are far."""
+        """The calibrated share of toxic votes, drawn to the prior where the neighbours are far."""
         if not len(found):
             return self.unknown
-        votes = float(cosines @ self.labels[found])
-        return (votes + self.strength * self.prior) / (float(cosines.sum()) + self.strength)
+        odds = _log_odds(float(cosines @ self.labels[found]), float(cosines.sum()), self.prior)
+        return float(_logistic(self.slope * odds + self.shift))
+
+
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and the ranges' lengths."""
+    size = stop - start
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum()), size
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _log_odds(votes, total, prior: float):
+    share = (votes + STRENGTH * prior) / (total + STRENGTH)
+    return np.log(share / (1 - share))
+
 
+def _class_weights(size: int, found: list[tuple], alike: list[int]) -> np.ndarray:
+    """1 to 1 + CLASS_WEIGHT for each word, by the lower end of a confidence interval (Wilson) for the share of toxic
+    ones among the different texts with the word; ``alike`` has a hash of each example's text."""
+    n, toxic = np.zeros(size), np.zeros(size)
+    once: dict[int, tuple] = {}
+    for (_, y, at, _), k in zip(found, alike, strict=True):
+        once[k] = max(y, once[k][0]) if k in once else y, at
+    for y, at in once.values():
+        n[at] += 1
+        toxic[at] += y
+    n = np.maximum(n, 1)
+    share = toxic / n
+    sure = (share + Z * Z / (2 * n) - Z * np.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return 1 + CLASS_WEIGHT * np.clip(sure, 0, 1)
 
-def _index(words: list[bytes], idf: np.ndarray, found: list[tuple]) -> Examples:
+
+def _index(words: list[bytes], factor: np.ndarray, found: list[tuple]) -> Examples:
     """found: (id, label, word numbers, counts) of each example, in a fixed order."""
     n, size = len(found), len(words)
+    spread = np.bincount(np.concatenate([f[2] for f in found]), minlength=size) if size else np.empty(0, np.int64)
+    frequent = np.argsort(-spread, kind="stable")[:SIGNATURE]
+    found = sorted(found, key=lambda f: np.isin(frequent, f[2]).tobytes(), reverse=True)
     rows, cols, values = [], [], []
     for row, (_, _, at, counts) in enumerate(found):
         if len(at):
-            x = (1 + np.log(np.asarray(counts, float))) * idf[np.asarray(at)]
+            x = (1 + np.log(counts)) * factor[at]
             rows.append(np.full(len(at), row))
-            cols.append(np.asarray(at))
+            cols.append(at)
             values.append(x / np.sqrt((x * x).sum()))
     r, c, v = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((rows, np.int64), (cols, np.int64), (values, float)))
     order = np.lexsort((r, c))
@@ -128,34 +166,35 @@ def _index(words: list[bytes], idf: np.ndarray, found: list[tuple]) -> Examples:
     bare = np.array([not len(at) for _, _, at, _ in found], bool)
     prior = (labels.sum() + 0.5) / (n + 1)
     out = Examples(
-        {w: k for k, w in enumerate(words)}, idf, labels, np.array([i for i, _, _, _ in found], dtype=object), starts, r, v,
+        {w: k for k, w in enumerate(words)}, factor, labels, np.array([i for i, _, _, _ in found], dtype=object), starts, r, v,
         np.searchsorted(c[new], np.arange(size + 1)), r[new] // BLOCK, np.maximum.reduceat(v, new) if len(new) else np.empty(0),
-        np.r_[new, len(c)], prior, 1.0, min(prior, (labels[bare].sum() + prior) / (bare.sum() + 1)),
+        np.r_[new, len(c)], prior, 1.0, 0.0, min(prior, (labels[bare].sum() + prior) / (bare.sum() + 1)),
     )
     return _calibrated(out)
 
 
 def _calibrated(model: Examples) -> Examples:
-    """Choose the prior's strength by the log loss of the examples, each scored by the others."""
-    tried = range(0, len(model.labels), max(1, len(model.labels) // 2000))
+    """Fit slope and shift of the logistic curve on up to 2000 examples, each with the votes of the others (Newton's
+    method, drawn a little to slope 1 and shift 0)."""
     by_row = np.argsort(model.rows, kind="stable")
     word = np.repeat(np.arange(len(model.starts) - 1), np.diff(model.starts))[by_row]
     bounds = np.searchsorted(model.rows[by_row], np.arange(len(model.labels) + 1))
     near = []
-    for r in tried:
+    for r in range(0, len(model.labels), max(1, len(model.labels) // 2000)):
         s = slice(bounds[r], bounds[r + 1])
-        if s.stop > s.start:
-            found, cosines = model.nearest(word[s], model.weights[by_row[s]], but=r)
-            if len(found):
-                near.append((model.labels[r], float(cosines @ model.labels[found]), float(cosines.sum())))
+        found, cosines = model.nearest(word[s], model.weights[by_row[s]], but=r)
+        if len(found):
+            near.append((model.labels[r], float(cosines @ model.labels[found]), float(cosines.sum())))
     if near:
         y, votes, total = map(np.array, zip(*near, strict=True))
-
-        def loss(a: float) -> float:
-            p = np.clip((votes + a * model.prior) / (total + a), 1e-6, 1 - 1e-6)
-            return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-        model.strength = min(PRIORS, key=loss)
+        z, at = _log_odds(votes, total, model.prior), np.array([1.0, 0.0])
+        for _ in range(50):
+            p = _logistic(at[0] * z + at[1])
+            pull = np.array([((p - y) * z).sum(), (p - y).sum()]) + 0.1 * (at - [1.0, 0.0])
+            w = p * (1 - p)
+            bend = np.array([[(w * z * z).sum() + 0.1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
+            at = at - np.clip(np.linalg.solve(bend, pull), -1, 1)
+        model.slope, model.shift = float(max(at[0], 0.1)), float(at[1])
     return model
 
 
@@ -166,14 +205,15 @@ def fit(
     doc_id: str = "doc_id",
     label: str = "toxic",
     max_examples: int = MAX_EXAMPLES,
-    max_words: int = MAX_WORDS,
+    max_postings: int = MAX_POSTINGS,
 ) -> Examples:
     """Learn from the labelled rows whose crc32 of the id as text is not 1 modulo 3.
 
-    At most ``max_examples`` labelled ids are used (those with the smallest hashes) and ``max_words`` words (the most
-    certain ones); the inverse document frequencies are counted over all documents. An id with several labels counts
-    as toxic if one says so; rows that repeat an id are an example each, rows without an id or label are none. Equal
-    texts count once for the vocabulary. With no labelled rows every score is 0.5 or less.
+    At most ``max_examples`` labelled rows are used (those whose ids have the smallest hashes), and of these, in that
+    order, those whose different words stay within ``max_postings`` in all. Every word of an example has its place; the
+    inverse document frequencies are counted over all documents. An id with several labels counts as toxic if one says
+    so; rows that repeat an id are an example each, rows without an id or label are none. Equal texts count once for
+    the words' class weights. With no labelled rows every score is 0.5 or less.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -185,73 +225,60 @@ def fit(
     )
     known = first_rows(known, max_examples, F.xxhash64("id"), F.col("id"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    schema = T.StructType([texts.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("w", T.ArrayType(T.BinaryType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
 
-    def met(batches: Iterator) -> Iterator:
+    def counted(batches: Iterator) -> Iterator:
         for b in batches:
-            out_w, out_y, out_k = [], [], []
-            for t, y, k in zip(*(b.column(c).to_pylist() for c in ("text", "y", "k")), strict=True):
-                own = set(words_of(t))
-                out_w.extend(own)
-                out_y.extend([y] * len(own))
-                out_k.extend([k] * len(own))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_w, pa.binary()), pa.array(out_y, pa.int32()), pa.array(out_k, pa.int64())], ["w", "y", "k"]
-            )
-
-    once = texts.groupBy(F.xxhash64("text").alias("k")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
-    share = F.col("a") / F.col("n")
-    lower = (
-        share + Z * Z / (2 * F.col("n")) - Z * F.sqrt(share * (1 - share) / F.col("n") + Z * Z / (4 * F.col("n") * F.col("n")))
-    ) / (1 + Z * Z / F.col("n"))
-    words = (
-        once.mapInArrow(met, "w binary, y int, k long")
-        .groupBy("w")
-        .agg(F.count("*").alias("n"), F.sum("y").alias("a"))
-        .select("w", lower.alias("sure"))
-        .where(F.col("sure") >= LEAST_SHARE)
-        .orderBy(F.desc("sure"), "w")
-        .limit(max_words)
-        .collect()
-    )
-    words = sorted(bytes(r["w"]) for r in words)
+            found = [sorted(Counter(words_of(t.as_py())).items()) for t in b.column("text")]
+            w = pa.array([[w for w, _ in f] for f in found], pa.list_(pa.binary()))
+            n = pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("k"), w, n], ["id", "y", "k", "w", "n"])
+
+    rows = texts.select("id", "y", F.xxhash64("text").alias("k"), "text").mapInArrow(counted, schema)
+    order = [F.xxhash64("id"), F.col("id"), F.col("k")]
+    rows = kept(first_rows(rows, max_examples, *order).withColumn("size", F.size("w")))
+    fits, left = [], max_postings
+    for r in rows.select("id", "k", "size").orderBy(*order, "size").collect():  # max_examples rows of three numbers
+        fits.append(r["size"] <= left)
+        left -= r["size"] if fits[-1] else 0
+    table = rows.orderBy(*order, "size").select("id", "y", "k", F.when(F.col("size") <= max_postings, F.col("w")).alias("w"), "n").toArrow()
+    table = table.filter(pa.array(fits, pa.bool_()))
+    flat = table["w"].combine_chunks().flatten()
+    words = pc.unique(flat)
+    words = words.take(pc.sort_indices(words))
+    numbers = pc.index_in(flat, words).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = words.to_pylist()
     number = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
 
     def frequencies(batches: Iterator) -> Iterator:
         own, counts, n = number.value, np.zeros(len(number.value), np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in b.column(0):
                 n += 1
-                hit = {own[w] for w in words_of(t) if w in own}
-                if hit:
-                    counts[list(hit)] += 1
+                hit = [own[w] for w in set(words_of(t.as_py())) if w in own]
+                counts[hit] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, counts[at]])], ["w", "n"])
 
-    seen = {r["w"]: r["n"] for r in docs.select(text).mapInArrow(frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    total = seen.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + seen.get(k, 0))) + 1 for k in range(len(words))])
-
-    def counted(batches: Iterator) -> Iterator:
-        own = number.value
-        for b in batches:
-            found = [Counter([own[w] for w in words_of(t) if w in own]) for t in b.column("text").to_pylist()]
-            at = [sorted(c) for c in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array([[c[k] for k in a] for c, a in zip(found, at, strict=True)], pa.list_(pa.int32()))],
-                ["id", "y", "at", "n"],
-            )
+    seen = docs.select(text).mapInArrow(frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    number.destroy()
+    at, n = seen["w"].to_numpy(), seen["n"].to_numpy()
+    frequency = np.zeros(len(words))
+    frequency[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + frequency)) + 1
 
-    id_type = texts.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("y", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
-    # at most max_examples rows unless ids repeat; those that repeat are cut to the same bound
-    rows = texts.select("id", "y", "text").mapInArrow(counted, schema).orderBy(F.xxhash64("id"), "id", "at", "n").limit(max_examples).collect()
-    return _index(words, idf, [(r["id"], r["y"], r["at"], r["n"]) for r in rows])
+    ends = np.cumsum([0, *pc.list_value_length(table["w"]).to_pylist()])
+    counts = table["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    found = [
+        (i, y, numbers[a:b], counts[a:b]) for i, y, a, b in zip(table["id"].to_pylist(), table["y"].to_pylist(), ends[:-1], ends[1:], strict=True)
+    ]
+    return _index(words, idf * _class_weights(len(words), found, table["k"].to_pylist()), found)
 
 
 def score(docs: DataFrame, model: Examples, text: str = "text", names: tuple[str, str, str] = ("score", "predicted", "evidence"), threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the score (0 to 1), whether it reaches ``threshold`` (1 or 0), and the evidence: the nearest
     examples as (id, cosine, label). One pass; the model, whose size is bounded, is broadcast. Null and empty texts,
-    and texts without a word of the vocabulary, get the share of toxic ones among such examples and no evidence."""
+    and texts that share no word with an example, get the share of toxic ones among such examples and no evidence."""
     at = docs.columns.index(text)
     ship(docs.sparkSession)
     model_everywhere = docs.sparkSession.sparkContext.broadcast(model)
@@ -263,13 +290,13 @@ def score(docs: DataFrame, model: Examples, text: str = "text", names: tuple[str
         memo: dict[bytes, tuple] = {}
         for b in batches:
             out = []
-            for t in b.column(at).to_pylist():
-                words, x = m.vector(t)
-                key = words.tobytes() + x.tobytes()
+            for t in b.column(at):
+                t = t.as_py()
+                key = hashlib.blake2b(utf8(t), digest_size=16).digest()
                 if key not in memo:
                     if len(memo) >= _CACHE:
                         memo.clear()
-                    found, cosines = m.nearest(words, x)
+                    found, cosines = m.nearest(*m.vector(t))
                     memo[key] = m.score(found, cosines), [
                         {"id": str(m.ids[f]), "cosine": float(c), "label": int(m.labels[f])}
                         for f, c in zip(found[:EVIDENCE], cosines[:EVIDENCE], strict=True)

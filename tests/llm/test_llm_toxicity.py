@@ -52,6 +52,29 @@ def test_search_is_exact(fitted):
         assert cosines == pytest.approx(scores[want])
 
 
+def test_every_word_counts(fitted):
+    """No word of an example is left out: a text of clean words alone has neighbours, and class weights are bounded."""
+    _, _, model = fitted
+    assert {f"w{k}".encode() for k in range(400)} <= set(model.words)
+    found, cosines = model.nearest(*model.vector("w1 w2 w3 w4 w5"))
+    assert len(found) == toxicity.NEIGHBOURS and (cosines > 0).all()
+    weights = toxicity._class_weights(3, [(0, 1, np.array([0, 1]), None), (1, 0, np.array([1, 2]), None), (2, 0, np.array([1, 2]), None)], [7, 8, 8])
+    assert weights[0] > weights[1] > weights[2] == 1
+    assert weights.max() <= 1 + toxicity.CLASS_WEIGHT
+
+
+def test_the_whole_text_counts_in_the_length(fitted):
+    _, _, model = fitted
+    near = [model.nearest(*model.vector("idiot" + " ".join(["", *(f"w{k}" for k in range(n))])))[1][0] for n in (0, 100, 400)]
+    assert near[0] > near[1] and near[0] > 1.5 * near[2]
+
+
+def test_examples_within_a_bound_of_postings(fitted):
+    docs, labels, _ = fitted
+    small = toxicity.fit(docs, labels, max_examples=200, max_postings=3000)
+    assert 0 < len(small.labels) <= 200 and 2900 < len(small.rows) <= 3000
+
+
 def test_labels_of_held_out_rows_play_no_part(fitted):
     docs, labels, model = fitted
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
