@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from marginalia.llm.common import first_rows, kept, ship, utf8, words_of
 
 #: Bounds of the model, and so of what is broadcast: examples, and their words, each counted once an example.
-MAX_EXAMPLES = 4_096
-MAX_POSTINGS = 2_000_000
+MAX_EXAMPLES = 3_072
+MAX_POSTINGS = 1_500_000
 NEIGHBOURS = 10
 BLOCK = 32
 THRESHOLD = 0.7
@@ -61,12 +61,15 @@ class Examples:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of a text: word numbers and weights, empty if it shares none with an example."""
-        known = self.words
-        counts = Counter([known[w] for w in words_of(text) if w in known])
-        if not counts:
+        counts = Counter(words_of(text))
+        own = list(self.words.keys() & counts.keys())
+        if not own:
             return np.empty(0, np.int64), np.empty(0)
-        at = np.array(sorted(counts))
-        x = (1 + np.log([counts[k] for k in at])) * self.factor[at]
+        at = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))
+        n = np.fromiter(map(counts.__getitem__, own), float, len(own))
+        order = np.argsort(at)
+        at, n = at[order], n[order]
+        x = (1 + np.log(n)) * self.factor[at]
         return at, x / np.sqrt((x * x).sum())
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -255,8 +258,8 @@ def fit(
         for b in batches:
             for t in b.column(0):
                 n += 1
-                hit = [own[w] for w in set(words_of(t.as_py())) if w in own]
-                counts[hit] += 1
+                met = own.keys() & set(words_of(t.as_py()))
+                counts[np.fromiter(map(own.__getitem__, met), np.int64, len(met))] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, counts[at]])], ["w", "n"])
 
