@@ -27,6 +27,8 @@ MAX_EXAMPLES = 3_072
 MAX_POSTINGS = 1_500_000
 NEIGHBOURS = 10
 BLOCK = 32
+#: The words of the most examples have their weights in a table of all blocks, without gaps.
+FREQUENT = 128
 THRESHOLD = 0.7
 #: A word weighs up to 1 + CLASS_WEIGHT times its inverse document frequency; Z is how sure its share has to be.
 CLASS_WEIGHT, Z = 30.0, 2.0
@@ -35,13 +37,17 @@ STRENGTH = 0.5
 #: Examples that stand in one block should be alike: they are laid out by which of so many frequent words they have.
 SIGNATURE = 24
 EVIDENCE = 3
+#: Blocks scored before any is left out.
+FIRST = 6
 _CACHE = 1 << 13
 
 
 @dataclass
 class Examples:
-    """Labelled vectors and their block-max inverted index. Examples stand in blocks of BLOCK; for each word there
-    are its postings (example, weight) by example, and the largest weight in each block that has it."""
+    """Labelled vectors and their block-max inverted index. Examples stand in blocks of BLOCK; each word has its
+    postings (example, weight) by example. The FREQUENT most frequent words have them as a row of a table of all
+    blocks as well, and the largest weight in each block. A rarer word has about one posting in a block, if any, so its
+    postings are the maxima."""
 
     words: dict[bytes, int]
     factor: np.ndarray  # inverse document frequency times class weight
@@ -50,10 +56,9 @@ class Examples:
     starts: np.ndarray  # postings of word w: starts[w] to starts[w + 1]
     rows: np.ndarray
     weights: np.ndarray
-    block_starts: np.ndarray  # blocks of word w: block_starts[w] to block_starts[w + 1]
-    blocks: np.ndarray
-    tops: np.ndarray
-    block_at: np.ndarray  # where the block's postings begin
+    frequent: np.ndarray  # row of a word in the two tables, or -1
+    table: np.ndarray  # row, block, place in the block: weight
+    table_tops: np.ndarray  # row, block: largest weight
     prior: float
     slope: float
     shift: float
@@ -61,47 +66,37 @@ class Examples:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of a text: word numbers and weights, empty if it shares none with an example."""
-        counts = Counter(words_of(text))
-        own = list(self.words.keys() & counts.keys())
+        own = [k for k in map(self.words.get, words_of(text)) if k is not None]
         if not own:
             return np.empty(0, np.int64), np.empty(0)
-        at = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))
-        n = np.fromiter(map(counts.__getitem__, own), float, len(own))
-        order = np.argsort(at)
-        at, n = at[order], n[order]
+        at, n = np.unique(np.array(own, np.int64), return_counts=True)
         x = (1 + np.log(n)) * self.factor[at]
         return at, x / np.sqrt((x * x).sum())
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest positive cosine, ties to the smaller number: numbers and cosines.
 
-        Bounds of blocks are summed from the words' block maxima; blocks are scored in falling order of their bounds,
-        some at a time, until no bound is above the k-th best cosine found."""
-        found, cosines = np.empty(0, np.int64), np.empty(0)
-        places, size = _spread(self.block_starts[at], self.block_starts[at + 1])
-        if not len(places):
-            return found, cosines
-        block, value = self.blocks[places], np.repeat(x, size)
-        total = np.bincount(block, self.tops[places] * value)
+        A block's bound is the sum of the frequent words' block maxima and the largest sum of the other words' weights
+        in it. The blocks with the largest bounds are scored first, then those whose bound is not below the k-th best
+        cosine found."""
+        row = self.frequent[at]
+        often, y, row = row >= 0, x[row >= 0], row[row >= 0]
+        spots, size = _spread(self.starts[at[~often]], self.starts[at[~often] + 1])
+        n = self.table_tops.shape[1]
+        rare = np.bincount(self.rows[spots], self.weights[spots] * np.repeat(x[~often], size), minlength=n * BLOCK).reshape(n, BLOCK)
+        total = np.einsum("i,ij->j", y, self.table_tops[row]) + rare.max(axis=1)
         falling = np.argsort(-total, kind="stable")
         falling = falling[total[falling] > 0]
-        least, step, done = 0.0, 8, 0
-        while done < len(falling) and (len(found) < k or total[falling[done]] >= least - 1e-9):
-            wanted = np.zeros(len(total), bool)
-            wanted[falling[done : done + step]] = True
-            wanted &= total >= least - 1e-9
-            done, step = done + step, step * 4
-            entries = np.flatnonzero(wanted[block])
-            spots, size = _spread(self.block_at[places[entries]], self.block_at[places[entries] + 1])
-            score = np.bincount(self.rows[spots], self.weights[spots] * np.repeat(value[entries], size))
-            if 0 <= but < len(score):
-                score[but] = 0.0
-            who = np.flatnonzero(score)
-            new = np.minimum(score[who], 1.0).round(9)
-            if len(who) > k:
-                best = new >= np.partition(new, len(new) - k)[len(new) - k]
-                who, new = who[best], new[best]
-            found, cosines = np.concatenate([found, who]), np.concatenate([cosines, new])
+        found, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
+        for step in falling[:FIRST], falling[FIRST:]:
+            own = step[total[step] >= least - 1e-9]
+            if not len(own):
+                break
+            score = np.einsum("i,ijk->jk", y, self.table[row[:, None], own]) + rare[own]
+            who, score = (own[:, None] * BLOCK + np.arange(BLOCK)).ravel(), score.ravel()
+            new = np.minimum(score, 1.0).round(9)
+            good = (score > 0) & (new >= least) & (who != but)
+            found, cosines = np.concatenate([found, who[good]]), np.concatenate([cosines, new[good]])
             best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
             least = cosines[-1] if len(found) == k else 0.0
@@ -164,14 +159,20 @@ def _index(words: list[bytes], factor: np.ndarray, found: list[tuple]) -> Exampl
     order = np.lexsort((r, c))
     r, c, v = r[order], c[order], v[order]
     starts = np.searchsorted(c, np.arange(size + 1))
-    new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (r[1:] // BLOCK != r[:-1] // BLOCK)]) if len(c) else np.empty(0, np.int64)
     labels = np.array([y for _, y, _, _ in found], float)
+    blocks = -(-n // BLOCK)
+    often = np.argsort(-np.diff(starts), kind="stable")[:FREQUENT]
+    frequent = np.full(size, -1)
+    frequent[often] = np.arange(len(often))
+    table = np.zeros((len(often), blocks * BLOCK))
+    own = frequent[c] >= 0
+    table[frequent[c[own]], r[own]] = v[own]
+    table = table.reshape(len(often), blocks, BLOCK)
     bare = np.array([not len(at) for _, _, at, _ in found], bool)
     prior = (labels.sum() + 0.5) / (n + 1)
     out = Examples(
         {w: k for k, w in enumerate(words)}, factor, labels, np.array([i for i, _, _, _ in found], dtype=object), starts, r, v,
-        np.searchsorted(c[new], np.arange(size + 1)), r[new] // BLOCK, np.maximum.reduceat(v, new) if len(new) else np.empty(0),
-        np.r_[new, len(c)], prior, 1.0, 0.0, min(prior, (labels[bare].sum() + prior) / (bare.sum() + 1)),
+        frequent, table, table.max(axis=2), prior, 1.0, 0.0, min(prior, (labels[bare].sum() + prior) / (bare.sum() + 1)),
     )
     return _calibrated(out)
 
