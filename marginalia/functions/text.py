@@ -15,6 +15,10 @@ _NON_BLANK = f"[^{_BLANKS}]"
 BLANK_START = rf"\A[{_BLANKS}]*+"
 
 
+#: Characters of a text that one row of the table of line starts stands for.
+LINE_BLOCK = 1024
+
+
 def blank_sql(text: str) -> str:
     # The regular expression is asked only if the first character behind common white space is not plain ASCII.
     bare = f"ltrim(concat(' ', chr(9), chr(10), chr(13)), {text})"
@@ -100,6 +104,23 @@ def line_number(text: Column, pos: Column) -> Column:
     return count_newlines(F.substring(text, F.lit(1), pos)) + 1
 
 
+def line_blocks(text: Column) -> Column:
+    """The text in blocks of ``LINE_BLOCK`` characters: number of the block, its characters, line feeds before it, and the offsets
+    within it at which a line begins (0 for the line that goes on). The offset behind the last character has a block
+    as well. The text is read once and is no part of the result."""
+    starts = running_sum_sql("transform(split(piece, chr(10), -1), line -> length(line) + 1)", "0")
+    blocks = f"regexp_extract_all(concat(text, 'x'), {literal(f'(?s).{{1,{LINE_BLOCK}}}+')}, 0)"
+    lines = running_sum_sql(f"transform(pieces, piece -> {newlines_sql('piece')})", "0")
+    body = f"""transform(pieces, (piece, i) -> named_struct('block', bigint(i), 'size', length(piece), 'lines', lines[i], 'starts', {starts}))"""
+    return let(text, f"text -> {let_sql('pieces', blocks, let_sql('lines', lines, body))}")
+
+
+def line_in_block(block: Column, pos: Column) -> Column:
+    """1-based line of an offset, from the block it lies in."""
+    here = (pos % LINE_BLOCK).cast("int")
+    return block["lines"] + F.size(F.filter(block["starts"], lambda start: start <= here))
+
+
 def escape_controls(text: Column) -> Column:
     """Show backslash, line feed, carriage return and tab as two characters; null as ``null``."""
     shown = F.coalesce(text, F.lit("null"))

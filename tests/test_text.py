@@ -3,6 +3,7 @@ import random
 import time
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import preview, rewrite, scan, text, times
@@ -34,6 +35,33 @@ def test_line_numbers_and_text_around_an_offset(spark):
         assert row == (c[:at].count("\n") + 1, c[:at].split("\n")[-1], after), (c, at)
 
 
+def test_line_numbers_of_a_table_of_offsets(spark):
+    rng = random.Random(11)
+    contents = ["", "\n", "é😀\n\n\nlast\n", "x" * 1024, "x" * 1023 + "\n", "\n" * 3000, "a\r\nb" * 700]
+    contents += ["".join(rng.choice("ab😀\n") for _ in range(rng.randrange(5000))) for _ in range(5)]
+    sources = [(str(k), c) for k, c in enumerate(contents)] + [("none", None)]
+    rows = [(str(k), p, k) for k, c in enumerate(contents) for p in [*range(0, len(c) + 1, 7), len(c), len(c)]]
+    odd = [("0", -1, 0), ("0", 1, 0), ("2", 2000, 0), ("3", 1025, 0), ("3", 5000, 0), ("none", 0, 0), ("gone", 0, 0), (None, 0, 0), ("1", None, 0)]
+    sources = spark.createDataFrame(sources, "path string, text string")
+    offsets = spark.createDataFrame(rows + odd, "path string, pos int, block int")
+    got = sorted(files.line_numbers_of(sources, offsets).collect(), key=str)
+    want = [(p, at, k, contents[k][:at].count("\n") + 1) for p, at, k in rows] + [(*o, None) for o in odd]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert files.line_numbers_of(sources, offsets.limit(0)).columns == ["path", "pos", "block", "line"]
+    assert files.line_numbers_of(sources.limit(0), offsets).where("line is not null").count() == 0
+    with pytest.raises(ValueError):
+        files.line_numbers_of(sources, offsets.withColumnRenamed("block", "Line"))
+
+
+def test_line_numbers_are_linear_in_the_offsets(spark):
+    offsets = spark.range(400_000).selectExpr("'a' as path", "id * 10 as pos")
+    sources = spark.sql("select 'a' as path, repeat('some text\n', 400000) as text")
+    start = time.time()
+    row = files.line_numbers_of(sources, offsets).agg(F.sum("line"), F.max("line")).first()
+    assert tuple(row) == (400_000 * 400_001 // 2, 400_000)
+    assert time.time() - start < 60
+
+
 ITEM = "struct<pos:struct<first:int,last:int>,lines:struct<first:int,last:int>,comment_text:string>"
 
 

@@ -128,6 +128,18 @@ def line_numbers(spark, sf_dir):
     return c.PROSE.read(spark, sf_dir).select("path", text.line_number(F.col("text"), middle).alias("line"))
 
 
+@query(
+    "line_numbers_of_offsets",
+    f"""SELECT path, pos, (length(substr(text, 1, pos)) - length(replace(substr(text, 1, pos), chr(10), '')) + 1)::int AS line
+    FROM (SELECT path, text, (unnest(list_filter(range(0, length(text) - 1), lambda p: substr(text, p + 1, 2) = 'an')))::int AS pos
+    FROM ({c.PROSE.sql}) WHERE contains(text, 'an'))""",
+)
+def line_numbers_of_offsets(spark, sf_dir):
+    sources = c.PROSE.read(spark, sf_dir)
+    offsets = sources.select("path", F.explode(text.positions(F.col("text"), "an")).alias("pos"))
+    return files.line_numbers_of(sources, offsets)
+
+
 # --- paths -----------------------------------------------------------------------------------
 
 _PATHS = f"SELECT path FROM ({c.ANNOTATED.sql})"
