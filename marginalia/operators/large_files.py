@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +18,26 @@ from marginalia.sources.listing import file_system, listed, local
 #: Characters (of a text) or bytes (of a file) in a chunk, about.
 CHUNK = 1 << 20
 _CHUNKS = "path string, seq long, text string"
+#: Rows and characters that tasks hand on at once, about.
+_ROWS_AT_ONCE, _CHARS_AT_ONCE = 1 << 13, 1 << 22
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list, text: int | None = None) -> Iterator:
+    """Rows as Arrow batches; ``text``: the column that makes rows long. A batch for each row would cost far more than its work."""
+    import pyarrow as pa
+
+    def batch(some: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += 0 if text is None else len(row[text])
+        if len(held) >= _ROWS_AT_ONCE or chars >= _CHARS_AT_ONCE:
+            yield batch(held)
+            held, chars = [], 0
+    if held:
+        yield batch(held)
 
 
 def cut_texts(sources: DataFrame, rules: CommentRules, size: int = CHUNK) -> DataFrame:
@@ -30,9 +49,7 @@ def cut_texts(sources: DataFrame, rules: CommentRules, size: int = CHUNK) -> Dat
     ship(sources.sparkSession)
     tight = Lexer(rules).tight
 
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def pieces(batches: Iterator) -> Iterator[tuple]:
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
@@ -43,9 +60,14 @@ def cut_texts(sources: DataFrame, rules: CommentRules, size: int = CHUNK) -> Dat
                     end = min(begin + size, len(text))
                     while end < len(text) and text[end - 1] in tight:
                         end += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([seq], pa.int64()), pa.array([text[begin:end]], pa.string())], names=["path", "seq", "text"])
+                    yield path, seq, text[begin:end]
                     begin, seq = end, seq + 1
 
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from _batches(pieces(batches), ["path", "seq", "text"], [pa.string(), pa.int64(), pa.string()], 2)
+
     return sources.where("path is not null").select("path", "text").mapInArrow(cut, _CHUNKS)
 
 
@@ -93,23 +115,30 @@ def read_chunks(spark: SparkSession, root: str, config: JobConfig, size: int = C
     return spread.mapInArrow(read, _CHUNKS)
 
 
-def _begins(frame: pd.DataFrame, lexer: Lexer) -> pd.DataFrame:
-    """What is known of each chunk of one file once all of them are: where it begins, in which state, and whether what is
-    open at its end stays open."""
-    frame = frame.sort_values("seq")
-    steps = frame["step"].to_list()
-    states, state = [], PLAIN
-    for step in steps:
-        states.append(state)
-        state = step[state] // 2
-    open_, stays = lexer.closes(state), []
-    for k in range(len(steps) - 1, -1, -1):
-        stays.append(open_)
-        open_ = open_ and not steps[k][states[k]] % 2 and lexer.closes(states[k])
-    return pd.DataFrame({
-        "path": frame["path"], "seq": frame["seq"], "state": states, "open_is_plain": stays[::-1],
-        "chars_before": frame["chars"].cumsum() - frame["chars"], "lines_before": frame["lines"].cumsum() - frame["lines"],
-    })
+def _begins(batches: Iterator, lexer: Lexer) -> Iterator[tuple]:
+    """What is known of each chunk of a file once all of them are: where it begins, in which state, and whether what is
+    open at its end stays open.
+
+    The rows (path, seq, step, chars, lines) come by path and seq. Of the file at hand a few numbers a chunk are held.
+    """
+
+    def settled(path: str, chunks: list[tuple], state: int) -> Iterator[tuple]:
+        open_, stays = lexer.closes(state), []
+        for _, own, left, _, _ in reversed(chunks):
+            stays.append(open_)
+            open_ = open_ and not left and lexer.closes(own)
+        for (seq, own, _, chars, lines), open_is_plain in zip(chunks, reversed(stays), strict=True):
+            yield path, seq, own, open_is_plain, chars, lines
+
+    chunks, file, state, before, lines_before = [], None, PLAIN, 0, 0
+    for b in batches:
+        for path, seq, step, chars, lines in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+            if path != file:
+                yield from settled(file, chunks, state)
+                chunks, file, state, before, lines_before = [], path, PLAIN, 0, 0
+            chunks.append((seq, state, bool(step[state] % 2), before, lines_before))
+            state, before, lines_before = step[state] // 2, before + chars, lines_before + lines
+    yield from settled(file, chunks, state)
 
 
 def find_occurrences(chunks: DataFrame, rules: CommentRules) -> DataFrame:
@@ -117,8 +146,8 @@ def find_occurrences(chunks: DataFrame, rules: CommentRules) -> DataFrame:
     with places as longs.
 
     Chunks are looked at twice, each by itself. In between only numbers are shuffled, a few for each chunk, and one
-    file's are put in order by one task (100 bytes for each chunk, so 10 MB for a file of 100 GB). Occurrences that
-    meet a cut are put together from their parts, two for each chunk at most.
+    file's are put in order by one task, file after file (some 200 bytes for each chunk, so 20 MB for a file of 100 GB).
+    Occurrences that meet a cut are put together from their parts, two for each chunk at most.
     """
     ship(chunks.sparkSession)
     chunks = kept(chunks)
@@ -133,27 +162,35 @@ def find_occurrences(chunks: DataFrame, rules: CommentRules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["path", "seq", "step", "chars", "lines"])
 
     stepped = chunks.mapInArrow(steps, "path string, seq long, step array<int>, chars long, lines long")
-    begins = stepped.groupBy("path").applyInPandas(
-        lambda frame: _begins(frame, Lexer(rules)), "path string, seq long, state int, open_is_plain boolean, chars_before long, lines_before long"
-    )
 
-    def located(batches: Iterator) -> Iterator:
+    def begun(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["path", "seq", "state", "open_is_plain", "chars_before", "lines_before"]
+        yield from _batches(_begins(batches, Lexer(rules)), names, [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()])
+
+    begins = stepped.repartition("path").sortWithinPartitions("path", "seq").mapInArrow(
+        begun, "path string, seq long, state int, open_is_plain boolean, chars_before long, lines_before long"
+    )
+
+    def parts_of(batches: Iterator) -> Iterator[tuple]:
         lexer = Lexer(rules)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
-        names = ["path", "first", "line", "text", "comment", "at_edge"]
         for b in batches:
             for path, text, state, open_is_plain, chars, lines in zip(*[b.column(c).to_pylist() for c in ("path", "text", "state", "open_is_plain", "chars_before", "lines_before")], strict=True):
-                rows, at, line = [], 0, lines + 1
+                at, line = 0, lines + 1
                 for p in lexer.parts(text, state, open_is_plain):
                     line += text.count("\n", at, p.first)
                     at = p.first
-                    rows.append((path, chars + p.first, line, p.text, p.comment, p.at_edge))
-                cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    yield path, chars + p.first, line, p.text, p.comment, p.at_edge
+
+    def located(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+        yield from _batches(parts_of(batches), ["path", "first", "line", "text", "comment", "at_edge"], kinds, 3)
 
-    parts = kept(chunks.join(begins, ["path", "seq"]).mapInArrow(located, "path string, first long, line long, text string, comment boolean, at_edge boolean"))
+    # Spark's guess of the chunks' size can be far too low; to broadcast the texts would leave the scan to the numbers' few tasks
+    parts = kept(chunks.hint("merge").join(begins, ["path", "seq"]).mapInArrow(located, "path string, first long, line long, text string, comment boolean, at_edge boolean"))
     whole = parts.where("comment and not at_edge").select("path", "first", "line", "text")
     # parts that touch without anything between them hang together, from the first comment to the last one
     in_order = W.partitionBy("path").orderBy("first")

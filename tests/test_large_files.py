@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from marginalia.functions.chunks import Lexer
 from marginalia.operators import files, large_files
@@ -66,3 +67,30 @@ def test_an_occurrence_over_many_chunks_and_one_that_never_ends(spark):
 def test_no_texts(spark):
     nothing = spark.createDataFrame([], "path string, text string")
     assert large_files.find_occurrences(large_files.cut_texts(nothing, RULES[0]), RULES[0]).count() == 0
+
+
+def test_many_small_files_are_no_groups_or_batches_of_their_own(spark, monkeypatch):
+    texts = [(str(k), f"a /* {k} */ b // c\n" * 3) for k in range(300)]
+    chunks = large_files.cut_texts(spark.createDataFrame(texts, "path string, text string"), RULES[0], 10)
+    monkeypatch.setattr(large_files, "kept", lambda frame: frame)
+    plan = large_files.find_occurrences(chunks, RULES[0])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    assert "FlatMapGroups" not in plan
+    assert "BroadcastHashJoin" not in plan  # neither side of the chunks' join is known to be small
+    kinds = [pa.string(), pa.string()]
+    sizes = [b.num_rows for b in large_files._batches(((p, t) for p, t in texts * 100), ["path", "text"], kinds, 1)]
+    assert sum(sizes) == 30_000
+    assert len(sizes) <= 5
+    long = [b.num_rows for b in large_files._batches((("p", "x" * (1 << 21)) for _ in range(5)), ["path", "text"], kinds, 1)]
+    assert long == [2, 2, 1]
+
+
+def test_states_of_a_file_whose_rows_come_in_several_batches(spark):
+    text = "x /* a\n" * 40 + "*/ y // z"
+    frame = spark.createDataFrame([(str(k), text) for k in range(5)], "path string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = rows_of(large_files.find_occurrences(large_files.cut_texts(frame, RULES[0], 20), RULES[0]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == rows_of(files.find_occurrences(frame, RULES[0]))
