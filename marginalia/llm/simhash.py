@@ -7,14 +7,15 @@ first pivot distance, so that a window of 4 is looked at; the other coordinates
 and the true distance settles the survivors.
 
 With a ``similarity``, texts link by the Jaccard similarity of their sets of shingles instead. Fingerprints of 128
-bits are compared where they agree in one of many samples of bits; what links at a wide radius is only a crowd of
-candidates, and within it every link is verified by exact Jaccard.
+bits are compared where they agree in one of many samples of bits, in the same way: in the order of the first pivot
+distance, the other 15 discard pairs, the true distance settles the survivors. What links at a wide radius is only a
+crowd of candidates, and within it every link is verified by exact Jaccard.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations
@@ -59,6 +60,14 @@ def pivots() -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+@lru_cache
+def wide_pivots() -> np.ndarray:
+    """The reference fingerprints of 128 bits, as rows of two halves."""
+    rng = np.random.default_rng(20240603)
+    bits = np.stack([rng.permutation(np.repeat([0, 1], WIDE // 2)) for _ in range(PIVOTS)])
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The fingerprint of a whole text; shingles are hashed in portions, so that long texts need little memory."""
     words = utf8(text).lower().split()  # bytes: lower() touches A-Z only, split() cuts at \x20 and \x09-\x0D
@@ -101,63 +110,47 @@ def _key_columns(fp: str) -> list:
     return keys
 
 
-def _links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Links within cells of a sorted stream (k, i, j, d0, fp); a cell that two batches share is put together again."""
-    table = pivots()
+def _near_pairs(frame: pd.DataFrame, coords: list[np.ndarray], distance: Callable, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at ``radius`` or fewer differing bits within the cells of a frame that is sorted by cell, then by the first
+    pivot distance. ``coords``: the distances to all pivots; ``distance`` gives that of pairs."""
+    n = len(frame)
+    cell, own, cross = (frame[c].to_numpy() for c in ("cell", "own", "cross"))
+    first = coords[0].astype(np.int16)
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    alive, shift = np.arange(n), 0
+    while True:
+        shift += 1
+        alive = alive[alive + shift < n]
+        if not len(alive):
+            break
+        other = alive + shift
+        # sorted by cell, then by the first coordinate: once a partner is too far, all later ones are
+        near = (cell[alive] == cell[other]) & (first[other] - first[alive] <= radius)
+        alive = alive[near]
+        a, b = alive, alive + shift
+        both = ~cross[a] | (own[a] != own[b])  # cells of two chunks leave pairs within a chunk to the chunk's own cell
+        a, b = a[both], b[both]
+        for c in coords[1:]:
+            if not len(a):
+                break
+            ok = np.abs(c[a] - c[b]) <= radius
+            a, b = a[ok], b[ok]
+        if len(a):
+            ok = distance(a, b) <= radius
+            found_a.append(a[ok])
+            found_b.append(b[ok])
+    return np.concatenate(found_a), np.concatenate(found_b)
 
-    def distances(prints: np.ndarray, pivot: int) -> np.ndarray:
-        return np.bitwise_count(prints ^ table[pivot]).astype(np.int8)
 
-    def cells(frame: pd.DataFrame) -> pd.DataFrame:
+def _links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Links within cells of a sorted stream (cell, own, cross, d0, fp)."""
+    for frame in _whole_cells(batches):
         prints = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        n = len(frame)
-        cell = frame["cell"].to_numpy()
-        own = frame["own"].to_numpy()
-        cross = frame["cross"].to_numpy()
-        coords = [distances(prints, p) for p in range(PIVOTS)]
-        first = coords[0].astype(np.int16)
-        found_a, found_b = [], []
-        alive = np.arange(n)
-        shift = 0
-        while True:
-            shift += 1
-            alive = alive[alive + shift < n]
-            if not len(alive):
-                break
-            other = alive + shift
-            # sorted by cell, then by the first coordinate: once a partner is too far, all later ones are
-            near = (cell[alive] == cell[other]) & (first[other] - first[alive] <= radius)
-            alive = alive[near]
-            a, b = alive, alive + shift
-            both = ~cross[a] | (own[a] != own[b])  # cells of two chunks leave pairs within a chunk to the chunk's own cell
-            a, b = a[both], b[both]
-            for c in coords[1:]:
-                if not len(a):
-                    break
-                ok = np.abs(c[a] - c[b]) <= radius
-                a, b = a[ok], b[ok]
-            if len(a):
-                ok = np.bitwise_count(prints[a] ^ prints[b]) <= radius
-                found_a.append(a[ok])
-                found_b.append(b[ok])
-        if not found_a:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        a, b = _forest(n, a, b)
+        coords = [np.bitwise_count(prints ^ p).astype(np.int8) for p in pivots()]
+        a, b = _near_pairs(frame, coords, lambda a, b, x=prints: np.bitwise_count(x[a] ^ x[b]), radius)
+        a, b = _forest(len(frame), a, b)
         signed = prints.view(np.int64)
-        return pd.DataFrame({"a": signed[a], "b": signed[b]})
-
-    rest: pd.DataFrame | None = None
-    for frame in batches:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        last = frame["cell"].iloc[-1] if len(frame) else None
-        open_ = (frame["cell"] == last).to_numpy() if len(frame) else np.empty(0, bool)
-        rest = frame[open_].reset_index(drop=True)
-        done = frame[~open_].reset_index(drop=True)
-        if len(done):
-            yield cells(done)
-    if rest is not None and len(rest):
-        yield cells(rest)
+        yield pd.DataFrame({"a": signed[a], "b": signed[b]})
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +244,7 @@ def samples(n: int, similarity: float) -> list[tuple[int, ...]]:
 
 
 def _wide_cells(prints: DataFrame, keys: list[tuple[int, ...]], chunk: int) -> DataFrame:
-    """(cell, own, cross, f1, f2): a row for every fingerprint and key, dealt out like those of ``fingerprint_links``."""
+    """(cell, own, cross, d0, f1, f2): a row for every fingerprint and key, dealt out like those of ``fingerprint_links``."""
     choices = np.array(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,9 +261,9 @@ def _wide_cells(prints: DataFrame, keys: list[tuple[int, ...]], chunk: int) -> D
     crowded = F.broadcast(counts) if counts.count() <= 100_000 else counts
     rows = rows.join(crowded, "k", "left").select("k", "f1", "f2", parts.alias("c"), F.pmod(F.xxhash64("f1"), parts).cast("int").alias("own"))
     rows = rows.select("k", "f1", "f2", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    return rows.select(
-        F.xxhash64("k", F.least("own", "o"), F.greatest("own", "o")).alias("cell"), "own", (F.col("own") != F.col("o")).alias("cross"), "f1", "f2"
-    )
+    first = sum(F.bit_count(F.col(f).bitwiseXOR(F.lit(int(p)))) for f, p in zip(("f1", "f2"), wide_pivots()[0].view(np.int64), strict=True))
+    cell = F.xxhash64("k", F.least("own", "o"), F.greatest("own", "o"))
+    return rows.select(cell.alias("cell"), "own", (F.col("own") != F.col("o")).alias("cross"), first.alias("d0"), "f1", "f2")
 
 
 def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,27 +286,20 @@ def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(rest, ignore_index=True)
 
 
+def _apart(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """In how many of 128 bits fingerprints differ."""
+    return np.bitwise_count(a1 ^ b1).astype(np.int16) + np.bitwise_count(a2 ^ b2)
+
+
 def _wide_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Links within cells of a sorted stream (cell, own, cross, d0, f1, f2)."""
     for frame in _whole_cells(batches):
-        cell, own, cross = (frame[c].to_numpy() for c in ("cell", "own", "cross"))
         f1, f2 = (frame[c].to_numpy(np.int64).view(np.uint64) for c in ("f1", "f2"))
-        found_a, found_b = [], []
-        alive, shift = np.arange(len(frame)), 0
-        while True:
-            shift += 1
-            alive = alive[alive + shift < len(frame)]
-            alive = alive[cell[alive] == cell[alive + shift]]
-            if not len(alive):
-                break
-            a, b = alive, alive + shift
-            ok = ~cross[a] | (own[a] != own[b])
-            ok &= np.bitwise_count(f1[a] ^ f1[b]).astype(np.int16) + np.bitwise_count(f2[a] ^ f2[b]) <= radius
-            found_a.append(a[ok])
-            found_b.append(b[ok])
-        if found_a:
-            a, b = _forest(len(frame), np.concatenate(found_a), np.concatenate(found_b))
-            signed = frame["f1"].to_numpy(np.int64)
-            yield pd.DataFrame({"a": signed[a], "b": signed[b]})
+        coords = [_apart(f1, f2, *p) for p in wide_pivots()]
+        a, b = _near_pairs(frame, coords, lambda a, b, x=f1, y=f2: _apart(x[a], y[a], x[b], y[b]), radius)
+        a, b = _forest(len(frame), a, b)
+        signed = f1.view(np.int64)
+        yield pd.DataFrame({"a": signed[a], "b": signed[b]})
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +346,7 @@ def similar_texts(docs: DataFrame, text: str, doc_id: str, similarity: float, wi
     texts = kept(printed.groupBy("t").agg(F.min("doc_id").alias("least"), F.min("f1").alias("f1"), F.min("f2").alias("f2")))
     distinct = kept(texts.groupBy("f1").agg(F.min("f2").alias("f2"), F.count("*").alias("n")))
     cells = _wide_cells(distinct, samples(distinct.count(), similarity), chunk)
-    sorted_cells = cells.repartition("cell").sortWithinPartitions("cell")
+    sorted_cells = cells.repartition("cell").sortWithinPartitions("cell", "d0")
     near = wide_radius(similarity)
     links = sorted_cells.mapInPandas(lambda it: _wide_links(it, near), "a long, b long").distinct()
     # texts of equal fingerprints are a crowd without any link

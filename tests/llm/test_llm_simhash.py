@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from marginalia.llm import simhash
 from marginalia.llm.components import components
@@ -181,3 +182,48 @@ def test_crowds_in_chunks_and_awkward_rows(spark, awkward, nothing):
     group = {r.doc_id: r.component_id for r in got}
     assert all(len({group[i] for i in same}) == 1 for same in by_words.values())
     assert simhash.one_of_each(nothing, width=5, similarity=0.8).count() == 0
+
+
+def test_wide_pairs_go_by_the_distances_to_the_references(monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 2, (30, 128))
+    bits = np.concatenate([base, *[base ^ (rng.random(base.shape) < 0.06) for _ in range(9)]]).astype(np.uint8)
+    halves = np.packbits(bits, axis=1).view(np.int64)
+    halves = halves[np.unique(halves[:, 0], return_index=True)[1]]  # a node is told by its first half
+    prints = halves.view(np.uint64)
+    pivots = simhash.wide_pivots()
+    assert pivots.shape == (16, 2)
+    table = np.bitwise_count(prints[:, None] ^ pivots).sum(axis=2, dtype=np.int64)
+    own = rng.integers(0, 2, len(halves))
+    for radius in (6, 20):
+        for cross in (False, True):
+            frame = pd.DataFrame({"cell": 1, "own": own, "cross": cross, "d0": table[:, 0], "f1": halves[:, 0], "f2": halves[:, 1]})
+            measured = []
+            apart = simhash._apart
+
+            def spy(a1, a2, b1, b2, measured=measured, apart=apart):
+                if np.ndim(b1):
+                    measured.append(len(a1))
+                return apart(a1, a2, b1, b2)
+
+            monkeypatch.setattr(simhash, "_apart", spy)
+            sorted_ = frame.sort_values("d0")
+            links = pd.concat(simhash._wide_links(iter([sorted_.iloc[:100], sorted_.iloc[100:]]), radius))
+            monkeypatch.setattr(simhash, "_apart", apart)
+            far = np.abs(table[:, None] - table).max(axis=2)
+            pair = np.triu(~(cross & (own[:, None] == own)), 1)
+            assert sum(measured) == (pair & (far <= radius)).sum() < pair.sum()  # the others are discarded by the references
+            root = {f: f for f in halves[:, 0].tolist()}
+
+            def find(x, root=root):
+                return x if root[x] == x else find(root[x])
+
+            for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+                root[find(a)] = find(b)
+            got = [find(f) for f in halves[:, 0].tolist()]
+            near = pair & (np.bitwise_count(prints[:, None] ^ prints).sum(axis=2) <= radius)
+            want = list(range(len(halves)))
+            for a, b in zip(*np.nonzero(near), strict=True):
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+            assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
