@@ -12,6 +12,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ class Examples:
     blocks as well, and the largest weight in each block. A rarer word has about one posting in a block, if any, so its
     postings are the maxima."""
 
-    words: dict[bytes, int]
+    spelled: pa.Array  # the words; as a dict they are wanted in the tasks alone
     factor: np.ndarray  # inverse document frequency times class weight
     labels: np.ndarray
     ids: np.ndarray
@@ -64,6 +65,10 @@ class Examples:
     shift: float
     unknown: float  # score of a text that shares no word with an example
 
+    @cached_property
+    def words(self) -> dict[bytes, int]:
+        return _numbers(self.spelled)
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of a text: word numbers and weights, empty if it shares none with an example."""
         own = [k for k in map(self.words.get, words_of(text)) if k is not None]
@@ -110,6 +115,10 @@ class Examples:
         return float(_logistic(self.slope * odds + self.shift))
 
 
+def _numbers(words: pa.Array) -> dict[bytes, int]:
+    return {w.as_py(): k for k, w in enumerate(words)}
+
+
 def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges one after another, and the ranges' lengths."""
     size = stop - start
@@ -142,22 +151,24 @@ def _class_weights(size: int, found: list[tuple], alike: list[int]) -> np.ndarra
     return 1 + CLASS_WEIGHT * np.clip(sure, 0, 1)
 
 
-def _index(words: list[bytes], factor: np.ndarray, found: list[tuple]) -> Examples:
+def _index(words: pa.Array, factor: np.ndarray, found: list[tuple]) -> Examples:
     """found: (id, label, word numbers, counts) of each example, in a fixed order."""
     n, size = len(found), len(words)
     spread = np.bincount(np.concatenate([f[2] for f in found]), minlength=size) if size else np.empty(0, np.int64)
     frequent = np.argsort(-spread, kind="stable")[:SIGNATURE]
     found = sorted(found, key=lambda f: np.isin(frequent, f[2]).tobytes(), reverse=True)
-    rows, cols, values = [], [], []
+    rows, cols, values = [], [], []  # by row
     for row, (_, _, at, counts) in enumerate(found):
         if len(at):
             x = (1 + np.log(counts)) * factor[at]
-            rows.append(np.full(len(at), row))
-            cols.append(at)
+            rows.append(np.full(len(at), row, np.int32))
+            cols.append(at.astype(np.int32))
             values.append(x / np.sqrt((x * x).sum()))
-    r, c, v = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((rows, np.int64), (cols, np.int64), (values, float)))
-    order = np.lexsort((r, c))
-    r, c, v = r[order], c[order], v[order]
+    r, c, v = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((rows, np.int32), (cols, np.int32), (values, float)))
+    del rows, cols, values
+    order = np.argsort(c, kind="stable")
+    r, c, v = r[order].astype(np.int64), c[order], v[order]
+    del order
     starts = np.searchsorted(c, np.arange(size + 1))
     labels = np.array([y for _, y, _, _ in found], float)
     blocks = -(-n // BLOCK)
@@ -171,7 +182,7 @@ def _index(words: list[bytes], factor: np.ndarray, found: list[tuple]) -> Exampl
     bare = np.array([not len(at) for _, _, at, _ in found], bool)
     prior = (labels.sum() + 0.5) / (n + 1)
     out = Examples(
-        {w: k for k, w in enumerate(words)}, factor, labels, np.array([i for i, _, _, _ in found], dtype=object), starts, r, v,
+        words, factor, labels, np.array([i for i, _, _, _ in found], dtype=object), starts, r, v,
         frequent, table, table.max(axis=2), prior, 1.0, 0.0, min(prior, (labels[bare].sum() + prior) / (bare.sum() + 1)),
     )
     return _calibrated(out)
@@ -251,11 +262,14 @@ def fit(
     words = pc.unique(flat)
     words = words.take(pc.sort_indices(words))
     numbers = pc.index_in(flat, words).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = words.to_pylist()
-    number = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    ends = np.cumsum([0, *pc.list_value_length(table["w"]).to_pylist()])
+    table = table.drop_columns(["w"])
+    del flat
+    everywhere = spark.sparkContext.broadcast(words)
 
     def frequencies(batches: Iterator) -> Iterator:
-        own, counts, n = number.value, np.zeros(len(number.value), np.int64), 0
+        own = _numbers(everywhere.value)
+        counts, n = np.zeros(len(own), np.int64), 0
         for b in batches:
             for t in b.column(0):
                 n += 1
@@ -265,13 +279,12 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, counts[at]])], ["w", "n"])
 
     seen = docs.select(text).mapInArrow(frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    number.destroy()
+    everywhere.destroy()
     at, n = seen["w"].to_numpy(), seen["n"].to_numpy()
     frequency = np.zeros(len(words))
     frequency[at[at >= 0]] = n[at >= 0]
     idf = np.log((1 + n[at < 0].sum()) / (1 + frequency)) + 1
 
-    ends = np.cumsum([0, *pc.list_value_length(table["w"]).to_pylist()])
     counts = table["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     found = [
         (i, y, numbers[a:b], counts[a:b]) for i, y, a, b in zip(table["id"].to_pylist(), table["y"].to_pylist(), ends[:-1], ends[1:], strict=True)
