@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 #: A-Z to a-z; every other ASCII character but a digit or a-z to a blank; bytes above 0x7F stay.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
+#: Rows that a task works on, and hands on, at once.
+PORTION = 1000
+
 
 def utf8(text: str | None) -> bytes:
     """The text in UTF-8; null counts as empty."""
@@ -48,6 +53,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, a few at a time: what a task makes of them then never fills a whole batch of Spark's,
+    in the worker or in the executor that reads it. What the batches took goes back at the end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     taken = {c.lower() for c in df.columns}

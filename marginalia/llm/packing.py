@@ -10,6 +10,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ship, utf8
+from marginalia.llm.common import portions, ship, utf8
 
 LENGTH = 2048
 END_ID = 1
@@ -98,13 +100,16 @@ class Encoder:
         return [b"".join([known[w] for w in words]) + end for words in split]
 
 
-_encoders: dict[str, Encoder] = {}
+@dataclass
+class Loaded:
+    """An encoder for the tasks of one job. It is broadcast as its path alone; a worker loads it when it is wanted, and
+    lets go of it, with all the words met, when a task of another job comes."""
 
+    path: str
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(self.path)
 
 
 def cost(tokens: int) -> float:
@@ -167,8 +172,10 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     names = [f.name for f in fields] + ["ids"] * with_ids
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
+    everywhere = docs.sparkSession.sparkContext.broadcast(Loaded(tokenizer))
+
     def run(batches: Iterator) -> Iterator:
-        encoder = _encoder(tokenizer)
+        encoder = everywhere.value.encoder
         number = TaskContext.get().partitionId() << 40
         kind = None
 
@@ -194,29 +201,27 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
             return pieces
 
         held, tokens = [], 0
-        for b in batches:
+        for b in portions(batches):
             kind = b.schema.field(0).type
-            rows = b.to_pydict()
             pieces = []
-            for lo in range(0, b.num_rows, 1000):
-                for doc, raw in zip(rows["doc_id"][lo : lo + 1000], encoder.encode(rows["text"][lo : lo + 1000]), strict=True):
-                    total = len(raw) // 4
-                    whole = total // length * length
-                    for at in range(0, whole, length):
-                        own = raw[at * 4 : (at + length) * 4]
-                        pieces.append((doc, at, length, zlib.crc32(own), total, number, 0, own))
-                        number += 1
-                    if whole < total:
-                        held.append((doc, whole, total, raw[whole * 4 :]))
-                        tokens += total - whole
-                    if tokens >= window * length:
-                        # the document that overfills the window is cut; its end waits for the next one
-                        over = tokens - window * length
-                        last = held.pop()
-                        keep = len(last[3]) // 4 - over
-                        held.append((last[0], last[1], last[2], last[3][: keep * 4]))
-                        pieces += dealt(held, [length] * window)
-                        held, tokens = ([(last[0], last[1] + keep, last[2], last[3][keep * 4 :])], over) if over else ([], 0)
+            for doc, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+                total = len(raw) // 4
+                whole = total // length * length
+                for at in range(0, whole, length):
+                    own = raw[at * 4 : (at + length) * 4]
+                    pieces.append((doc, at, length, zlib.crc32(own), total, number, 0, own))
+                    number += 1
+                if whole < total:
+                    held.append((doc, whole, total, raw[whole * 4 :]))
+                    tokens += total - whole
+                if tokens >= window * length:
+                    # the document that overfills the window is cut; its end waits for the next one
+                    over = tokens - window * length
+                    last = held.pop()
+                    keep = len(last[3]) // 4 - over
+                    held.append((last[0], last[1], last[2], last[3][: keep * 4]))
+                    pieces += dealt(held, [length] * window)
+                    held, tokens = ([(last[0], last[1] + keep, last[2], last[3][keep * 4 :])], over) if over else ([], 0)
             if pieces:
                 yield batch(pieces)
         if held:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import fresh, kept, ship, utf8
+from marginalia.llm.common import PORTION, fresh, kept, portions, ship, utf8
 from marginalia.llm.components import components
 from marginalia.llm.setlinks import linked_sets
 
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in portions(batches):
             prints = np.array([fingerprint(t, width) for t in b.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints)], schema=b.schema.append(pa.field(name, pa.int64())))
 
@@ -336,7 +336,7 @@ def similar_texts(docs: DataFrame, text: str, doc_id: str, similarity: float, wi
     def prints(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in portions(batches):
             out = [(xxhash.xxh64_intdigest(b" ".join(utf8(x).lower().split()), SEED), *wide_fingerprint(x, width)) for x in b.column(1).to_pylist()]
             t = np.array([x[0] for x in out], dtype=np.uint64).view(np.int64)
             f1, f2 = (pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))
@@ -360,9 +360,9 @@ def similar_texts(docs: DataFrame, text: str, doc_id: str, similarity: float, wi
     spelled = spelled if orphans is None else spelled.unionAll(orphans)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            t = np.array([xxhash.xxh64_intdigest(b" ".join(utf8(x).lower().split()), SEED) for x in b["text"]], dtype=np.uint64).view(np.int64)
-            own = [shingles(x, width) for x in b["text"]]
+        for texts in (b["text"].iloc[at : at + PORTION] for b in batches for at in range(0, len(b), PORTION)):
+            t = np.array([xxhash.xxh64_intdigest(b" ".join(utf8(x).lower().split()), SEED) for x in texts], dtype=np.uint64).view(np.int64)
+            own = [shingles(x, width) for x in texts]
             yield pd.DataFrame({"t": t, "size": [len(x) for x in own], "shingles": [x.tobytes() for x in own]})
 
     found = spelled.select("text").mapInPandas(sets, "t long, size long, shingles binary").dropDuplicates(["t"])

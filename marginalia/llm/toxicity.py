@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import first_rows, kept, ship, utf8, words_of
+from marginalia.llm.common import first_rows, kept, portions, ship, utf8, words_of
 
 #: Bounds of the model, and so of what is broadcast: examples, and their words, each counted once an example.
 MAX_EXAMPLES = 3_072
@@ -243,7 +243,7 @@ def fit(
     schema = T.StructType([texts.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("w", T.ArrayType(T.BinaryType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
 
     def counted(batches: Iterator) -> Iterator:
-        for b in batches:
+        for b in portions(batches):
             found = [sorted(Counter(words_of(t.as_py())).items()) for t in b.column("text")]
             w = pa.array([[w for w, _ in f] for f in found], pa.list_(pa.binary()))
             n = pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))
@@ -270,7 +270,7 @@ def fit(
     def frequencies(batches: Iterator) -> Iterator:
         own = _numbers(everywhere.value)
         counts, n = np.zeros(len(own), np.int64), 0
-        for b in batches:
+        for b in portions(batches):
             for t in b.column(0):
                 n += 1
                 met = own.keys() & set(words_of(t.as_py()))
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Examples, text: str = "text", names: tuple[str
     def run(batches: Iterator) -> Iterator:
         m = model_everywhere.value
         memo: dict[bytes, tuple] = {}
-        for b in batches:
+        for b in portions(batches):
             out = []
             for t in b.column(at):
                 t = t.as_py()

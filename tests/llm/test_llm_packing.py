@@ -88,3 +88,32 @@ def test_assignment_balances_costs_and_fills():
     assert max(costs) < 1.5 * min(costs)
     whole = sum(1 for x in dealt for _, _, n in x)
     assert whole < 200 + 2 * len(limits)  # few documents are cut
+
+
+def test_encoder_is_let_go_by_the_next_job(spark, awkward):
+    """A worker that packed texts holds no encoder in a task of another job."""
+    docs = awkward.where("doc_id is not null").select("doc_id", "text").limit(50).coalesce(1)
+    assert packing.pack(docs, PATH).count() > 0
+
+    def left(batches):
+        import gc
+
+        import pyarrow as pa
+        from marginalia.llm.packing import Encoder
+
+        for _ in batches:
+            pass
+        gc.collect()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(isinstance(x, Encoder) for x in gc.get_objects())], pa.int64())})
+
+    assert [r.n for r in spark.range(4).repartition(4).mapInArrow(left, "n long").collect()] == [0] * 4
+
+
+def test_portions_hold_all_rows_in_order():
+    import pyarrow as pa
+    from marginalia.llm.common import portions
+
+    batches = [pa.RecordBatch.from_pydict({"n": pa.array(range(lo, hi), pa.int64())}) for lo, hi in ((0, 2500), (2500, 2500), (2500, 3100))]
+    found = list(portions(iter(batches), 1000))
+    assert [b.num_rows for b in found] == [1000, 1000, 500, 600]
+    assert [n for b in found for n in b.column(0).to_pylist()] == list(range(3100))
