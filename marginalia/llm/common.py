@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -56,10 +58,22 @@ def kept(df: DataFrame) -> DataFrame:
 def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches, a few at a time: what a task makes of them then never fills a whole batch of Spark's,
     in the worker or in the executor that reads it. What the batches took goes back at the end."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        b = None
+        _hand_back()
+
+
+def _hand_back() -> None:
+    """Memory that is not used any more goes back to the system; a worker lives on after its task and would keep it."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own, where it has one
+    if trim is not None:
+        trim(0)
 
 
 def fresh(df: DataFrame, name: str) -> str:

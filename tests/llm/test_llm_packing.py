@@ -92,7 +92,7 @@ def test_assignment_balances_costs_and_fills():
 
 def test_encoder_is_let_go_by_the_next_job(spark, awkward):
     """A worker that packed texts holds no encoder in a task of another job."""
-    docs = awkward.where("doc_id is not null").select("doc_id", "text").limit(50).coalesce(1)
+    docs = awkward.where("doc_id is not null").select("doc_id", "text").repartition(8)
     assert packing.pack(docs, PATH).count() > 0
 
     def left(batches):
@@ -106,7 +106,7 @@ def test_encoder_is_let_go_by_the_next_job(spark, awkward):
         gc.collect()
         yield pa.RecordBatch.from_pydict({"n": pa.array([sum(isinstance(x, Encoder) for x in gc.get_objects())], pa.int64())})
 
-    assert [r.n for r in spark.range(4).repartition(4).mapInArrow(left, "n long").collect()] == [0] * 4
+    assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(left, "n long").collect()] == [0] * 8
 
 
 def test_portions_hold_all_rows_in_order():
